@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("retrieval",)
+_MODULES = ("retrieval", "web")
 
 
 def _load():

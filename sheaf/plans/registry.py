@@ -40,9 +40,9 @@ def with_views(sql: str, uses: list[str]) -> str:
     for u in uses:
         visit(u)
     sql = sql.strip()
-    recursive = sql.upper().startswith("RECURSIVE ")
+    recursive = sql.upper().startswith("RECURSIVE")
     if recursive:
-        sql = sql[len("RECURSIVE "):]
+        sql = sql[len("RECURSIVE"):].strip()
     heads = [f"{v} AS ({SQL_VIEWS[v][1]})" for v in order]
     if sql.upper().startswith("WITH "):
         sql = sql[5:]

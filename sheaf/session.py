@@ -23,7 +23,7 @@ def local_session(app: str = "sheaf", cpus: int | str = 8, shuffle_partitions: i
     """A local session for tests and benchmarks; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
