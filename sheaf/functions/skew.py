@@ -14,43 +14,38 @@ from pyspark.sql import functions as F
 from .text import col
 
 BLOCK = 65_536
+_MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def running(df: DataFrame, keys: list[str], order: str, block: int = BLOCK, *,
-            descending: bool = False, **measures: tuple[str, Column]) -> DataFrame:
-    """Running aggregates per key over an integer order column.
+def running(df: DataFrame, keys: list[str], order: str, measures: dict[str, tuple[str, Column]], *,
+            block: int = BLOCK, descending: bool = False, exclusive: bool = False) -> DataFrame:
+    """Running aggregates per key over an integer order column, unique within a key.
 
-    ``measures`` maps an output name to (``"sum" | "min" | "max"``, input column); the order
-    must be unique within a key.
+    ``measures`` maps an output name to (``"sum" | "min" | "max"``, input column); ``exclusive`` leaves the
+    current row out. Blocks are ranges of the order column, so the split is the same on every retry.
     """
-    merge = {"sum": F.sum, "min": F.min, "max": F.max}
     src = df.withColumn("_blk", F.floor(col(order) / block))
-    for name, (_, value) in measures.items():
-        src = src.withColumn(f"_in_{name}", value)
-    turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    inner = W.partitionBy(*keys, "_blk").orderBy(turn(order)).rowsBetween(W.unboundedPreceding, 0)
-    rows = src
-    for name, (kind, _) in measures.items():
-        rows = rows.withColumn(f"_run_{name}", merge[kind](f"_in_{name}").over(inner))
+    src = src.select("*", *[value.alias(f"_in_{name}") for name, (_, value) in measures.items()])
+    by = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    inner = W.partitionBy(*keys, "_blk").orderBy(by(order)).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+    rows = src.select("*", *[_MERGE[kind](f"_in_{name}").over(inner).alias(f"_run_{name}")
+                             for name, (kind, _) in measures.items()])
     totals = src.groupBy(*keys, "_blk").agg(
-        *[merge[kind](f"_in_{name}").alias(f"_tot_{name}") for name, (kind, _) in measures.items()])
-    before = W.partitionBy(*keys).orderBy(turn("_blk")).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(
+        *[_MERGE[kind](f"_in_{name}").alias(f"_tot_{name}") for name, (kind, _) in measures.items()])
+    before = W.partitionBy(*keys).orderBy(by("_blk")).rowsBetween(W.unboundedPreceding, -1)
+    prefix = totals.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_blk").alias("_b"),
-        *[merge[kind](f"_tot_{name}").over(before).alias(f"_pre_{name}")
-          for name, (kind, _) in measures.items()])
+        *[_MERGE[kind](f"_tot_{name}").over(before).alias(f"_pre_{name}") for name, (kind, _) in measures.items()])
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_blk") == F.col("_b")]
-    out = rows.join(totals, on, "left")
+    out = []
     for name, (kind, _) in measures.items():
         run, pre = F.col(f"_run_{name}"), F.col(f"_pre_{name}")
         if kind == "sum":
             value = F.coalesce(pre, F.lit(0)) + F.coalesce(run, F.lit(0))
         else:
             value = (F.least if kind == "min" else F.greatest)(run, pre)
-        out = out.withColumn(name, value)
-    drop = ["_blk", "_b"] + [f"_k{i}" for i in range(len(keys))]
-    drop += [f"_{p}_{name}" for name in measures for p in ("in", "run", "pre")]
-    return out.drop(*drop)
+        out.append(value.alias(name))
+    return rows.join(prefix, on, "left").select(*df.columns, *out)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

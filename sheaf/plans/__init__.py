@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("retrieval", "web")
+_MODULES = ("retrieval", "web", "documents")
 
 
 def _load():

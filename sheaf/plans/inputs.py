@@ -88,7 +88,8 @@ class Tables:
             F.floor((F.col("page") - 1) / 3).cast("int").alias("page_idx"),
             F.element_at(kinds, (F.col("page") % 7 + 1).cast("int")).alias("type"),
             F.col("content").alias("text"),
-            F.when(F.col("page") == 1, 1).otherwise(0).alias("text_level"))
+            F.when(F.col("page") == 1, 1).otherwise(0).alias("text_level"),
+            F.when((F.col("page") % 7).isin(0, 3), F.slice(words("content"), 1, 2)).alias("captions"))
 
     @cached_property
     def uploads(self) -> DataFrame:
@@ -257,8 +258,9 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
     "items": ("doc_pages", """
         SELECT doc_id, page - 1 AS idx, CAST((page - 1) // 3 AS INTEGER) AS page_idx,
                ['table', 'text', 'text', 'image', 'text', 'equation', 'text'][page % 7 + 1] AS type,
-               content AS text, CASE WHEN page = 1 THEN 1 ELSE 0 END AS text_level
-        FROM doc_pages"""),
+               content AS text, CASE WHEN page = 1 THEN 1 ELSE 0 END AS text_level,
+               CASE WHEN page % 7 IN (0, 3) THEN {W}[1:2] END AS captions
+        FROM doc_pages""".replace("{W}", q.words("content"))),
     "uploads": ("", r"""
         SELECT doc_id AS upload_id,
                CASE WHEN doc_id % 11 <> 0 THEN source || '/..\'
