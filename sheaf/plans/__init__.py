@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("retrieval", "web", "documents")
+_MODULES = ("retrieval", "web", "documents", "serp", "semistructured")
 
 
 def _load():
