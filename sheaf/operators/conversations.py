@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions.skew import BLOCK, running, top_k
 from ..functions.text import WORD, clip, col, first_sentence, joined, message_cost, strip, token_count
+from ..session import cut_lineage
 from .retrieval import RULE, heuristic_rerank, rerank_sandwich
 
 CHUNK_MESSAGES = 12
@@ -272,13 +273,17 @@ def build_messages(requests: DataFrame, history: DataFrame, *, context_size: int
     Section order: prompt, rules, summary, memory, guidance, retrieved context, key history, older history,
     repetition guard, recap, current message; then the list is trimmed to the context window. Returns
     (conv_id, pos, section, role, content) and one meta row per conversation.
+
+    Intermediate tables that several sections read are checkpointed once, so the plan stays small.
     """
+    requests = cut_lineage(requests)
     current = requests.select("conv_id", "message")
     sizes = requests.join(history_sizes(history), "conv_id", "left").select(
         "conv_id", F.coalesce("turns", F.lit(0)).alias("turns"), F.coalesce("n_messages", F.lit(0)).alias("n_messages"), (token_count("system_prompt") + 10).alias("system_tokens"),
         (token_count("message") + 4).alias("current_tokens"))
     budgets = adaptive_budgets(sizes, context_size, reserve)
-    chunks = chunk_summaries(history, messages_per_chunk)
+    history = cut_lineage(history)
+    chunks = cut_lineage(chunk_summaries(history, messages_per_chunk))
     recent = budgets.select("conv_id", F.greatest(F.lit(4), F.floor(F.col("verbatim_history") / 200)).alias("recent_turns"))
     compressed = compressed_context(chunks, recent, messages_per_chunk)
 
@@ -299,16 +304,16 @@ def build_messages(requests: DataFrame, history: DataFrame, *, context_size: int
         msg(4, "system", F.concat(F.lit(fixed.MEMORY_HEADING), some(F.col("memory_context")), F.lit(fixed.MEMORY_FOOTER))),
         msg(5, "system", F.lit(fixed.ATTENTION_GUIDANCE)), msg(6, "user", rag),
         msg(6, "assistant", F.when(rag.isNotNull(), F.lit(fixed.RAG_REPLY)))), lambda m: m["content"].isNotNull())
-    opened = head.join(fitted, "conv_id", "left").withColumn("_open", opening).withColumn(
+    opened = cut_lineage(head.join(fitted, "conv_id", "left").withColumn("_open", opening).withColumn(
         "opening_tokens", F.aggregate("_open", F.lit(3), lambda acc, m: acc + 4 + token_count(m["content"]))).withColumn(
-        "remaining", F.col("total_available") - F.col("opening_tokens"))
+        "remaining", F.col("total_available") - F.col("opening_tokens")))
 
     limits = opened.filter("remaining > 0").select("conv_id", F.col("remaining").alias("token_budget"), F.col("recap").alias("recap_budget"))
     n_chunks = chunks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    kept = fit_history(history, limits, n_chunks, messages_per_chunk)
-    split = relevance_split(kept, current)
-    guard = repetition_guard(history, current, threshold).join(limits.select("conv_id"), "conv_id", "left_semi")
-    recaps = fitted_recap(kept, limits)
+    kept = cut_lineage(fit_history(history, limits, n_chunks, messages_per_chunk))
+    split = cut_lineage(relevance_split(kept, current))
+    guard = cut_lineage(repetition_guard(history, current, threshold).join(limits.select("conv_id"), "conv_id", "left_semi"))
+    recaps = cut_lineage(fitted_recap(kept, limits))
 
     shape = ["conv_id", "section", "sub", "role", "content"]
     parts = [
@@ -325,7 +330,7 @@ def build_messages(requests: DataFrame, history: DataFrame, *, context_size: int
     # one integer position per row, in list order; sections are at most 2^40 rows long
     placed = rows.select("conv_id", (F.col("section").cast("long") * (1 << 40) + F.col("sub")).alias("turn"),
                          "section", "role", F.col("content").alias("text"))
-    first = placed.withColumn("turn", F.when(F.col("section") == 1, 0).otherwise(F.col("turn")))
+    first = cut_lineage(placed.withColumn("turn", F.when(F.col("section") == 1, 0).otherwise(F.col("turn"))))
     budget = requests.select("conv_id", context_budget(F.lit(context_size), F.lit(reserve)).alias("budget"))
     final = trim_messages(first, budget, block=1 << 40).select("conv_id", F.col("turn").alias("pos"), "section", "role", F.col("text").alias("content"))
 

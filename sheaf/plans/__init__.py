@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("retrieval", "web", "documents", "serp", "semistructured", "store", "bookkeeping", "memory", "conversations")
+_MODULES = ("retrieval", "web", "documents", "serp", "semistructured", "store", "bookkeeping", "memory", "conversations", "streams")
 
 
 def _load():
