@@ -19,11 +19,12 @@ ENTITIES = (
     ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&euro;", "€"), ("&amp;", "&"),
 )
 BLOCKS = ("div", "section", "span", "ul", "ol", "li", "p", "a", "table", "article", "main", "button")
-NOISE_ELEMENT = "(?is)<(?:{t})(?:\\s[^>]*)?>.*?</(?:{t})\\s*>"
-NOISE_TAG_PATTERNS = tuple(f"(?is)<{t}(?:\\s[^>]*)?>.*?</{t}\\s*>" for t in fixed.NOISE_TAGS)
 _NOISY = "|".join(fixed.NOISE_CLASSES)
-NOISE_CLASS_PATTERNS = tuple(
-    f"(?is)<{t}\\s[^>]*class\\s*=\\s*[\"'][^\"']*(?:{_NOISY})[^\"']*[\"'][^>]*>.*?</{t}\\s*>" for t in BLOCKS)
+NOISE_TAG = f"(?is)<({'|'.join(fixed.NOISE_TAGS)})(?:\\s[^>]*)?>.*?</\\1\\s*>"
+NOISE_CLASS = (f"(?is)<({'|'.join(BLOCKS)})\\s(?:[^>]*\\s)?class\\s*=\\s*[\"'][^\"'>]*(?:{_NOISY})[^\"'>]*[\"'][^>]*>.*?</\\1\\s*>")
+# the same, one element name at a time, for engines without back-references
+NOISE_TAG_PATTERNS = tuple(NOISE_TAG.replace("|".join(fixed.NOISE_TAGS), t).replace("\\1", t) for t in fixed.NOISE_TAGS)
+NOISE_CLASS_PATTERNS = tuple(NOISE_CLASS.replace("|".join(BLOCKS), t, 1).replace("\\1", t) for t in BLOCKS)
 NOISE_ATTRIBUTE = "(?i)(<[a-z][^>]*?)\\s(?:on[a-z]*|style)\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s>]+)"
 COMMENT = "(?s)<!--.*?-->"
 TAG = "<[^>]*>"
@@ -32,10 +33,8 @@ MARK = "\x01"
 
 def clean_fast(html: Column | str) -> Column:
     """Noise removal by patterns: right where noise elements do not nest in themselves."""
-    c = col(html)
-    for p in NOISE_TAG_PATTERNS + NOISE_CLASS_PATTERNS:
-        c = F.regexp_replace(c, p, "")
-    return F.regexp_replace(c, NOISE_ATTRIBUTE, "$1")
+    plain = F.regexp_replace(F.regexp_replace(col(html), NOISE_TAG, ""), NOISE_CLASS, "")
+    return F.regexp_replace(plain, NOISE_ATTRIBUTE, "$1")
 
 
 def unescape(c: Column) -> Column:

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.skew import top_k
-from ..functions.text import joined, not_blank, occurrences, terms, token_count
+from ..functions.text import joined, occurrences, terms
+
+try:
+    import ahocorasick
+except ImportError:  # the join path needs no automaton
+    ahocorasick = None
 
 RULE = "\n\n---\n\n"
+SCAN_TERMS = 200_000  # (query, word) pairs sent to every task at most
 
 
 def _window(window_pages: int) -> Column:
@@ -39,11 +47,11 @@ def substring_matches(needles: DataFrame, vocabulary: DataFrame) -> DataFrame:
     its rarest three-gram (needles under three characters are their own gram); ``contains`` decides.
     """
     term = F.col("term")
-    index = vocabulary.select("term", F.explode(
-        F.concat(_grams(term, 1), _grams(term, 2), _grams(term, 3))).alias("gram"))
     needle = F.col("needle")
     own = F.when(F.length(needle) < 3, F.array(needle)).otherwise(_grams(needle, 3))
     wanted = needles.distinct().select("needle", F.explode(own).alias("gram"))
+    index = vocabulary.select("term", F.explode(F.concat(_grams(term, 1), _grams(term, 2), _grams(term, 3))).alias("gram")).join(
+        wanted.select("gram").distinct(), "gram", "left_semi")
     frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (wanted.join(frequency, "gram").groupBy("needle")
               .agg(F.min(F.struct("n", "gram")).alias("r")).select("needle", F.col("r.gram").alias("gram")))
@@ -72,19 +80,74 @@ def _finish(pages: DataFrame, hits: DataFrame, window_pages: int, cut: int) -> D
         F.substring("content", 1, cut).alias("content"))
 
 
-def keyword_page_search(pages: DataFrame, queries: DataFrame, window_pages: int = 10, k: int = 5,
-                        cut: int = 6000) -> DataFrame:
-    """Windows ranked by how many distinct query words occur in them as substrings.
+def _scan_scores(pages: DataFrame, wanted: list, window_pages: int, k: int) -> DataFrame:
+    """Top k windows per query and task, from one pass over each window text with a word automaton."""
+    query_ids = sorted({r["query_id"] for r in wanted})
+    column = {q: i for i, q in enumerate(query_ids)}
+    askers: dict[str, list[int]] = {}
+    for r in wanted:
+        askers.setdefault(r["term"], []).append(column[r["query_id"]])
+    shared = pages.sparkSession.sparkContext.broadcast((query_ids, askers))
+    texts = pages.groupBy("doc_id", _window(window_pages).alias("win")).agg(F.lower(joined("\n", "content", "page")).alias("text"))
+
+    def scan(batches):
+        ids, by_term = shared.value
+        lists = [np.array(v) for v in by_term.values()]
+        short = [(t, i) for i, t in enumerate(by_term) if len(t) < 3]
+        automaton = ahocorasick.Automaton()
+        for i, t in enumerate(by_term):
+            if len(t) >= 3:
+                automaton.add_word(t, i)
+        has_long = len(automaton) > 0
+        if has_long:
+            automaton.make_automaton()
+        best = pd.DataFrame({"query_id": [], "doc_id": [], "win": [], "score": []}).astype("int64")
+        rows_at_once = max(1, 4_000_000 // max(1, len(ids)))
+        for pdf in batches:
+            for at in range(0, len(pdf), rows_at_once):
+                part = pdf.iloc[at:at + rows_at_once]
+                scores = np.zeros((len(part), len(ids)), dtype=np.int64)
+                for n, text in enumerate(part["text"]):
+                    found = {i for _, i in automaton.iter(text)} if has_long else set()
+                    found.update(i for t, i in short if t in text)
+                    if found:
+                        scores[n] = np.bincount(np.concatenate([lists[i] for i in found]), minlength=len(ids))
+                floor = np.partition(scores, max(0, len(part) - k), axis=0)[max(0, len(part) - k)]
+                n, q = np.nonzero((scores > 0) & (scores >= floor))
+                fresh = pd.DataFrame({"query_id": np.array(ids)[q], "doc_id": part["doc_id"].to_numpy()[n],
+                                      "win": part["win"].to_numpy()[n], "score": scores[n, q]})
+                best = pd.concat([best, fresh]).sort_values(["score", "doc_id", "win"], ascending=[False, True, True]) \
+                    .groupby("query_id").head(k)
+        yield best
+
+    return texts.mapInPandas(scan, "query_id long, doc_id long, win int, score long")
+
+
+def _substring_scores(pages: DataFrame, wanted: DataFrame, window_pages: int) -> DataFrame:
+    """Scores by joins only.
 
     A query word holds no blanks, so it lies in a window exactly when it lies in one of the window's
     words; matching therefore runs once per distinct word of the corpus, not per window.
     """
     postings = _postings(pages, window_pages)
-    wanted = _query_terms(queries)
     matches = substring_matches(wanted.select(F.col("term").alias("needle")), postings.select("term").distinct())
     found = postings.join(matches, "term").select("doc_id", "win", F.col("needle").alias("term")).distinct()
-    scores = found.join(wanted, "term").groupBy("query_id", "doc_id", "win").agg(
-        F.count(F.lit(1)).alias("score"))
+    return found.join(wanted, "term").groupBy("query_id", "doc_id", "win").agg(F.count(F.lit(1)).alias("score"))
+
+
+def keyword_page_search(pages: DataFrame, queries: DataFrame, window_pages: int = 10, k: int = 5,
+                        cut: int = 6000, scan_terms: int = SCAN_TERMS) -> DataFrame:
+    """Windows ranked by how many distinct query words occur in them as substrings.
+
+    Up to ``scan_terms`` query words (counted first) become an automaton sent to the tasks: each text is read
+    once and a task emits k windows per query. More words, or a missing automaton package, go through joins.
+    """
+    wanted = _query_terms(queries)
+    few = wanted.limit(scan_terms + 1).collect() if ahocorasick is not None and scan_terms else []
+    if 0 < len(few) <= scan_terms:
+        scores = _scan_scores(pages, few, window_pages, k)
+    else:
+        scores = _substring_scores(pages, wanted, window_pages)
     hits = top_k(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id"), F.col("win")], k)
     return _finish(pages, hits, window_pages, cut)
 

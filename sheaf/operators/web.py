@@ -183,7 +183,7 @@ def crawl_frontier(links: DataFrame, starts: DataFrame, max_depth: int = 2, max_
     checkpointed, so neither the plan nor lost work grows with the depth.
     """
     if allowed is not None:
-        links = links.join(allowed.select(F.col("url_id").alias("dst")), "dst", "left_semi")
+        links = cut_lineage(links.join(allowed.select(F.col("url_id").alias("dst")), "dst", "left_semi"))
         starts = starts.join(allowed.select(F.col("url_id").alias("start")), "start", "left_semi")
     level = cut_lineage(starts.select("start", F.col("start").alias("url_id"), F.lit(0).alias("depth"),
                                       F.array().cast("array<long>").alias("place")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.files import spread
 from ..functions.text import joined, words
 from . import sqlgen as q
 
@@ -28,11 +29,11 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return spread(self.read("documents"))
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.read("pages")
+        return spread(self.read("pages"))
 
     @cached_property
     def conversations(self) -> DataFrame:

@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..functions.text import joined  # noqa: F401
 from ..operators.store import suffix
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Rows of a table stored in fewer files than there are cores dealt out evenly; other tables as they are.
+
+    Long texts in a single row group would otherwise keep one core busy. Large tables have many files and
+    are never shuffled here.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def scan_document_dir(spark: SparkSession, folder: str, extensions=fixed.BATCH_EXTENSIONS) -> DataFrame:
     """Files below a folder with an accepted extension; only the listing is read, never the contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
