@@ -38,7 +38,7 @@ def not_blank(c: Column | str) -> Column:
 
 def token_count(c: Column | str) -> Column:
     """About four characters per token, never less than one."""
-    return F.greatest(F.lit(1), F.expr("1") * (F.length(col(c)) / 4).cast("int"))
+    return F.greatest(F.lit(1), (F.length(col(c)) / 4).cast("int"))
 
 
 def message_cost(c: Column | str) -> Column:
@@ -56,9 +56,9 @@ def first_sentence(c: Column | str) -> Column:
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """Non-overlapping occurrences of a non-empty needle."""
-    removed = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
-    return F.coalesce(F.try_divide(removed, F.length(needle)), F.lit(0)).cast("int")
+    """Non-overlapping occurrences of a needle, 0 for an empty one. Byte lengths need no scan of the text."""
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))
+    return F.coalesce(F.try_divide(removed, F.octet_length(needle)), F.lit(0)).cast("int")
 
 
 def last_index(c: Column, needle: str) -> Column:
