@@ -83,15 +83,15 @@ class _Latest(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", StructType([StructField("ts", TimestampType()), StructField("fetch_id", LongType())]))
+        self.entry = handle.getValueState("entry", StructType([StructField("us", LongType()), StructField("fetch_id", LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        best = max((r.ts, r.fetch_id) for r in rows)
+        best = max((r.us, r.fetch_id) for r in rows)
         held = self.entry.get() if self.entry.exists() else None
         if held is None or best > (held[0], held[1]):
             self.entry.update(best)
-            _wake_at(self.handle, max(int(best[0].timestamp() * 1000) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
-            yield Row(url=key[0], ts=best[0], fetch_id=best[1])
+            _wake_at(self.handle, max(best[0] // 1000 + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+            yield Row(url=key[0], us=best[0], fetch_id=best[1])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.entry.clear()
@@ -103,9 +103,10 @@ class _Latest(StatefulProcessor):
 
 def stream_page_cache(fetches: DataFrame, ttl_s: int = 3600) -> DataFrame:
     """Newest fetch per URL (url, ts, fetch_id); an entry goes once the stream is ``ttl_s`` past it."""
-    out = StructType([StructField("url", StringType()), StructField("ts", TimestampType()), StructField("fetch_id", LongType())])
-    live = fetches.withWatermark("ts", f"{ttl_s} seconds")
-    return live.groupBy("url").transformWithState(_Latest(ttl_s * 1000), out, "append", "EventTime")
+    out = StructType([StructField("url", StringType()), StructField("us", LongType()), StructField("fetch_id", LongType())])
+    live = fetches.withWatermark("ts", f"{ttl_s} seconds").withColumn("us", F.unix_micros("ts"))
+    newest = live.groupBy("url").transformWithState(_Latest(ttl_s * 1000), out, "append", "EventTime")
+    return newest.select("url", F.timestamp_micros("us").alias("ts"), "fetch_id")
 
 
 def suppress_refetches(fetches: DataFrame, ttl: str = "3600 seconds") -> DataFrame:
