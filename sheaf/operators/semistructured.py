@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
@@ -66,18 +65,21 @@ def extracted_memories(replies: DataFrame) -> DataFrame:
     """Entries of extraction replies (session_id, raw): one JSON object keyed by memory type.
 
     Values that are not lists and items without content are skipped; ids number the entries of one reply.
+    Everything happens inside the row, so replies are never shuffled.
     """
-    types = [t for t, _, _ in fixed.MEMORY_TYPES if t != "raw"]
-    per_type = F.array(*[F.struct(F.lit(i).alias("type_no"), F.lit(t).alias("type"),
-                                  F.get_json_object("raw", f"$.{t}").alias("items")) for i, t in enumerate(types)])
-    lists = replies.select("session_id", F.explode(per_type).alias("g")).filter(F.col("g.items").startswith("["))
     item = "array<struct<content:string,keywords:string>>"
-    rows = lists.select("session_id", "g.type_no", "g.type", F.posexplode(F.from_json("g.items", item)).alias("pos", "item"))
-    kept = rows.withColumn("content", strip("item.content")).filter(F.col("content") != "")
-    number = F.row_number().over(W.partitionBy("session_id").orderBy("type_no", "pos")) - 1
-    listed = F.from_json("item.keywords", "array<string>")
-    split = F.filter(F.transform(F.split("item.keywords", ","), strip), lambda k: k != "")
-    keywords = F.when(F.col("item.keywords").startswith("["), listed).otherwise(split)
-    return kept.withColumn("_n", number).select(
-        F.concat_ws("_", "type", "session_id", "_n").alias("id"), "type", "content",
+
+    def listed(kind: str) -> Column:
+        value = F.get_json_object("raw", f"$.{kind}")
+        items = F.coalesce(F.when(value.startswith("["), F.from_json(value, item)), F.array().cast(item))
+        return F.transform(items, lambda i: F.struct(F.lit(kind).alias("type"), strip(i["content"]).alias("content"),
+                                                     i["keywords"].alias("keywords")))
+
+    every = F.concat(*[listed(t) for t, _, _ in fixed.MEMORY_TYPES if t != "raw"])
+    kept = replies.select("session_id", F.posexplode(F.filter(every, lambda e: e["content"] != "")).alias("n", "e")).select(
+        "session_id", "n", "e.*")
+    split = F.filter(F.transform(F.split("keywords", ","), strip), lambda k: k != "")
+    keywords = F.when(F.col("keywords").startswith("["), F.from_json("keywords", "array<string>")).otherwise(split)
+    return kept.select(
+        F.concat_ws("_", "type", "session_id", "n").alias("id"), "type", "content",
         F.coalesce(keywords, F.array().cast("array<string>")).alias("keywords"), F.col("session_id").alias("source_session_id"))
