@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as fixed
 from ..functions.skew import running
 from ..functions.text import col, cut_at_sentence, joined, not_blank, strip, token_count, words
+from ..session import cut_lineage
 
 LEVELS = range(1, 7)
 
@@ -73,13 +74,14 @@ def number_sections(outline: DataFrame, block: int = 65_536) -> DataFrame:
 
     A level may exceed its predecessor by one at most. That left fold equals ``seq + min(0, running
     min(level - seq))``, and a counter at depth d is the running count of level-d rows minus its value at the
-    last shallower row - running aggregates, so documents of any size split into blocks.
+    last shallower row - running aggregates, so documents of any size split into blocks. A pass reads its
+    input twice; passes are checkpointed so that this does not multiply.
     """
     raw = F.least("level", F.lit(6))
-    clamped = running(outline, ["doc_id"], "seq", {"_m": ("min", raw - F.col("seq"))}, block=block).withColumn(
-        "level", (F.col("seq") + F.least(F.lit(0), "_m")).cast("int")).drop("_m")
-    counted = running(clamped, ["doc_id"], "seq", {
-        f"_n{d}": ("sum", (F.col("level") == d).cast("int")) for d in LEVELS}, block=block)
+    clamped = cut_lineage(running(outline, ["doc_id"], "seq", {"_m": ("min", raw - F.col("seq"))}, block=block).withColumn(
+        "level", (F.col("seq") + F.least(F.lit(0), "_m")).cast("int")).drop("_m"))
+    counted = cut_lineage(running(clamped, ["doc_id"], "seq", {
+        f"_n{d}": ("sum", (F.col("level") == d).cast("int")) for d in LEVELS}, block=block))
     based = running(counted, ["doc_id"], "seq", {
         f"_b{d}": ("max", F.when(F.col("level") < d, F.col(f"_n{d}"))) for d in LEVELS}, block=block)
     numbers = [F.when(F.col("level") >= d, (F.col(f"_n{d}") - F.coalesce(f"_b{d}", F.lit(0))).cast("string"))
@@ -96,8 +98,8 @@ def section_page_ranges(sections: DataFrame, page_counts: DataFrame, block: int
     forward running pass find every ancestor's next sibling.
     """
     at = F.struct(F.col("seq").alias("s"), F.col("page_from").alias("p"))
-    ahead = running(sections, ["doc_id"], "seq", {
-        f"_x{d}": ("min", F.when(F.col("level") == d, at)) for d in LEVELS}, block=block, descending=True, exclusive=True)
+    ahead = cut_lineage(running(cut_lineage(sections), ["doc_id"], "seq", {
+        f"_x{d}": ("min", F.when(F.col("level") == d, at)) for d in LEVELS}, block=block, descending=True, exclusive=True))
     both = running(ahead, ["doc_id"], "seq", {
         f"_a{d}": ("max", F.when(F.col("level") == d, at)) for d in LEVELS}, block=block)
     end = F.col("page_count")

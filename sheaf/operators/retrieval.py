@@ -25,9 +25,10 @@ def _window(window_pages: int) -> Column:
 
 
 def _postings(pages: DataFrame, window_pages: int) -> DataFrame:
-    """Distinct (doc_id, win, term); the per-page distinct runs before any shuffle."""
+    """Distinct (doc_id, win, term), laid out by window: the distinct and later per-window counts need no
+    further shuffle, and a window is at most ``window_pages`` pages long."""
     return pages.select("doc_id", _window(window_pages).alias("win"),
-                        F.explode(terms("content")).alias("term")).distinct()
+                        F.explode(terms("content")).alias("term")).repartition("doc_id", "win").distinct()
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -189,33 +190,39 @@ def search_postings(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
 
 def search_windows(pages: DataFrame, queries: DataFrame, k: int = 5, window_pages: int = 10,
                    cut: int = 6000) -> DataFrame:
-    """Whole-word search with the hit windows' text."""
-    return _finish(pages, search_postings(posting_index(pages, window_pages), queries, k), window_pages, cut)
+    """Whole-word search with the hit windows' text; only words that queries ask for enter the postings."""
+    asked = _query_terms(queries).select("term").distinct()
+    spelled = pages.select("doc_id", _window(window_pages).alias("win"), F.explode(terms("content")).alias("term"))
+    postings = spelled.join(asked, "term", "left_semi").repartition("doc_id", "win").distinct()
+    return _finish(pages, search_postings(postings, queries, k), window_pages, cut)
 
 
 # --- reranking ---------------------------------------------------------------------------------
 
-def heuristic_score(query_terms: Column, text_terms: Column, lowered: Column, position: Column, total: Column) -> Column:
-    """0.5 term overlap + 0.4 term frequency + 0.1 for the first and last of more than two texts."""
+def text_score(query_terms: Column, text_terms: Column, lowered: Column) -> Column:
+    """0.5 term overlap + 0.4 term frequency of one text."""
     shared = F.size(F.array_intersect(query_terms, text_terms))
     either = F.size(query_terms) + F.size(text_terms) - shared
     tf = F.aggregate(query_terms, F.lit(0), lambda acc, t: acc + occurrences(lowered, t))
-    edge = F.when((total > 2) & ((position == 0) | (position == total - 1)), 0.1).otherwise(0.0)
-    return (shared / F.greatest(either, F.lit(1))) * 0.5 + (tf / F.greatest(F.size(text_terms), F.lit(1))) * 0.4 + edge
+    return (shared / F.greatest(either, F.lit(1))) * 0.5 + (tf / F.greatest(F.size(text_terms), F.lit(1))) * 0.4
 
 
 def heuristic_rerank(candidates: DataFrame, top_n: int = 0) -> DataFrame:
     """Candidates (query_id, query, idx, text) of bounded lists, scored and ranked from 0.
 
-    Terms are split once per row into columns; only then do the scoring expressions read them.
+    The score is the text score + 0.1 for the first and last of more than two. Scoring is the costly part and
+    rows are few and long, so they are dealt out over all tasks by (query_id, idx) for it; terms are split once
+    per row into columns that the scoring expressions read.
     """
-    per_query = W.partitionBy("query_id")
-    split = (candidates.withColumn("_n", F.count(F.lit(1)).over(per_query))
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = (candidates.repartition(tasks, "query_id", "idx")
              .withColumn("_q", terms("query")).withColumn("_c", terms("text")).withColumn("_l", F.lower("text")))
-    score = heuristic_score(F.col("_q"), F.col("_c"), F.col("_l"), F.col("idx"), F.col("_n"))
-    scored = split.withColumn("score", F.round(score, 9)).drop("_n", "_q", "_c", "_l")
-    order = per_query.orderBy(F.col("score").desc(), "idx")
-    ranked = scored.withColumn("rank", F.row_number().over(order) - 1)
+    scored = split.select(*candidates.columns, text_score(F.col("_q"), F.col("_c"), F.col("_l")).alias("_s"))
+    per_query = W.partitionBy("query_id")
+    n = F.count(F.lit(1)).over(per_query)
+    edge = F.when((n > 2) & ((F.col("idx") == 0) | (F.col("idx") == n - 1)), 0.1).otherwise(0.0)
+    ranked = scored.withColumn("score", F.round(F.col("_s") + edge, 9)).drop("_s").withColumn(
+        "rank", F.row_number().over(per_query.orderBy(F.col("score").desc(), "idx")) - 1)
     return ranked.filter(F.col("rank") < top_n) if top_n else ranked
 
 

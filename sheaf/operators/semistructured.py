@@ -13,12 +13,21 @@ POINTS = "array<struct<x:string,y:string>>"
 ENTITY = "struct<detailed_description:string,entity_info:struct<entity_name:string,entity_type:string,summary:string>>"
 
 
-def strip_json_fence(raw: Column | str) -> Column:
-    """Body of the first code fence, else the text; unless that starts with '[', its outermost brackets."""
+def fence_body(raw: Column | str) -> Column:
+    """Body of the first code fence, else the text."""
     raw = col(raw)
-    body = F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(raw)
+    return F.coalesce(F.nullif(F.regexp_extract(raw, FENCE, 1), F.lit("")), raw)
+
+
+def bracketed(body: Column | str) -> Column:
+    """The outermost brackets of a text that does not start with one."""
+    body = col(body)
     listed = F.regexp_extract(body, "(?s)\\[.*\\]", 0)
-    return strip(F.when(strip(body).startswith("[") | (listed == ""), body).otherwise(listed))
+    return strip(F.when(body.rlike("^\\s*\\[") | (listed == ""), body).otherwise(listed))
+
+
+def strip_json_fence(raw: Column | str) -> Column:
+    return bracketed(fence_body(raw))
 
 
 def is_json(text: Column | str) -> Column:
@@ -36,7 +45,9 @@ def repair_json(text: Column | str) -> Column:
 
 def parse_data_points(outputs: DataFrame) -> DataFrame:
     """Points (id, pos, x, y) of outputs (id, raw); an output with any bad point is one error row."""
-    parsed = outputs.select("id", F.from_json(repair_json(strip_json_fence("raw")), POINTS).alias("p"))
+    staged = outputs.select("id", fence_body("raw").alias("_b")).select("id", bracketed("_b").alias("_s")).select(
+        "id", repair_json("_s").alias("_r"))
+    parsed = staged.select("id", F.from_json("_r", POINTS).alias("p"))
     value = lambda point: point["y"].try_cast("double")
     error = (F.when(F.col("p").isNull() | (F.size("p") == 0), "expected non-empty array")
              .when(F.exists("p", lambda r: r["x"].isNull() | r["y"].isNull()), "missing x or y")
