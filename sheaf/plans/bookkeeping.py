@@ -74,7 +74,19 @@ def _(t):
     return b.rate_window_counts(rate_events(t), window_s=3600)
 
 
-@query("rate_limit_admit")
+ADMIT = """RECURSIVE WITH ev AS (
+      SELECT event_type AS key, ts, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+    step(key, n, held, ts, event_id, admitted) AS (
+      SELECT key, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS TIMESTAMP), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN) FROM ev GROUP BY key
+      UNION ALL
+      SELECT key, n, CASE WHEN ok THEN list_append(h, us) ELSE h END, ts, event_id, ok
+      FROM (SELECT *, len(h) < 3 AND len(list_filter(h, lambda x: x > us - 1800000000)) < 2 AS ok
+            FROM (SELECT e.key, e.n, e.us, e.ts, e.event_id, list_filter(s.held, lambda x: x > e.us - 3600000000) AS h
+                  FROM step s JOIN ev e ON e.key = s.key AND e.n = s.n + 1)))
+    SELECT key, ts, event_id, admitted FROM step WHERE n > 0"""
+
+
+@query("rate_limit_admit", ADMIT)
 def _(t):
     return b.rate_limit_admit(rate_events(t), limit=3, window_s=3600, burst=2, burst_s=1800)
 

@@ -272,7 +272,13 @@ def _(t):
     return d.doc_status(t.documents)
 
 
-@query("pack_paragraphs")
+@query("pack_paragraphs", """RECURSIVE WITH pack(doc_id, i, part, used, text) AS (
+      SELECT doc_id, page, 0, CAST(length(content) AS BIGINT), content FROM doc_pages WHERE page = 1
+      UNION ALL
+      SELECT p.doc_id, d.page, CASE WHEN p.used + length(d.content) < 4000 THEN p.part ELSE p.part + 1 END,
+             CASE WHEN p.used + length(d.content) < 4000 THEN p.used + length(d.content) ELSE length(d.content) END, d.content
+      FROM pack p JOIN doc_pages d ON d.doc_id = p.doc_id AND d.page = p.i + 1)
+    SELECT doc_id, part, string_agg(text, chr(10) ORDER BY i) AS content FROM pack GROUP BY 1, 2""", "doc_pages")
 def _(t):
     return d.pack_paragraphs(t.documents, sep="\n")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import operators as s
 from ..streaming.runtime import latest, run_available, table_stream
+from .bookkeeping import ADMIT
 from .inputs import Tables
 from .registry import query
 
@@ -24,7 +25,7 @@ def keyed(t):
     return events(t).select(F.col("event_type").alias("key"), "ts", "event_id")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", ADMIT)
 def _(t):
     return run_available(s.stream_rate_limit(keyed(t), 3, 3600, 2, 1800), "rate").drop("batch")
 

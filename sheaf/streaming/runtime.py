@@ -7,7 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import DEFAULTS, ensure_checkpoint_dir
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state with lists and timers needs the RocksDB provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, DEFAULTS[key])
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -31,6 +37,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     Batches are written under their id, so a replayed batch replaces itself; ``batch`` orders updates.
     """
     spark = stream.sparkSession
+    use_rocksdb(spark)
     out, state = scratch(spark, name), scratch(spark, f"{name}-state")
 
     def save(batch: DataFrame, batch_id: int) -> None:
