@@ -6,6 +6,7 @@ Messages are ``(conv_id, turn, role, text)`` with ``turn`` the 0-based position
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
@@ -227,16 +228,19 @@ def relevance_split(kept: DataFrame, current: DataFrame) -> DataFrame:
 
     Up to four messages are all key; without a message to compare with, the first two thirds are.
     """
-    sizes = kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"), F.min("turn").alias("_t0"))
-    rows = kept.join(sizes, "conv_id").join(current, "conv_id", "left").withColumn("_at", F.col("turn") - F.col("_t0"))
-    texts = rows.filter((F.col("_n") > 4) & F.col("message").isNotNull()).select(
-        F.col("conv_id").alias("query_id"), F.col("message").alias("query"), F.col("_at").alias("idx"),
-        F.concat("role", F.lit(": "), F.substring("text", 1, 200)).alias("text"))
-    ranks = heuristic_rerank(texts).select(F.col("query_id").alias("conv_id"), F.col("idx").alias("_at"), "rank")
+    per_conv = W.partitionBy("conv_id")
+    rows = kept.join(current, "conv_id", "left").select(
+        *kept.columns, F.count(F.lit(1)).over(per_conv).alias("_n"), F.col("message").isNotNull().alias("_asked"),
+        F.col("conv_id").alias("query_id"), F.coalesce("message", F.lit("")).alias("query"),
+        (F.col("turn") - F.min("turn").over(per_conv)).alias("idx"))
+    own = [c for c in rows.columns if c != "text"]
+    ranked = heuristic_rerank(rows.withColumn("_full", F.col("text")).withColumn(
+        "text", F.concat("role", F.lit(": "), F.substring("text", 1, 200))))
     third = F.greatest(F.lit(2), F.floor(F.col("_n") * 2 / 3))
-    key = (F.when(F.col("_n") <= 4, True).when(F.col("rank").isNotNull(), F.col("rank") < F.floor(F.col("_n") / 2))
-           .otherwise(F.col("_at") < third))
-    return rows.join(ranks, ["conv_id", "_at"], "left").select(*kept.columns, F.when(key, "key").otherwise("older").alias("section"))
+    key = (F.when(F.col("_n") <= 4, True).when(F.col("_asked"), F.col("rank") < F.floor(F.col("_n") / 2))
+           .otherwise(F.col("idx") < third))
+    return ranked.select(*own, F.col("_full").alias("text"), F.when(key, "key").otherwise("older").alias("section")).select(
+        *kept.columns, "section")
 
 
 def instruction_rules(prompt: Column | str, limit: int = 5) -> Column:
