@@ -187,7 +187,7 @@ def cluster_history(messages: DataFrame, queries: DataFrame, last: int = 20, clu
                     alpha: float = 0.6, keep: int = 10, seed: int = 42) -> DataFrame:
     """Iterated recollection per conversation over its last messages (conv_id, seq, text, embedding).
 
-    Each round clusters the messages, blends the query with every centroid, recalls three texts per
+    Messages are clustered; each round blends the query with every centroid, recalls three texts per
     blend and re-centres the query on the first three. Groups are bounded by ``last`` rows plus a query.
     """
     recent = top_k(messages, ["conv_id"], [F.col("seq").desc()], last).select("conv_id", "seq", "text", "embedding")
@@ -198,9 +198,10 @@ def cluster_history(messages: DataFrame, queries: DataFrame, last: int = 20, clu
         x, texts = _matrix(pdf["embedding"]), pdf["text"].tolist()
         q, found = np.array(pdf["query_embedding"].iloc[0], dtype=np.float64), []
         k = min(clusters, len(x))
-        for _ in range(iterations if k >= 2 else 0):
+        if k >= 2:  # the history does not change between rounds, so neither do its clusters
             labels, centers = _kmeans(x, k, seed)
             order = sorted(range(k), key=lambda i: int(np.argmax(labels == i)))
+        for _ in range(iterations if k >= 2 else 0):
             picks = [i for c in order for i in np.argsort(x @ (alpha * q + (1 - alpha) * centers[c]))[-3:][::-1]]
             found += [texts[i] for i in picks]
             q = x[picks[:3]].mean(0)

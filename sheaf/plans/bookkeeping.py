@@ -53,13 +53,13 @@ SQL_VIEWS["batch_docs"] = ("progress_state", """
 
 
 @query("batch_rollup", """
-    SELECT batch_id, total, completed, failed, skipped, CASE WHEN batch_id IN (3, 7) THEN 'partial' WHEN completed = total THEN 'completed'
+    SELECT batch_id, total, completed, failed, skipped, CASE WHEN batch_id IN (SELECT user_id % 20 FROM events WHERE event_type = 'error' AND value > 90) THEN 'partial' WHEN completed = total THEN 'completed'
              WHEN completed > 0 THEN 'partial' ELSE 'failed' END AS status,
            CAST(trunc((completed + failed + skipped)::DOUBLE / total * 100) AS INTEGER) AS progress_percent
     FROM (SELECT batch_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
-                 count(*) FILTER (status = 'skipped' OR (batch_id IN (3, 7) AND status IN ('pending', 'queued'))) AS skipped FROM batch_docs GROUP BY 1)""", "batch_docs")
+                 count(*) FILTER (status = 'skipped' OR (batch_id IN (SELECT user_id % 20 FROM events WHERE event_type = 'error' AND value > 90) AND status IN ('pending', 'queued'))) AS skipped FROM batch_docs GROUP BY 1)""", "batch_docs")
 def _(t):
-    cancelled = t.events.filter(F.col("user_id").isin(3, 7)).select(F.col("user_id").alias("batch_id")).distinct()
+    cancelled = t.events.filter("event_type = 'error' AND value > 90").select((F.col("user_id") % 20).alias("batch_id")).distinct()
     return b.batch_rollup(batch_docs(t), cancelled)
 
 

@@ -205,6 +205,16 @@ def _(t):
                           shown.alias("equation"), eq["format"].alias("format"))
 
 
+@query("equation_text", f"""
+    SELECT doc_id, idx, CASE WHEN {q.strip('text')} <> '' AND page_idx % 2 = 0 THEN {q.strip('text')} WHEN type = 'equation' THEN 'l' || idx ELSE 'e' END AS text,
+           CASE WHEN {q.strip('text')} <> '' AND page_idx % 2 = 0 THEN '' WHEN type = 'equation' THEN 'latex' ELSE '' END AS format FROM items""", "items")
+def _(t):
+    text = F.when(F.col("page_idx") % 2 == 0, F.col("text"))
+    latex = F.when(F.col("type") == "equation", F.concat(F.lit("l"), "idx"))
+    eq = d.equation_text(text, latex, F.lit(" e "), F.lit(""))
+    return t.items.select("doc_id", "idx", eq["text"].alias("text"), eq["format"].alias("format"))
+
+
 @query("content_ids", """
     SELECT doc_id, idx, 'md-' || md5(text) AS content_id,
            CASE type WHEN 'image' THEN 'image_fig' || idx WHEN 'table' THEN 'table_entity' ELSE type || '_' || left(md5(text), 8) END AS entity_name

@@ -236,17 +236,18 @@ def _(t):
 
 
 @query("crawl_frontier", """RECURSIVE
-    WITH ok AS (SELECT page_id FROM robots_ok WHERE allowed OR page_id = 0),
+    WITH roots AS (SELECT page_id FROM pages WHERE page_id NOT IN (SELECT dst FROM links)),
+    ok AS (SELECT page_id FROM robots_ok WHERE allowed OR page_id IN (SELECT page_id FROM roots)),
     walk(url_id, depth) AS (
-      SELECT CAST(0 AS BIGINT), 0 FROM ok WHERE page_id = 0
+      SELECT page_id, 0 FROM roots
       UNION
       SELECT l.dst, w.depth + 1 FROM walk w JOIN links l ON l.src = w.url_id JOIN ok ON ok.page_id = l.dst)
     SELECT url_id, min(depth) AS depth FROM walk GROUP BY 1""", "links robots_ok")
 def _(t):
-    ok = w.robots_allowed(t.pages.select("page_id", "url"), t.robots).filter("allowed OR page_id = 0")
-    starts = t.pages.filter("page_id = 0").select(F.col("page_id").alias("start"))
-    return w.crawl_frontier(t.links.select("src", "dst", "ord"), starts, max_depth=60,
-                            allowed=ok.select(F.col("page_id").alias("url_id"))).select("url_id", "depth")
+    roots = t.pages.select("page_id").join(t.links.select(F.col("dst").alias("page_id")), "page_id", "left_anti")
+    ok = w.robots_allowed(t.pages.select("page_id", "url"), t.robots).filter("allowed").select("page_id").union(roots).distinct()
+    return w.crawl_frontier(t.links.select("src", "dst", "ord"), roots.withColumnRenamed("page_id", "start"), max_depth=60,
+                            allowed=ok.withColumnRenamed("page_id", "url_id")).select("url_id", "depth")
 
 
 SQL_VIEWS["serp_unique"] = ("serp", """
