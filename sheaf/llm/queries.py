@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, url_rules
+from . import quality, simhash, url_rules
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -48,3 +48,9 @@ ORACLES["op6_url_rules"] = _op6_sql()
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.judge_documents(documents, quality.learn(documents, labels))
+
+
+@query
+def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(found["fp"]).alias("fingerprint"), "component_id", "n_shingles")
