@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash, url_rules
+from . import decontaminate, quality, simhash, url_rules
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -54,3 +54,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(found["fp"]).alias("fingerprint"), "component_id", "n_shingles")
+
+
+@query
+def op5_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op5_containment"] = """
+WITH w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                              '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+           FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark)),
+i AS (SELECT DISTINCT id, least(len(w), 5) AS k, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS s
+      FROM w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS u(p) WHERE kind = 'i' AND len(w) > 0),
+d AS (SELECT DISTINCT id, k, array_to_string(w[p:p + k - 1], ' ') AS s
+      FROM w, (SELECT DISTINCT k FROM i), unnest(range(1, len(w) - k + 2)) AS u(p) WHERE kind = 'd'),
+n AS (SELECT id, count(*) AS n FROM i GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n) AS n_shingles, count(*) AS n_found
+FROM i JOIN n ON n.id = i.id JOIN d ON d.k = i.k AND d.s = i.s GROUP BY d.id, i.id
+HAVING count(*) >= ceil(any_value(n.n) * 0.8::DOUBLE - 1e-9)"""
