@@ -62,12 +62,17 @@ def saved(df: DataFrame) -> DataFrame:
     The folder is the one ``spark.checkpoint.dir`` names; unlike ``checkpoint()`` the rows are computed a single time.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
+    path = shared_path(spark, "saved")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the smallest node reachable.
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, simhash, url_rules
-from .common import table
+from . import decontaminate, quality, simhash, token_planes, url_rules
+from .common import shared_path, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -63,7 +63,7 @@ def op5_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op5_containment"] = """
 WITH w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                              '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+                                                              '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
            FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark)),
 i AS (SELECT DISTINCT id, least(len(w), 5) AS k, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS s
       FROM w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS u(p) WHERE kind = 'i' AND len(w) > 0),
@@ -73,3 +73,12 @@ n AS (SELECT id, count(*) AS n FROM i GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n) AS n_shingles, count(*) AS n_found
 FROM i JOIN n ON n.id = i.id JOIN d ON d.k = i.k AND d.s = i.s GROUP BY d.id, i.id
 HAVING count(*) >= ceil(any_value(n.n) * 0.8::DOUBLE - 1e-9)"""
+
+
+@query
+def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_path(spark, "ids")
+    token_planes.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_planes.digest(spark, path)
