@@ -58,7 +58,8 @@ def candidates(documents: DataFrame, items: DataFrame, width: int = WIDTH, t: fl
     w = documents.select("row", words(lower_ascii(text_of("text"))).alias("w"))
     probes = []
     for k, (top, least) in sorted(bounds.items()):
-        shown = F.array_distinct(F.filter(shingle_hashes(F.col("w"), k), lambda h, top=top: h <= top))
+        bound = F.lit(top)
+        shown = F.array_distinct(F.filter(shingle_hashes(F.col("w"), k), lambda h: h <= bound))  # noqa: B023  called at once
         sets = w.select("row", F.when(F.size("w") >= k + least - 1, shown).alias("h"), (F.size("w") - k + 1).alias("size"))
         # explode() would add a filter on the array below, which makes all of it again word by word; explode_outer() doesn't.
         probes.append(sets.select("row", "size", F.lit(k).alias("width"), F.explode_outer("h").alias("hash")))
