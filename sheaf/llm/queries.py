@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, simhash, token_planes, url_rules
+from . import decontaminate, pii, quality, simhash, token_planes, url_rules
 from .common import shared_path, table
 
 QUERIES, ORACLES = {}, {}
@@ -82,3 +82,9 @@ def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "ids")
     token_planes.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_planes.digest(spark, path)
+
+
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.report(documents, pii.learn(documents))
