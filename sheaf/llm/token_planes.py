@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for all tasks that a Python worker runs, so words are learned once per worker."""
+    return WordEncoder(path)
+
+
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """Planes of one block, lowest first."""
     if kind == "byte":
@@ -167,7 +174,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, kind: str = "byte", b
     its longest document asks.
     """
     def run(batches):
-        encoder, press = WordEncoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        encoder, press = encoder_for(tokenizer), zstandard.ZstdCompressor(level=1)
         shard, number = TaskContext.get().partitionId(), 0
         docs, sizes, parts, held = [], [], [], 0
 
