@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pii, quality, simhash, token_planes, url_rules
+from . import chat, decontaminate, pii, quality, repeats, simhash, token_planes, url_rules
 from .common import saved, shared_path, table
 
 QUERIES, ORACLES = {}, {}
@@ -98,3 +98,9 @@ def op4_chat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     return chat.digest(saved(chat.format_turns(conversations.unionByName(tricky))))
+
+
+@query
+def op3_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
