@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pii, quality, repeats, simhash, token_planes, url_rules
+from . import chat, decontaminate, ngrams, pii, quality, repeats, simhash, token_planes, url_rules
 from .common import saved, shared_path, table
 
 QUERIES, ORACLES = {}, {}
@@ -104,3 +104,31 @@ def op4_chat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngrams.score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", *[F.get("levels", F.lit(k)).alias(f"n_{name}") for k, name in enumerate(("unigram", "bigram", "trigram"))],
+                         F.col("score").alias("score_micro"))
+
+
+ORACLES["op1_stupid_backoff"] = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, p, w[p] AS a, CASE WHEN p > 1 THEN w[p - 1] END AS b, CASE WHEN p > 2 THEN w[p - 2] END AS c
+      FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+c1 AS (SELECT a, count(*) AS n FROM g GROUP BY a),
+c2 AS (SELECT b, a, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, a),
+c3 AS (SELECT c, b, a, count(*) AS n FROM g WHERE c IS NOT NULL GROUP BY c, b, a),
+s AS (SELECT g.doc_id, least(p - 1, 2) AS held,
+        CASE WHEN c3.n >= 2 THEN 3 WHEN c2.n >= 2 THEN 2 ELSE 1 END AS level,
+        CASE WHEN c3.n >= 2 THEN c3.n / h2.n WHEN c2.n >= 2 THEN c2.n / h1.n ELSE c1.n / (SELECT count(*) FROM g) END AS ratio
+      FROM g JOIN c1 ON c1.a = g.a LEFT JOIN c2 ON c2.a = g.a AND c2.b = g.b LEFT JOIN c3 ON c3.a = g.a AND c3.b = g.b AND c3.c = g.c
+      LEFT JOIN c1 AS h1 ON h1.a = g.b LEFT JOIN c2 AS h2 ON h2.a = g.b AND h2.b = g.c),
+t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (level = 1) AS n_unigram, count(*) FILTER (level = 2) AS n_bigram,
+        count(*) FILTER (level = 3) AS n_trigram, sum(floor((ln(ratio) + (held - level + 1) * ln(0.4::DOUBLE)) * 1000000 + 0.5)::BIGINT)::BIGINT AS score_micro
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_unigram, 0) AS n_unigram, coalesce(n_bigram, 0) AS n_bigram,
+  coalesce(n_trigram, 0) AS n_trigram, coalesce(score_micro, 0) AS score_micro
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id"""
