@@ -106,8 +106,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_
     chosen = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.min("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    texts = documents.select("doc_id", "text").join(chosen, "doc_id")
-    return statistics(texts).join(chosen, "doc_id").select("doc_id", "quality", *FEATURES)
+    # The sample's bound is the size bound of what is broadcast.
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return statistics(texts).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *FEATURES)
 
 
 def learn(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, precision: float = 0.95,
@@ -219,4 +220,7 @@ def keep(documents: DataFrame, rules: list[list[Test]]) -> DataFrame:
     names = documents.columns
     packed = documents.select(F.col("text"), F.struct(*[F.col(c) for c in names]).alias("row"))
     judged = judge_documents(packed.select(F.col("row").alias("doc_id"), "text"), rules)
-    return judged.filter("kept").select("doc_id.*")
+    # A filter on the verdict would be moved below the steps that make the arrays and make them again word by word; the outer
+    # explode stands between.
+    shown = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("doc_id"))).alias("row"))
+    return shown.filter("row is not null").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, ngrams, pii, quality, repeats, simhash, token_planes, url_rules
+from . import chat, decontaminate, ngrams, pii, quality, repeats, segments, simhash, token_planes, url_rules
 from .common import saved, shared_path, table
 
 QUERIES, ORACLES = {}, {}
@@ -132,3 +132,11 @@ t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (level = 1) AS n_unigr
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_unigram, 0) AS n_unigram, coalesce(n_bigram, 0) AS n_bigram,
   coalesce(n_trigram, 0) AS n_trigram, coalesce(score_micro, 0) AS score_micro
 FROM d LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+
+@query
+def op10_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    sampled = segments.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return sampled.drop("ids")
