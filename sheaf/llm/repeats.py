@@ -1,6 +1,7 @@
 """Repeated passages by a common-prefix interval tree over an enhanced suffix array.
 
-A byte goes if a string of ``WIDTH`` bytes over it also starts in a document with a smaller id. Two rounds between
+A byte goes if a string of ``WIDTH`` bytes over it also starts in a document with a smaller id. Whole copies of a text with a
+smaller id are found first, by digest: they lose everything and take no part. For the rest, two rounds between
 batches and buckets (see ``rounds``) find these strings:
 
 1. Anchors. Of the hashes of all ``GRAM``-byte grams, those that are the smallest in some run of WIDTH - GRAM + 1 grams are
@@ -24,8 +25,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import rounds
+from .common import saved
 
 WIDTH, GRAM = 50, 26
 #: A null id stands behind all others.
@@ -124,8 +127,32 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=_U)
 
 
+#: Stands for the bucket of a batch's list of whole copies.
+COPIES = -1
+
+
+def _copies(dealt: DataFrame) -> DataFrame:
+    """(batch, bucket, body): the rows of each batch whose text a smaller id has too, as digests of id and text."""
+    rows = dealt.select("batch", "doc_id", F.sha2("body", 256).alias("text"))
+    firsts = rows.groupBy("text").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
+    later = rows.join(firsts, "text").filter("doc_id is null or doc_id > first")
+    pairs = later.select("batch", F.concat_ws(" ", F.coalesce("doc_id", F.lit(LAST)).cast("string"), "text").alias("row")).distinct()
+    return pairs.groupBy("batch").agg(F.array_join(F.collect_list("row"), "\n").alias("list")).select(
+        "batch", F.lit(COPIES).cast("long").alias("bucket"), F.col("list").cast("binary").alias("body"))
+
+
+def _without_copies(ids: list, texts: list, answers: dict) -> tuple[list, list, list]:
+    """Ids and texts with the copies' texts emptied, and which they are."""
+    listed = set(answers.pop(COPIES, b"").split(b"\n"))
+    if listed == {b""}:
+        return ids, texts, [False] * len(ids)
+    out = [f"{LAST if i is None else i} {hashlib.sha256(t).hexdigest()}".encode() in listed for i, t in zip(ids, texts)]
+    return ids, [b"" if c else t for c, t in zip(out, texts)], out
+
+
 def _ask_shared(n_buckets: int, width: int, gram: int):
-    def question(ids, texts):
+    def question(ids, texts, answers):
+        ids, texts, _ = _without_copies(ids, texts, answers)
         found = [(np.array([LAST if ids[k] is None else ids[k] for k in n.tolist()], np.int64), h) for n, _, h in anchors(texts, width, gram)]
         if not found:
             return {}
@@ -169,6 +196,7 @@ def _members(h: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def _ask_repeats(n_buckets: int, width: int, gram: int):
     def question(ids, texts, answers):
+        ids, texts, _ = _without_copies(ids, texts, answers)
         shared = _among([_from_planes(_expand(b)[0]) for b in answers.values()])
         seen: dict = {}
         for number, place, h in anchors(texts, width, gram):
@@ -245,7 +273,10 @@ def _reply_repeats(width: int):
             for left, right, least, members in maximal_repeats(rows, width):
                 for i in members:
                     if rows[i][3] > least:
-                        found.setdefault((k, rows[i][0], rows[i][1]), set()).add((left, right, least))
+                        spans = found.setdefault((k, rows[i][0], rows[i][1]), [])
+                        # Longer prefixes come first; what one of them covers for as small a document says nothing new.
+                        if not any(a >= left and b >= right and x <= least for a, b, x in spans):
+                            spans.append((left, right, least))
         out = []
         for body in bodies:
             keys, codes, counts, lefts, rights, least = [], [], [], [], [], []
@@ -270,7 +301,8 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _finish(width: int, gram: int):
-    def finish(ids, texts, answers):
+    def finish(ids, whole, answers):
+        ids, texts, copied = _without_copies(ids, whole, answers)
         cover: dict = {}
         for body in answers.values():
             k, codes, counts, lefts, rights, least = _expand(body)
@@ -288,8 +320,8 @@ def _finish(width: int, gram: int):
                     if least < doc:
                         marks.setdefault(i, []).append((at - a, at + b))
         rows = []
-        for i, t in enumerate(texts):
-            runs: list[list[int]] = []
+        for i, t in enumerate(whole):
+            runs: list[list[int]] = [[0, len(t)]] if copied[i] and len(t) >= width else []
             for a, b in sorted(marks.get(i, ())):
                 if runs and a <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], b)
@@ -315,6 +347,7 @@ def repeated_passages(documents: DataFrame, width: int = WIDTH, gram: int = GRAM
     lose; null ids stand behind all others; extra columns are ignored; an empty table gives no rows.
     """
     dealt, n = rounds.batches(documents)
-    shared = rounds.answer(rounds.ask(dealt, _ask_shared(n, width, gram)), _reply_shared)
-    repeats = rounds.answer(rounds.ask(dealt, _ask_repeats(n, width, gram), shared), _reply_repeats(width))
-    return rounds.use(dealt, repeats, _finish(width, gram), SCHEMA)
+    copies = saved(_copies(dealt))
+    shared = rounds.answer(rounds.ask(dealt, _ask_shared(n, width, gram), copies), _reply_shared)
+    repeats = rounds.answer(rounds.ask(dealt, _ask_repeats(n, width, gram), shared.union(copies)), _reply_repeats(width))
+    return rounds.use(dealt, repeats.union(copies), _finish(width, gram), SCHEMA)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a batch and, in the mean, behind a bucket. Both numbers grow with the corpus, neither with a batch's size.
-BATCH_BYTES, BUCKET_BYTES = 6_000_000, 12_000_000
+BATCH_BYTES, BUCKET_BYTES = 6_000_000, 8_000_000
 BLOCK = "batch long, bucket long, body binary"
 
 
