@@ -7,7 +7,8 @@ words or more seen less than ``min_count`` times, so that single sightings back
 The join runs in rounds (see ``rounds``): a batch of documents explodes its n-grams and sends each bucket of hashes the
 distinct ones with their counts, sorted and packed. A bucket is one partition of the count table: it adds the counts up and
 sends every batch the totals of the n-grams it asked for. The batch joins them to its n-grams and sums per
-document. A frequent n-gram is one entry per batch.
+document. A frequent n-gram is one entry per batch. Words and pairs go in the first round; a longer n-gram goes in a later
+one, and only if both n-grams of one word less inside it are in the tables: else it cannot be seen ``min_count`` times itself.
 """
 
 from __future__ import annotations
@@ -58,51 +59,105 @@ class Grams:
                     now = np.concatenate((np.zeros(1, _U), _mixed(now[:-1] * _STEP + one[1:] + _U(n)))) if len(now) else now
                 # Zero stands for none.
                 self.hashes.append(np.where(self.place >= n - 1, now | _U(1), _U(0)))
-        every = np.concatenate(self.hashes) if self.hashes else np.zeros(0, _U)
-        self.distinct, self.index, self.counts = np.unique(every, return_inverse=True, return_counts=True)
+
+    def level(self, n: int, keep: np.ndarray | None = None) -> "Level":
+        at = self.hashes[n - 1] != 0
+        return Level(self.hashes[n - 1], at if keep is None else at & keep)
+
+
+class Level:
+    """Distinct n-grams of one order at the places ``at``, with their counts, and the totals once they are known."""
+
+    def __init__(self, hashes: np.ndarray, at: np.ndarray):
+        self.at = at
+        self.keys, self.index, self.counts = np.unique(hashes[at], return_inverse=True, return_counts=True)
 
     def parts(self, n_buckets: int) -> np.ndarray:
-        return (self.distinct >> _U(1)) % _U(n_buckets)
+        return (self.keys >> _U(1)) % _U(n_buckets)
+
+    def totals(self, replies: dict[int, bytes], n_buckets: int, base: int, place: int) -> np.ndarray:
+        """Total of the n-gram at every word, 0 where none was asked for."""
+        total, part = np.zeros(len(self.keys), np.int64), self.parts(n_buckets)
+        for b in range(n_buckets):
+            if base + b in replies:
+                total[part == b] = _numbers(replies[base + b][place])
+        out = np.zeros(len(self.at), np.int64)
+        out[self.at] = total[self.index]
+        return out
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _blocks(levels: list[Level], n_buckets: int, base: int) -> dict[int, bytes]:
+    parts = [v.parts(n_buckets) for v in levels]
+    out = {}
+    for b in range(n_buckets):
+        mine = [p == b for p in parts]
+        if any(m.any() for m in mine):
+            out[base + b] = _press(*(x for v, m in zip(levels, mine) for x in (_bytes_planes(v.keys[m]), _planes(v.counts[m]))))
+    return out
+
+
+def _joined(g: Grams, answers: dict, order: int, n_buckets: int, min_count: int) -> list[np.ndarray]:
+    """Totals per word for orders 1 to ``order``, from the replies of as many rounds as that takes."""
+    replies = {b: _expand(body) for b, body in answers.items()}
+    per = [g.level(n).totals(replies, n_buckets, 0, n - 1) for n in range(1, min(order, 2) + 1)]
+    for n in range(3, order + 1):
+        per.append(g.level(n, _possible(per[-1], min_count)).totals(replies, n_buckets, (n - 2) * n_buckets, 0))
+    return per
+
+
+def _possible(shorter: np.ndarray, min_count: int) -> np.ndarray:
+    held = shorter >= min_count
+    return held & np.r_[False, held[:-1]] if len(held) else held
 
 
 def _ask(n_buckets: int, order: int):
     def question(ids, texts):
-        g = Grams(texts, order)
-        part = g.parts(n_buckets)
-        blocks = {}
-        for b in range(n_buckets):
-            mine = (part == b) & (g.distinct != 0)
-            if mine.any():
-                blocks[b] = _press(_bytes_planes(g.distinct[mine]), g.counts[mine].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-        return blocks
+        g = Grams(texts, min(order, 2))
+        return _blocks([g.level(n) for n in range(1, min(order, 2) + 1)], n_buckets, 0)
 
     return question
 
 
-def _counts(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _ask_longer(n_buckets: int, n: int, min_count: int):
+    def question(ids, texts, answers):
+        g = Grams(texts, n)
+        per = _joined(g, answers, n - 1, n_buckets, min_count)
+        return _blocks([g.level(n, _possible(per[-1], min_count))], n_buckets, (n - 2) * n_buckets)
+
+    return question
 
 
 def _reply(bodies):
-    """Totals of the asked n-grams; 64-bit, in byte planes."""
+    """Totals of the asked n-grams, level by level."""
     asked = [_expand(b) for b in bodies]
-    keys = [_from_planes(k) for k, _ in asked]
-    every, index = np.unique(np.concatenate(keys), return_inverse=True)
+    keys = [[_from_planes(k) for k in x[::2]] for x in asked]
+    flat = [k for x in keys for k in x]
+    every, index = np.unique(np.concatenate(flat), return_inverse=True)
     totals = np.zeros(len(every), np.int64)
-    np.add.at(totals, index, np.concatenate([_counts(c) for _, c in asked]))
-    ends = np.cumsum([len(k) for k in keys]).tolist()
-    return [_press(totals[index[e - len(k):e]].view(np.uint8).reshape(-1, 8).T.tobytes()) for k, e in zip(keys, ends)]
+    np.add.at(totals, index, np.concatenate([_numbers(c) for x in asked for c in x[1::2]]))
+    out, at = [], 0
+    for x in keys:
+        reply = []
+        for k in x:
+            reply.append(_planes(totals[index[at:at + len(k)]]))
+            at += len(k)
+        out.append(_press(*reply))
+    return out
 
 
 def _finish(n_buckets: int, order: int, backoff: float, min_count: int, n_all: int):
     def finish(ids, texts, answers):
         g = Grams(texts, order)
-        part = g.parts(n_buckets)
-        total = np.zeros(len(g.distinct), np.int64)
-        for b, body in answers.items():
-            total[(part == b) & (g.distinct != 0)] = np.ascontiguousarray(np.frombuffer(_expand(body)[0], np.uint8).reshape(8, -1).T).view("<i8").ravel()
+        per = _joined(g, answers, order, n_buckets, min_count)
         n = len(g.place)
-        per = total[g.index].reshape(order, n)
         score, level = np.zeros(n), np.zeros(n, np.int64)
         for k in range(order, 0, -1):
             held = (level == 0) & (g.hashes[k - 1] != 0) & ((per[k - 1] >= min_count) if k > 1 else True)
@@ -130,6 +185,8 @@ def score_documents(documents: DataFrame, order: int = ORDER, backoff: float = B
     ids are kept; extra columns are ignored; an empty table gives no rows.
     """
     n_all = documents.agg(F.sum(F.regexp_count(text_of("text"), F.lit(BLANKS.replace("[", "[^") + "+")))).first()[0] or 0
-    dealt, n = rounds.batches(documents)
+    dealt, n = rounds.batches(documents, batch_bytes=2 * rounds.BATCH_BYTES)
     totals = rounds.answer(rounds.ask(dealt, _ask(n, order)), _reply)
+    for k in range(3, order + 1):
+        totals = totals.union(rounds.answer(rounds.ask(dealt, _ask_longer(n, k, min_count), totals), _reply))
     return rounds.use(dealt, totals, _finish(n, order, backoff, min_count, n_all), SCHEMA)

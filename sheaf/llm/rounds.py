@@ -17,11 +17,11 @@ BATCH_BYTES, BUCKET_BYTES = 6_000_000, 8_000_000
 BLOCK = "batch long, bucket long, body binary"
 
 
-def batches(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+def batches(documents: DataFrame, batch_bytes: int = BATCH_BYTES, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
     """(batch, doc_id, body) with the text's bytes, null as empty; and the number of buckets."""
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(8, -(-size // BATCH_BYTES))
+    n = max(8, -(-size // batch_bytes))
     # Rows of one id are spread by their text as well: copies under one id may be many.
     batch = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n))
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
