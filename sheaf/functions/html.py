@@ -1,14 +1,13 @@
-"""HTML expressions (regular noise, well-behaved pages) and a nesting-correct Arrow UDF."""
+"""HTML expressions: cleaning by tokens, text pieces, character references, head fields."""
 
 from __future__ import annotations
 
+import json
 import re
-from html.parser import HTMLParser
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
 from .text import col, strip
@@ -18,119 +17,98 @@ ENTITIES = (
     ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&hellip;", "…"), ("&mdash;", "—"),
     ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&euro;", "€"), ("&amp;", "&"),
 )
-BLOCKS = ("div", "section", "span", "ul", "ol", "li", "p", "a", "table", "article", "main", "button")
 _NOISY = "|".join(fixed.NOISE_CLASSES)
-NOISE_TAG = f"(?is)<({'|'.join(fixed.NOISE_TAGS)})(?:\\s[^>]*)?>.*?</\\1\\s*>"
-NOISE_CLASS = (f"(?is)<({'|'.join(BLOCKS)})\\s(?:[^>]*\\s)?class\\s*=\\s*[\"'][^\"'>]*(?:{_NOISY})[^\"'>]*[\"'][^>]*>.*?</\\1\\s*>")
-# the same, one element name at a time, for engines without back-references
-NOISE_TAG_PATTERNS = tuple(NOISE_TAG.replace("|".join(fixed.NOISE_TAGS), t).replace("\\1", t) for t in fixed.NOISE_TAGS)
-NOISE_CLASS_PATTERNS = tuple(NOISE_CLASS.replace("|".join(BLOCKS), t, 1).replace("\\1", t) for t in BLOCKS)
 NOISE_ATTRIBUTE = "(?i)(<[a-z][^>]*?)\\s(?:on[a-z]*|style)\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s>]+)"
 COMMENT = "(?s)<!--.*?-->"
 TAG = "<[^>]*>"
 MARK = "\x01"
 
 
-def clean_fast(html: Column | str) -> Column:
-    """Noise removal by patterns: right where noise elements do not nest in themselves."""
-    plain = F.regexp_replace(F.regexp_replace(col(html), NOISE_TAG, ""), NOISE_CLASS, "")
-    return F.regexp_replace(plain, NOISE_ATTRIBUTE, "$1")
+#: Script and style elements are one token each: their text is no markup.
+TOKEN = r"(?is)<(?:script)\b[^>]*>.*?</script\s*>|<(?:style)\b[^>]*>.*?</style\s*>|<!--.*?-->|</?[a-z][^>]*>|<[!?][^>]*>|[^<]+|<"
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+_ATTRIBUTE = "\\s(?:on[a-z]*|style)\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s>]+)"
+_CLASS = "(?is)^<[^>]*?\\sclass\\s*=\\s*(?:\"([^\"]*)|'([^']*)|([^\\s>\"']+))"
 
 
-def unescape(c: Column) -> Column:
-    for entity, ch in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(ch))
-    return c
-
+def clean(html: Column | str) -> Column:
+    """The page without noise elements (by name, or a class that holds a noise word, on any element) and without event and style
+    attributes. Null gives ''.
 
-def text_pieces(html: Column | str) -> Column:
-    """Stripped, non-empty text nodes in order."""
-    marked = F.regexp_replace(F.regexp_replace(col(html), COMMENT, ""), TAG, MARK)
-    return F.filter(F.transform(F.split(marked, MARK), lambda x: strip(unescape(x))), lambda x: x != "")
+    Tokens are folded over a stack of open elements. An end tag closes the last open element of its name and all inside it;
+    one that closes nothing is kept as it stands; what is never closed stays open to the end of the page.
+    """
+    tokens = F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(TOKEN), F.lit(0))
 
+    def described(t: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"^</?([A-Za-z][^\s/>]*)", 1))
+        value = F.lower(F.concat(*[F.regexp_extract(t, _CLASS, i) for i in (1, 2, 3)]))
+        noisy = name.isin(*fixed.NOISE_TAGS) | (value != "") & value.rlike(_NOISY)
+        kind = (F.when(name == "", "text").when(t.startswith("</"), "end")
+                .when(name.isin(*VOID) | t.rlike(r"(?is)</(?:script|style)\s*>$"), "alone").otherwise("start"))
+        shown = F.when(kind.isin("start", "alone"), F.regexp_replace(t, "(?i)" + _ATTRIBUTE, "")).otherwise(t)
+        return F.struct(shown.alias("text"), name.alias("name"), (noisy & (kind != "end") & (kind != "text")).alias("noisy"), kind.alias("kind"))
 
-def text_of(pieces: Column) -> Column:
-    return F.regexp_replace(F.array_join(pieces, "\n"), "\n{3,}", "\n\n")
+    # Open elements, innermost first; those that mute are marked.
+    def step(s: Column, t: Column) -> Column:
+        at = F.array_position(F.transform(s["open"], lambda x: F.ltrim(x, F.lit("!"))), t["name"]).cast("int")
+        closes = (t["kind"] == "end") & (at > 0)
+        left = F.when(closes, F.slice(s["open"], at + 1, F.greatest(F.size(s["open"]) - at, F.lit(0)))).otherwise(s["open"])
+        opened = F.when(t["kind"] == "start", F.concat(F.array(F.concat(F.when(t["noisy"], "!").otherwise(""), t["name"])), left)).otherwise(left)
+        # An end tag belongs to the element it closes.
+        inside = F.when(closes, F.slice(s["open"], at, F.greatest(F.size(s["open"]) - at + 1, F.lit(0)))).otherwise(s["open"])
+        muted = t["noisy"] | F.exists(inside, lambda x: x.startswith("!"))
+        return F.struct(opened.alias("open"), F.when(muted, s["kept"]).otherwise(F.concat(s["kept"], F.array(t["text"]))).alias("kept"))
 
+    none = F.array().cast("array<string>")
+    return F.aggregate(F.transform(tokens, described), F.struct(none.alias("open"), none.alias("kept")), step, lambda s: F.array_join(s["kept"], ""))
 
-def first_group(html: Column | str, pattern: str) -> Column:
-    return F.regexp_extract(col(html), pattern, 1)
-
-
-def meta_content(html: Column | str, name: str) -> Column:
-    tag = F.regexp_extract(col(html), f"(?is)<meta\\s[^>]*name\\s*=\\s*[\"']{name}[\"'][^>]*>", 0)
-    return unescape(F.regexp_extract(tag, "(?is)\\scontent\\s*=\\s*[\"']([^\"']*)[\"']", 1))
 
+def _names() -> str:
+    """Every named reference that ends in a semicolon, and the numbers that pages mean as Windows-1252, as a JSON map."""
+    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return json.dumps(named | {f"#{i}": bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)})
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_NOISE_TAG_SET = set(fixed.NOISE_TAGS)
 
+REFERENCE = "(?s)&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 
-class _Cleaner(HTMLParser):
-    """Re-emits a page without noise elements and event/style attributes."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=False)
-        self.out: list[str] = []
-        self.open: list[tuple[str, bool]] = []
-        self.muted = 0
+def _decoded(part: Column) -> Column:
+    """The character of one reference; other pieces as they are. Numbers that name no character give U+FFFD."""
+    body = F.substring(part, F.lit(2), F.length(part) - 2)
+    names = F.from_json(F.lit(_names()), "map<string,string>")
+    digits = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.lit(9)), 16, 10)).otherwise(F.substring(body, F.lit(2), F.lit(18)))
+    code = F.coalesce(digits.try_cast("long"), F.lit(0))
+    good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(1))), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    number = F.coalesce(F.try_element_at(names, F.concat(F.lit("#"), code.cast("string"))), char)
+    return (F.when(~part.rlike("^&.+;$"), part).when(body.startswith("#"), number)
+            .otherwise(F.coalesce(F.try_element_at(names, body), part)))
 
-    def handle_starttag(self, tag, attrs):
-        classes = (dict(attrs).get("class") or "").lower().split()
-        noisy = tag in _NOISE_TAG_SET or any(n in c for c in classes for n in fixed.NOISE_CLASSES)
-        if not (self.muted or noisy):
-            kept = "".join(f' {k}="{v}"' if v is not None else f" {k}" for k, v in attrs
-                           if not k.startswith("on") and k != "style")
-            self.out.append(f"<{tag}{kept}>")
-        if tag not in _VOID:
-            self.open.append((tag, noisy))
-            self.muted += noisy
 
-    def handle_endtag(self, tag):
-        if tag not in (t for t, _ in self.open):
-            return
-        while self.open:
-            name, noisy = self.open.pop()
-            if not (self.muted or noisy):
-                self.out.append(f"</{name}>")
-            self.muted -= noisy
-            if name == tag:
-                return
-
-    def _keep(self, text):
-        if not self.muted:
-            self.out.append(text)
-
-    def handle_data(self, data):
-        self._keep(data)
+def unescape(c: Column) -> Column:
+    """Character references in one pass, so that nothing is decoded twice."""
+    parts = F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, _decoded), "")).otherwise(c)
 
-    def handle_entityref(self, name):
-        self._keep(f"&{name};")
 
-    def handle_charref(self, name):
-        self._keep(f"&#{name};")
+def text_pieces(html: Column | str) -> Column:
+    """Stripped, non-empty text nodes in order."""
+    marked = F.regexp_replace(F.regexp_replace(col(html), COMMENT, ""), TAG, MARK)
+    return F.filter(F.transform(F.split(marked, MARK), lambda x: strip(unescape(x))), lambda x: x != "")
 
-    def handle_comment(self, data):
-        self._keep(f"<!--{data}-->")
 
-    def handle_decl(self, decl):
-        self._keep(f"<!{decl}>")
+def text_of(pieces: Column) -> Column:
+    return F.regexp_replace(F.array_join(pieces, "\n"), "\n{3,}", "\n\n")
 
 
-def _clean_one(html: str | None) -> str:
-    if not html:
-        return ""
-    parser = _Cleaner()
-    parser.feed(html)
-    parser.close()
-    closing = [f"</{t}>" for t, noisy in reversed(parser.open) if not noisy]
-    return "".join(parser.out) + ("" if parser.muted else "".join(closing))
+def first_group(html: Column | str, pattern: str) -> Column:
+    return F.regexp_extract(col(html), pattern, 1)
 
 
-@F.pandas_udf(T.StringType())
-def clean_nested(html: pd.Series) -> pd.Series:
-    """Nesting-correct noise removal; parsing markup is the one step expressions cannot do."""
-    return html.map(_clean_one)
+def meta_content(html: Column | str, name: str) -> Column:
+    tag = F.regexp_extract(col(html), f"(?is)<meta\\s[^>]*name\\s*=\\s*[\"']{name}[\"'][^>]*>", 0)
+    return unescape(F.regexp_extract(tag, "(?is)\\scontent\\s*=\\s*[\"']([^\"']*)[\"']", 1))
 
 
 def url_pattern(body: str, anchored: bool) -> str:

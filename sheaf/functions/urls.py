@@ -35,25 +35,33 @@ def depth(u: Column | str) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, "/"))).cast("int")
 
 
-def resolve(base: Column | str, href: Column | str) -> Column:
-    """Absolute form of ``href`` seen from ``base``.
+def fold_dots(path: Column) -> Column:
+    """A path that starts with '/', its ``.`` and ``..`` segments folded at any depth; steps above the root are dropped."""
+    segments = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    kept = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda held, s: F.when(s == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0))))
+        .when(s == ".", held).otherwise(F.concat(held, F.array(s))))
+    # A path that ends in a dot segment names a folder.
+    folder = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    folded = F.concat(F.lit("/"), F.array_join(kept, "/"), folder)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), folded).otherwise(path)
+
 
-    Covers absolute, protocol-relative, root-relative, query-only and plain relative links;
-    leading ``../`` steps are folded up to three levels.
-    """
+def resolve(base: Column | str, href: Column | str) -> Column:
+    """Absolute form of ``href`` seen from ``base``: absolute, protocol-relative, root-relative, query-only, fragment-only and
+    plain relative links, dot segments folded at any depth."""
     base, href = col(base), col(href)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.concat(root, F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(path(base), "^/", "")),
-                                             "[^/]*$", ""))
-    joined = F.concat(folder, F.regexp_replace(href, r"^(\./)+", ""))
-    for _ in range(3):
-        joined = F.regexp_replace(joined, r"(//[^/]+(?:/[^/]+)*?)/[^/]+/\.\./", "$1/")
+    folder = F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(path(base), "^/", "")), "[^/]*$", "")
+    own, rest = F.regexp_extract(href, r"(?s)^[^?#]*", 0), F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), F.concat(root, fold_dots(own), rest))
         .when(href.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), href))
-        .otherwise(joined)
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
+        .otherwise(F.concat(root, fold_dots(F.concat(folder, own)), rest))
     )
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
 from ..functions.skew import running
@@ -243,10 +241,11 @@ def chunk_documents(documents: DataFrame, size: int = 1200, overlap: int = 100)
     """Overlapping word chunks (chunk_id, doc_id, chunk_order, content), one narrow pass over the texts."""
     split = documents.select("doc_id", words("text").alias("_w")).filter(F.size("_w") > 0)
     starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(size - overlap))
-    placed = split.select("doc_id", "_w", F.posexplode(starts).alias("chunk_order", "_at"))
-    return placed.select(
-        F.concat_ws("_", F.lit("chunk"), "doc_id", "chunk_order").alias("chunk_id"), "doc_id", "chunk_order",
-        F.array_join(F.slice("_w", F.col("_at") + 1, F.lit(size)), " ").alias("content"))
+    # Strings are cut before rows are made: no row carries the whole document. The outer form keeps Spark from adding a filter
+    # below that would cut them twice; there is a start for every text with words.
+    cut = F.transform(starts, lambda at: F.array_join(F.slice("_w", at + 1, F.lit(size)), " "))
+    placed = split.select("doc_id", F.posexplode_outer(cut).alias("chunk_order", "content"))
+    return placed.select(F.concat_ws("_", F.lit("chunk"), "doc_id", "chunk_order").alias("chunk_id"), "doc_id", "chunk_order", "content")
 
 
 def doc_status(documents: DataFrame, size: int = 1200, overlap: int = 100) -> DataFrame:
@@ -257,30 +256,26 @@ def doc_status(documents: DataFrame, size: int = 1200, overlap: int = 100) -> Da
         F.ceil(n / F.lit(size - overlap)).cast("int").alias("chunks_count"))
 
 
-def _pack(limit: int, sep: str):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pack(texts: pd.Series) -> pd.Series:
-        def one(text):
-            packed, held, used = [], [], 0
-            for p in text.split(sep):
-                if used + len(p) < limit:
-                    held.append(p)
-                    used += len(p)
-                else:
-                    if held:
-                        packed.append(sep.join(held))
-                    held, used = [p], len(p)
-            return packed + [sep.join(held)] if held else packed
-        return texts.map(one)
-    return pack
-
-
 def pack_paragraphs(documents: DataFrame, limit: int = 4000, sep: str = "\n\n") -> DataFrame:
     """Greedy packing of paragraphs while their summed length stays under ``limit`` (a fold within one text)."""
-    return documents.select("doc_id", F.posexplode(_pack(limit, sep)("text")).alias("part", "content"))
+    none = F.array().cast("array<string>")
+
+    def flushed(s):
+        return F.when(F.size(s["held"]) > 0, F.concat(s["parts"], F.array(F.array_join(s["held"], sep)))).otherwise(s["parts"])
+
+    def step(s, p):
+        fits = s["used"] + F.length(p) < limit
+        return F.struct(
+            F.when(fits, s["parts"]).otherwise(flushed(s)).alias("parts"),
+            F.when(fits, F.concat(s["held"], F.array(p))).otherwise(F.array(p)).alias("held"),
+            F.when(fits, s["used"] + F.length(p)).otherwise(F.length(p)).alias("used"))
+
+    paragraphs = F.split("text", "\\Q" + sep + "\\E")
+    packed = F.aggregate(paragraphs, F.struct(none.alias("parts"), none.alias("held"), F.lit(0).alias("used")), step, flushed)
+    return documents.select("doc_id", F.posexplode_outer(packed).alias("part", "content")).filter("part is not null")
 
 
 def split_fixed(documents: DataFrame, limit: int = 3500) -> DataFrame:
     starts = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text"), F.lit(limit)))
-    return documents.select("doc_id", "text", F.posexplode(starts).alias("part", "_at")).select(
-        "doc_id", "part", F.substring(F.col("text"), F.col("_at"), F.lit(limit)).alias("content"))
+    cut = F.transform(starts, lambda at: F.substring(F.col("text"), at, F.lit(limit)))
+    return documents.select("doc_id", F.posexplode_outer(cut).alias("part", "content")).filter("part is not null")

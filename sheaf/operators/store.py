@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.text import col
-from .retrieval import substring_matches
 
 
 def suffix(name: Column | str) -> Column:
@@ -79,8 +78,14 @@ def skip_processed(documents: DataFrame, processed: DataFrame, stem: str, key: s
     """Documents not processed yet: by equal key, or by a processed key that contains the stem."""
     if not contains:
         return documents.join(processed.select(F.col(key).alias(stem)), stem, "left_anti")
-    done = substring_matches(documents.select(F.col(stem).alias("needle")), processed.select(F.col(key).alias("term")).distinct())
-    return documents.join(done.select(F.col("needle").alias(stem)).distinct(), stem, "left_anti")
+    # Each key shows its substrings of the lengths that stems have; work per key is bounded by its own length.
+    lengths = documents.select(F.sort_array(F.collect_set(F.length(stem)))).scalar()
+    name = F.col("_key")
+    # One more start than there is room for would run backwards.
+    spots = lambda n: F.when(F.length(name) >= n, F.sequence(F.lit(1), F.length(name) - n + 1)).otherwise(F.array().cast("array<int>"))
+    shown = F.flatten(F.transform(F.col("_n"), lambda n: F.transform(spots(n), lambda i: F.substring(name, i, n))))
+    done = processed.select(F.col(key).alias("_key"), lengths.alias("_n")).select(F.explode_outer(F.array_distinct(shown)).alias(stem))
+    return documents.join(done.filter(F.col(stem).isNotNull()), stem, "left_anti")
 
 
 def json_kv(rows: DataFrame, id_column: str, json_column: str) -> DataFrame:

@@ -16,19 +16,19 @@ from ..session import cut_lineage
 
 # --- pages ---------------------------------------------------------------------------------------
 
-def clean_html(pages: DataFrame, nested: bool = False) -> DataFrame:
-    cleaned = H.clean_nested("html") if nested else H.clean_fast("html")
+def clean_html(pages: DataFrame) -> DataFrame:
+    cleaned = H.clean("html")
     return pages.select("page_id", cleaned.alias("cleaned"))
 
 
-def extract_text(pages: DataFrame, nested: bool = False) -> DataFrame:
+def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, content): text nodes of the cleaned page, one per line."""
-    cleaned = pages.withColumn("_c", H.clean_nested("html") if nested else H.clean_fast("html"))
+    cleaned = pages.withColumn("_c", H.clean("html"))
     return cleaned.select("page_id", H.text_of(H.text_pieces("_c")).alias("content"))
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
-    cleaned = pages.select("page_id", "url", "html", H.clean_fast("html").alias("_c")).withColumn(
+    cleaned = pages.select("page_id", "url", "html", H.clean("html").alias("_c")).withColumn(
         "_text", H.text_of(H.text_pieces("_c")))
     title = strip(H.unescape(H.first_group("_c", "(?is)<title[^>]*>(.*?)</title>")))
     h1 = F.array_join(H.text_pieces(H.first_group("_c", "(?is)<h1[^>]*>(.*?)</h1>")), "")
@@ -61,7 +61,7 @@ def http_success(status: Column | str, error: Column | str) -> Column:
 
 def validate_page(fetched: DataFrame) -> DataFrame:
     """(page_id, url, reject_reason) for fetched pages (page_id, url, html, status_code, error); null reason = valid."""
-    measured = fetched.withColumn("_text", F.length(F.array_join(H.text_pieces(H.clean_fast("html")), ""))).withColumn(
+    measured = fetched.withColumn("_text", F.length(F.array_join(H.text_pieces(H.clean("html")), ""))).withColumn(
         "_scripts", F.size(F.regexp_extract_all("html", F.lit("(?i)(<script[\\s>])"), 1)))
     reason = (
         F.when(~http_success("status_code", "error"), "unsuccessful")

@@ -64,18 +64,18 @@ def _(t):
 
 
 def rate_events(t):
-    return t.events.select(F.col("event_type").alias("key"), "ts", "event_id")
+    return t.events.select(F.col("user_id").cast("string").alias("key"), "ts", "event_id")
 
 
 @query("rate_window_counts", """
-    SELECT event_type AS key, ts, event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts
+    SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts
       RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n_in_window FROM events""")
 def _(t):
     return b.rate_window_counts(rate_events(t), window_s=3600)
 
 
 ADMIT = """RECURSIVE WITH ev AS (
-      SELECT event_type AS key, ts, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+      SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
     step(key, n, held, ts, event_id, admitted) AS (
       SELECT key, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS TIMESTAMP), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN) FROM ev GROUP BY key
       UNION ALL

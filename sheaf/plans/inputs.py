@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..sources.files import spread
+from ..functions.skew import scalar_count
 from ..functions.text import joined, words
 from . import sqlgen as q
 
@@ -129,7 +130,7 @@ class Tables:
         shown = F.array(*[F.struct(F.lit(e).alias("engine"), u.alias("url")) for e, u in (
             ("Bing", F.col("url")), ("Baidu", F.concat("url", F.lit("/"))), ("Sogou", F.concat("url", tail)))])
         return self.pages.select(
-            (F.col("page_id") % 40).alias("query_id"), F.col("page_id").alias("pos"), title.alias("title"),
+            F.pmod(F.col("page_id"), scalar_count(self.read("benchmark"))).alias("query_id"), F.col("page_id").alias("pos"), title.alias("title"),
             F.regexp_replace(first, "<[^>]*>", "").alias("snippet"), F.explode(shown).alias("s")
         ).select("query_id", F.lit(0).alias("variant"), "s.engine", "pos", "title", "s.url", "snippet")
 
@@ -182,7 +183,7 @@ class Tables:
     @cached_property
     def message_vectors(self) -> DataFrame:
         v = self.embeddings.select(F.col("vec_id").alias("_v"), "embedding")
-        return self.conversations.withColumn("_v", F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(500))) \
+        return self.conversations.withColumn("_v", F.pmod(F.col("conv_id") * 8 + F.col("turn"), scalar_count(self.embeddings))) \
             .join(v, "_v").drop("_v")
 
     @cached_property
@@ -279,7 +280,7 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
                || 'Allow: ' || p || chr(10) || 'Disallow:' || chr(10) AS robots_txt
         FROM (SELECT {q.host('url')} AS host, min({q.path('url')}) AS p FROM pages GROUP BY 1)"""),
     "serp": ("", """
-        SELECT page_id % 40 AS query_id, 0 AS variant, engine, page_id AS pos, title,
+        SELECT page_id % (SELECT count(*) FROM benchmark) AS query_id, 0 AS variant, engine, page_id AS pos, title,
                CASE engine WHEN 'Bing' THEN url WHEN 'Baidu' THEN url || '/'
                     ELSE url || CASE WHEN contains(url, '?') THEN '&from=feed' ELSE '?from=feed' END END AS url, snippet
         FROM (SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
@@ -301,7 +302,7 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
                TIMESTAMP '2024-01-01 00:00:00' + to_seconds(turn // 2) AS created_at
         FROM conversations"""),
     "message_vectors": ("", """
-        SELECT c.*, e.embedding FROM conversations c JOIN embeddings e ON e.vec_id = (c.conv_id * 8 + c.turn) % 500"""),
+        SELECT c.*, e.embedding FROM conversations c JOIN embeddings e ON e.vec_id = (c.conv_id * 8 + c.turn) % (SELECT count(*) FROM embeddings)"""),
     "label_centroids": ("", """
         SELECT label AS query_id, list(m ORDER BY i) AS embedding
         FROM (SELECT CAST(label AS BIGINT) AS label, i, avg(embedding[i]::DOUBLE) AS m

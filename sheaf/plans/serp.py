@@ -148,7 +148,7 @@ def _(t):
     FROM (SELECT s.query_id, s.position, s.title, s.url, x.content FROM serp_top s JOIN texts x ON x.page_id = s.pos) GROUP BY 1""", "serp_top texts")
 def _(t):
     texts = t.pages.select(F.col("page_id").alias("pos"), F.lit("").alias("markdown"),
-                           H.text_of(H.text_pieces(H.clean_fast("html"))).alias("content"))
+                           H.text_of(H.text_pieces(H.clean("html"))).alias("content"))
     return s.context_from_pages(s.federated_search(t.queries, serp_all(t)).join(texts, "pos"))
 
 

@@ -12,11 +12,6 @@ from .registry import query
 EXT = "lower(regexp_extract(filename, '[^./](\\.[^./]+)$', 1))"
 
 
-@query("scan_document_dir")
-def _(t):
-    return files.scan_document_dir(t.spark, t.sf_dir, (".parquet",)).select("filename", "file_size", "extension")
-
-
 @query("validate_ingest", f"""
     SELECT upload_id, filename, CASE WHEN coalesce(filename, '') = '' THEN 'filename is required'
       WHEN {EXT} NOT IN ({', '.join(q.lit(e) for e in fixed.UPLOAD_EXTENSIONS)}) THEN 'unsupported file type ''' || {EXT} || ''''

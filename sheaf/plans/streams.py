@@ -22,7 +22,7 @@ def streamed(t, name):
 
 
 def keyed(t):
-    return events(t).select(F.col("event_type").alias("key"), "ts", "event_id")
+    return events(t).select(F.col("user_id").cast("string").alias("key"), "ts", "event_id")
 
 
 @query("stream_rate_limit", ADMIT)
@@ -53,11 +53,6 @@ def _(t):
     return s.stream_memory_fold(live.memory_json.withColumn("seq", number), 200)
 
 
-@query("stream_ingest_files")
-def _(t):
-    return run_available(s.stream_ingest_files(t.spark, t.sf_dir, (".parquet",)), "files").drop("batch")
-
-
 @query("stream_chunk_summaries", """
     SELECT conv_id, chunk, summary FROM chunks JOIN conv_sizes USING (conv_id) WHERE (chunk + 1) * 2 <= n""", "chunks conv_sizes")
 def _(t):

@@ -9,7 +9,7 @@ from sheaf import plans
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
 PYTHON = {"keyword_page_search", "keyword_search_backoff", "vector_topk", "related_chunks", "familiarity", "adaptive_route",
-          "cluster_history", "clean_html_nested", "pack_paragraphs", "rate_limit_admit"}
+          "cluster_history", "rate_limit_admit"}
 
 
 def check_plan(df, name):

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf.functions import html as H
 from sheaf.functions import urls
 from sheaf.functions.text import token_count
 from sheaf.operators import bookkeeping as b
@@ -116,9 +117,33 @@ def test_nested_noise(spark):
     html = ('<html><body><nav><div>x<nav>y</nav>z</div></nav><div class="shadow" ><p>gone</div><p onclick="f()" style="a" id=i>kept &amp; fine'
             '<script>if (a<b) {}</script><div class="text">more</div></body>')
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
-    cleaned = w.clean_html(df, nested=True).first().cleaned
-    assert cleaned == '<html><body><p id="i">kept &amp; fine<div class="text">more</div></p></body></html>'
-    assert w.extract_text(df, nested=True).first().content == "kept & fine\nmore"
+    cleaned = w.clean_html(df).first().cleaned
+    assert cleaned == '<html><body><p id=i>kept &amp; fine<div class="text">more</div></body>'
+    assert w.extract_text(df).first().content == "kept & fine\nmore"
+
+
+@pytest.mark.parametrize("html, kept", [
+    ("<div class='ad'><div>x</div>y</div><p>z</p>", "<p>z</p>"), ("<h2 class='ad-x'>buy</h2>k", "k"),
+    ("<a title=\"a &quot;b&quot;\" onclick='x' style=y onload=z href=q>t</a>", '<a title="a &quot;b&quot;" href=q>t</a>'),
+    ("<p><b>open</p>after", "<p><b>open</p>after"), ("<script>if(a<b){'</p>'}</script>ok", "ok"), ("<nav><p>x</nav>y</p>", "y</p>"),
+    ("a < b <br> c", "a < b <br> c"), (None, ""), ("<img class=ad src=x>kept", "kept"), ("<ul><li class=menu>a<li>b</ul>c", "<ul></ul>c")])
+def test_clean(spark, html, kept):
+    assert w.clean_html(spark.createDataFrame([(1, html)], "page_id int, html string")).first().cleaned == kept
+
+
+@pytest.mark.parametrize("text", ["caf&eacute; &#8217;s", "&amp;lt;", "&#x1F600; &#0; &#1114112; &#150;", "a & b &nope; &notin;", "x&&amp;&;", "&#xD800;",
+                                  "&#99999999999999999999;", ""])
+def test_references(spark, text):
+    import html
+    assert one(spark, H.unescape(F.col("t")), t=text) == html.unescape(text)
+
+
+@pytest.mark.parametrize("href", ["../../../../x", "/x/../y", "..", "x/./y", ".", "./", "../", "g?y=../1", "#s", "?k=v", "//o.com/z", "http://k/",
+                                  "../../../../../../../../t", "/../..", "a/b/../../c/", "/a/./b/"])
+def test_dot_segments(spark, href):
+    from urllib.parse import urljoin
+    base = "http://h.com/a/b/c/d/e/f.html?q#z"
+    assert one(spark, urls.resolve("b", "h"), b=base, h=href) == urljoin(base, href)
 
 
 def test_model_sizes(spark):
