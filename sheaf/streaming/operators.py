@@ -16,7 +16,7 @@ from ..operators.conversations import CHUNK_MESSAGES, CHUNK_TOKENS, point
 from ..operators.memory import memory_fifo, memory_upsert
 from ..operators.semistructured import extracted_memories
 from ..operators.store import suffix
-from .runtime import scratch
+from .runtime import scratch, versions
 
 
 def _wake_at(handle: StatefulProcessorHandle, ms: int) -> None:
@@ -134,27 +134,34 @@ def stream_ingest_files(spark: SparkSession, folder: str, extensions=fixed.BATCH
 
 # --- memory ------------------------------------------------------------------------------------------
 
-def stream_memory_fold(replies: DataFrame, max_entries: int = 200) -> DataFrame:
+def stream_memory_fold(replies: DataFrame, max_entries: int = 200, folder: str | None = None) -> DataFrame:
     """Extraction replies (session_id, raw, seq) folded into a capped store, batch by batch; returns the store.
 
-    Every batch writes the next version from the last one, named by batch id: replays give the same version.
+    Every batch writes the next version from the last one before it, named by batch id and found in the store itself:
+    replays give the same version, and a later run with the same ``folder`` goes on from the last.
     """
     spark = replies.sparkSession
-    store, state = scratch(spark, "memory"), scratch(spark, "memory-state")
+    store, state = (f"{folder}/memory", f"{folder}/memory-state") if folder else (scratch(spark, "memory"), scratch(spark, "memory-state"))
     shape = "id string, type string, content string, keywords array<string>, source_session_id string, seq long"
-    done: list[int] = []
+
+    def version(before: float) -> DataFrame:
+        last = [v for v in versions(spark, store, "v") if v < before]
+        return spark.read.schema(shape).parquet(f"{store}/v{last[-1]}") if last else spark.createDataFrame([], shape)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        order = batch.groupBy("session_id").agg(F.max("seq").alias("seq"))
-        new = extracted_memories(batch).join(order, F.col("source_session_id") == F.col("session_id")).drop("session_id")
-        old = spark.read.schema(shape).parquet(f"{store}/v{done[-1]}") if done else spark.createDataFrame([], shape)
-        merged = memory_upsert(old.unionByName(new.select(*old.columns)))
-        memory_fifo(merged, max_entries).write.mode("overwrite").parquet(f"{store}/v{batch_id}")
-        done.append(batch_id)
+        batch.persist()
+        try:
+            order = batch.groupBy("session_id").agg(F.max("seq").alias("seq"))
+            new = extracted_memories(batch).join(order, F.col("source_session_id") == F.col("session_id")).drop("session_id")
+            old = version(batch_id)
+            merged = memory_upsert(old.unionByName(new.select(*old.columns)))
+            memory_fifo(merged, max_entries).write.mode("overwrite").parquet(f"{store}/v{batch_id}")
+        finally:
+            batch.unpersist()
 
     q = replies.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(fold).start()
     q.awaitTermination()
-    return spark.read.schema(shape).parquet(f"{store}/v{done[-1]}") if done else spark.createDataFrame([], shape)
+    return version(float("inf"))
 
 
 # --- chunk summaries ---------------------------------------------------------------------------------

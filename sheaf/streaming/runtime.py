@@ -31,14 +31,26 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def versions(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the sub-folders ``prefix<number>`` that were written whole, ascending; read from the store itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [x.getPath() for x in fs.listStatus(path)]
+    whole = [p.getName() for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n[len(prefix):]) for n in whole if n.startswith(prefix) and n[len(prefix):].isdigit())
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream over all available input into a parquet folder and read that back.
 
-    Batches are written under their id, so a replayed batch replaces itself; ``batch`` orders updates.
+    Batches are written under their id, so a replayed batch replaces itself; ``batch`` orders updates. With a
+    ``folder`` of the caller's, output and state stay there and a later run goes on where this one ended.
     """
     spark = stream.sparkSession
     use_rocksdb(spark)
-    out, state = scratch(spark, name), scratch(spark, f"{name}-state")
+    out, state = (f"{folder}/{name}", f"{folder}/{name}-state") if folder else (scratch(spark, name), scratch(spark, f"{name}-state"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -86,6 +86,27 @@ def test_memory_fold(spark, split):
     assert sorted(x.id for x in got.collect()) == sorted(x.id for x in want.collect())
 
 
+def test_a_later_run_goes_on(spark, tmp_path):
+    """Files that come after the first run are folded into what it left; nothing is read twice."""
+    feed, place = tmp_path / "feed", str(tmp_path / "place")
+    feed.mkdir()
+    rows = [(f"s_{i}", '{"semantic": [{"content": "note %d", "keywords": "k"}], "episodic": [], "procedural": []}' % i, i) for i in range(6)]
+
+    def arrive(some, name):
+        spark.createDataFrame(some, "session_id string, raw string, seq long").coalesce(1).write.parquet(str(feed / name))
+
+    def run():
+        stream = spark.readStream.schema("session_id string, raw string, seq long").option("recursiveFileLookup", "true").parquet(str(feed))
+        counted = run_available(stream.select("session_id"), "seen", folder=place).count()
+        return counted, sorted(x.content for x in s.stream_memory_fold(stream, 50, folder=place).collect())
+
+    arrive(rows[:4], "one")
+    assert run() == (4, [f"note {i}" for i in range(4)])
+    arrive(rows[4:], "two")
+    assert run() == (6, [f"note {i}" for i in range(6)])
+    assert run() == (6, [f"note {i}" for i in range(6)])
+
+
 def test_window_counts(spark, split):
     stream = live(spark, split, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     got = {(x.key, x.start): x.n for x in run_available(s.stream_rate_counts(stream, "6 hours", "3 hours", "10 days"), "counts").collect()}
