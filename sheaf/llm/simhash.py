@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.functions.skew import top_k
+
 from .common import components, lower_ascii, saved, shingle_hashes, text_of, words
 
 SEED = 42
@@ -30,6 +32,8 @@ BITS = 64
 PIVOTS = 16
 #: Blocks with more members are not paired off but searched by neighbours at one bit (``link``) or by leaders (``near_copies``).
 FULL = 64
+#: Turns over full blocks in ``near_copies``, and leaders in each.
+TURNS, LEADERS = 3, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 16
 
@@ -161,34 +165,37 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, r
 
     Texts with equal shingle sets meet by a hash of the set. The rest meet where one of ``minima`` minima agrees (a pair at 0.8
     is missed with probability 0.2 ** 8), survive the pivot table and the fingerprints at ``radius`` bits (0.8 is about 10
-    bits, deviation 3), and are verified on their whole shingle sets. In blocks with over ``FULL`` members every member is tried
-    against the smallest first; after that only pairs not yet in one group are tried.
+    bits, deviation 3), and are verified on their whole shingle sets. Blocks with over ``FULL`` members are not paired off, as a group
+    of n near copies has up to n * n / 2 links: in each of ``TURNS`` turns every member is tried against ``LEADERS`` members (first those with
+    most copies and in most full blocks, then by hash), unless one group holds both. A member is left out only if none of its links leads to a leader or, in a smaller
+    block, to another member; every row that is returned has a verified link.
     """
     rows = saved(fingerprints(documents, width, minima).filter("doc_id is not null and n_shingles > 0"))
     # Equal sets have equal minima, size and fingerprint; keep one of each and tie the others to it.
     rows = rows.withColumn("same", F.struct("fp", "n_shingles", "minima"))
-    firsts = saved(rows.groupBy("same").agg(F.min("doc_id").alias("first")))
+    firsts = saved(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     copies = rows.join(firsts, "same").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    unique = firsts.select(F.col("first").alias("id"), F.col("same.fp").alias("fp"), F.col("same.n_shingles").alias("n"),
+    unique = firsts.select(F.col("first").alias("id"), "copies", F.col("same.fp").alias("fp"), F.col("same.n_shingles").alias("n"),
                            F.explode(F.transform("same.minima", lambda m, i: F.struct(i.alias("t"), m.alias("k")))).alias("block"))
-    blocks = unique.select("block.t", "block.k", "id", "fp", "n")
-    sizes = blocks.groupBy("t", "k").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).filter("size > 1")
+    blocks = unique.select("block.t", "block.k", "id", "copies", "fp", "n")
+    sizes = blocks.groupBy("t", "k").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = saved(blocks.join(sizes, ["t", "k"]))
-    heads = shared.filter(f"size > {FULL} and id = leader").select("t", "k", F.col("id").alias("b"), F.col("fp").alias("fp_b"), F.col("n").alias("n_b"))
-    led = (shared.filter(f"size > {FULL} and id <> leader").select("t", "k", F.col("id").alias("a"), F.col("fp").alias("fp_a"), F.col("n").alias("n_a"))
-           .join(heads, ["t", "k"]))
-    small = _paired(shared.filter(f"size <= {FULL}"))
-    first = _verified(documents, _possible(small.unionByName(led), radius, similarity), width, similarity)
-    roots = saved(components(first))
-    grouped = shared.filter(f"size > {FULL}").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    # What the leaders have gathered meets only what they have not.
-    inside = grouped.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("led")), "leader", "left").withColumn("led", F.coalesce("led", "leader"))
-    out = inside.filter("root <> led")
-    rest = (out.select("t", "k", F.col("id").alias("a"), F.col("fp").alias("fp_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-            .join(inside.select("t", "k", F.col("id").alias("b"), F.col("fp").alias("fp_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), ["t", "k"])
-            .filter("root_a <> root_b"))
-    second = _verified(documents, _possible(rest, radius, similarity), width, similarity)
-    groups = components(first.union(second).union(copies))
+    full = shared.filter(f"size > {FULL}")
+    edges = _verified(documents, _possible(_paired(shared.filter(f"size <= {FULL}")), radius, similarity), width, similarity)
+    # The text that others were copied from often has whole copies too, and shares more blocks with them than they do with each
+    # other: such members lead first.
+    full = full.join(full.groupBy("id").agg(F.count(F.lit(1)).alias("n_full")), "id")
+    for turn in range(0 if full.isEmpty() else TURNS):
+        roots = saved(components(edges))
+        placed = full.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        lead = [F.col("copies").desc(), F.col("n_full").desc()] if turn == 0 else []
+        heads = top_k(placed, ["t", "k"], [*lead, F.xxhash64("id", F.lit(turn)), F.col("id")], LEADERS)
+        a, b = (x.select("t", "k", F.col("id").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("n").alias(f"n_{n}"), F.col("root").alias(f"root_{n}"))
+                for x, n in ((placed, "a"), (heads, "b")))
+        # What is in one group already is not tried again.
+        met = a.join(b, ["t", "k"]).filter("root_a <> root_b")
+        edges = edges.union(_verified(documents, _possible(met, radius, similarity), width, similarity))
+    groups = components(edges.union(copies))
     return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
 
 
