@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 SAMPLES, SHARPNESS, SEED = 2, 1.0, 1
 SPACE = "▁"
 #: Characters of text taken at a time; a longer text is taken alone.
-AT_ONCE = 4_000_000
+AT_ONCE = 600_000
 _U = np.uint64
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
 
