@@ -9,7 +9,8 @@ Pairs are brought together in blocks. ``link`` (small radii) blocks by bit group
 fingerprints within r bits agree on two whole groups at least, so nothing is lost. Blocks too full to be
 paired are searched another exact way: every fingerprint in them is filed under itself and its 64 neighbours at
 one bit, and two fingerprints within two bits meet in one of these; each is linked to the smallest it meets.
-``near_copies`` (similarity of shingle sets) blocks by minima of independent permutations of the shingle hashes.
+``near_copies`` (similarity of shingle sets) blocks by minima of independent permutations of the shingle hashes; members of
+full blocks meet in prefixes of their shingles, rarest first, which lose nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheaf.functions.skew import top_k
@@ -30,9 +32,9 @@ SEED = 42
 BITS = 64
 #: Number of pivots. Their bits come from a rule, see ``pivots``.
 PIVOTS = 16
-#: Blocks with more members are not paired off but searched by neighbours at one bit (``link``) or by leaders (``near_copies``).
+#: Blocks with more members are not paired off but searched by neighbours at one bit (``link``) or by prefixes (``near_copies``).
 FULL = 64
-#: Turns over full blocks in ``near_copies``, and leaders in each.
+#: Turns over full blocks in ``near_copies`` that join what is easily joined before the prefixes, and leaders in each.
 TURNS, LEADERS = 3, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 16
@@ -67,26 +69,31 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 def fingerprints(documents: DataFrame, width: int, minima: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, n_shingles, minima) per row; ``minima`` smallest values under as many odd multipliers, over distinct shingles."""
+    """(doc_id, fp, n_shingles, minima, digest) per row; ``minima`` smallest values under as many odd multipliers.
+
+    With ``minima``, digest is that of the set of shingles; without, it is null.
+    """
     factors = np.array([(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 7) | 1) for i in range(minima)], np.uint64)
 
     def run(batches):
         for batch in batches:
-            fps, sizes, keys = [], [], []
+            fps, sizes, keys, digests = [], [], [], []
             for x in batch.column(1):
                 h = shingles_of(x.as_py() or "", width)
                 fps.append(fingerprint(h))
+                sizes.append(len(h))
                 if minima:
                     h = np.unique(h)
+                    digests.append(xxhash.xxh3_128_digest(h))
                     with np.errstate(over="ignore"):
                         keys.append([int((h * f).min().astype(np.int64)) for f in factors] if len(h) else [])
-                sizes.append(len(h))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(keys if minima else [[]] * len(fps), pa.list_(pa.int64()))], names=["doc_id", "fp", "n_shingles", "minima"])
+                 pa.array(keys if minima else [[]] * len(fps), pa.list_(pa.int64())), pa.array(digests if minima else [None] * len(fps), pa.binary())],
+                names=["doc_id", "fp", "n_shingles", "minima", "digest"])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, n_shingles long, minima array<long>")
+    return rows.mapInArrow(run, "doc_id long, fp long, n_shingles long, minima array<long>, digest binary")
 
 
 def pivot_table(fp: Column, n: int = PIVOTS) -> Column:
@@ -147,7 +154,7 @@ def classes(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     bits; rows without a word have fingerprint 0 and take part like any other. Repeated rows stay repeated; rows with a
     null id get the component of their fingerprint; extra columns are ignored; no rows give none.
     """
-    rows = saved(fingerprints(documents, width).drop("minima"))
+    rows = saved(fingerprints(documents, width).drop("minima", "digest"))
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = saved(components(link(nodes.select("fp"), radius)))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -163,64 +170,114 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, r
     """(doc_id, keeper): rows whose shingle set is reachable over links of Jaccard similarity >= ``similarity``; keeper is
     the smallest id of the group. Rows alone are left out; rows without a word and rows with a null id link to nothing.
 
-    Texts with equal shingle sets meet by a hash of the set. The rest meet where one of ``minima`` minima agrees (a pair at 0.8
-    is missed with probability 0.2 ** 8), survive the pivot table and the fingerprints at ``radius`` bits (0.8 is about 10
-    bits, deviation 3), and are verified on their whole shingle sets. Blocks with over ``FULL`` members are not paired off, as a group
-    of n near copies has up to n * n / 2 links: in each of ``TURNS`` turns every member is tried against ``LEADERS`` members (first those with
-    most copies and in most full blocks, then by hash), unless one group holds both. A member is left out only if none of its links leads to a leader or, in a smaller
-    block, to another member; every row that is returned has a verified link.
+    Texts with equal shingle sets meet by a digest of the set. The rest meet where one of ``minima`` minima agrees (a pair at 0.8
+    is missed with probability 0.2 ** 8, whatever its length) and are verified on their whole shingle sets if sizes allow the
+    similarity and, in blocks that are not full, fingerprints are within ``radius`` bits. Blocks with over ``FULL`` members are not paired off, as a group of n near copies has up to
+    n * n / 2 links. Their members meet by ``_prefix_pairs`` instead, which loses nothing, and only where no link
+    joins them yet. Before that, ``TURNS`` turns join what is easily joined: every member is tried against ``LEADERS``
+    members of its block (first those with most copies and in most full blocks, then by hash) whose fingerprints are within ``radius`` bits.
     """
     rows = saved(fingerprints(documents, width, minima).filter("doc_id is not null and n_shingles > 0"))
-    # Equal sets have equal minima, size and fingerprint; keep one of each and tie the others to it.
-    rows = rows.withColumn("same", F.struct("fp", "n_shingles", "minima"))
-    firsts = saved(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
-    copies = rows.join(firsts, "same").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    unique = firsts.select(F.col("first").alias("id"), "copies", F.col("same.fp").alias("fp"), F.col("same.n_shingles").alias("n"),
-                           F.explode(F.transform("same.minima", lambda m, i: F.struct(i.alias("t"), m.alias("k")))).alias("block"))
+    # Keep one of each set and tie the others to it.
+    firsts = saved(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("fp").alias("fp"),
+                                              F.first("n_shingles").alias("n"), F.first("minima").alias("minima")))
+    copies = rows.join(firsts.select("digest", "first"), "digest").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    unique = firsts.select(F.col("first").alias("id"), "copies", "fp", "n",
+                           F.explode(F.transform("minima", lambda m, i: F.struct(i.alias("t"), m.alias("k")))).alias("block"))
     blocks = unique.select("block.t", "block.k", "id", "copies", "fp", "n")
     sizes = blocks.groupBy("t", "k").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = saved(blocks.join(sizes, ["t", "k"]))
     full = shared.filter(f"size > {FULL}")
-    edges = _verified(documents, _possible(_paired(shared.filter(f"size <= {FULL}")), radius, similarity), width, similarity)
-    # The text that others were copied from often has whole copies too, and shares more blocks with them than they do with each
-    # other: such members lead first.
-    full = full.join(full.groupBy("id").agg(F.count(F.lit(1)).alias("n_full")), "id")
-    for turn in range(0 if full.isEmpty() else TURNS):
-        roots = saved(components(edges))
-        placed = full.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        lead = [F.col("copies").desc(), F.col("n_full").desc()] if turn == 0 else []
-        heads = top_k(placed, ["t", "k"], [*lead, F.xxhash64("id", F.lit(turn)), F.col("id")], LEADERS)
-        a, b = (x.select("t", "k", F.col("id").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("n").alias(f"n_{n}"), F.col("root").alias(f"root_{n}"))
-                for x, n in ((placed, "a"), (heads, "b")))
-        # What is in one group already is not tried again.
-        met = a.join(b, ["t", "k"]).filter("root_a <> root_b")
-        edges = edges.union(_verified(documents, _possible(met, radius, similarity), width, similarity))
+    edges = _verified(documents, _close(_paired(shared.filter(f"size <= {FULL}")), radius, similarity), width, similarity)
+    if not full.isEmpty():
+        # The text that others were copied from often has whole copies too, and shares more blocks with them than they do with each
+        # other: such members lead first.
+        full = full.join(full.groupBy("id").agg(F.count(F.lit(1)).alias("n_full")), "id")
+        for turn in range(TURNS):
+            placed = _rooted(full, edges)
+            lead = [F.col("copies").desc(), F.col("n_full").desc()] if turn == 0 else []
+            heads = top_k(placed, ["t", "k"], [*lead, F.xxhash64("id", F.lit(turn)), F.col("id")], LEADERS)
+            a, b = (x.select("t", "k", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "fp", "n", "root")]) for x, n in ((placed, "a"), (heads, "b")))
+            # What is in one group already is not tried again.
+            met = a.join(b, ["t", "k"]).filter("root_a <> root_b")
+            edges = edges.union(_verified(documents, _close(met, radius, similarity), width, similarity))
+        sets = saved(_sets(documents, full.select(F.col("id").alias("doc_id")).distinct(), width))
+        edges = edges.union(_agreeing(sets, saved(_prefix_pairs(sets, edges, similarity)), similarity))
     groups = components(edges.union(copies))
     return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
 
 
+def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds the smallest id that is reached over ``edges``."""
+    roots = saved(components(edges))
+    return members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _sizes_fit(similarity: float) -> Column:
+    return F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity
+
+
 def _paired(blocks: DataFrame) -> DataFrame:
-    a, b = (blocks.select("t", "k", F.col("id").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    return a.join(b, ["t", "k"]).filter("a > b")
+    a, b = (blocks.select("t", "k", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "fp", "n")]) for x in "ab")
+    return a.join(b, ["t", "k"]).filter("id_a > id_b")
 
 
-def _possible(pairs: DataFrame, radius: int, similarity: float) -> DataFrame:
+def _close(pairs: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Pairs that sizes, pivot table and fingerprints leave; each once."""
-    tables = pairs.select("a", "b", "fp_a", "fp_b", "n_a", "n_b", pivot_table(F.col("fp_a")).alias("table_a"), pivot_table(F.col("fp_b")).alias("table_b"))
-    return (tables.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity)
+    tables = pairs.select("id_a", "id_b", "fp_a", "fp_b", "n_a", "n_b", pivot_table(F.col("fp_a")).alias("table_a"), pivot_table(F.col("fp_b")).alias("table_b"))
+    return (tables.filter(_sizes_fit(similarity))
             .filter(pivot_gap(F.col("table_a"), F.col("table_b")) <= radius)
             .filter(distance(F.col("fp_a"), F.col("fp_b")) <= radius)
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            .select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct())
+
+
+def _prefix_pairs(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``sets(doc_id, s)`` that may have the similarity t and that no path of ``edges`` joins yet; lossless.
+
+    Shingles are put in one order, rarest first. Two sets of n >= m shingles with Jaccard similarity t share o = t / (1 + t) * (n + m)
+    or more, so their first shared shingle is among the first n - t * n + 1 of the larger and the first m - 2 t / (1 + t) * m + 1 of
+    the smaller, and at least o - 1 shingles are behind it in both. Members that are joined already are not tried against
+    each other: in each prefix block, the members outside its largest group are tried against all, the group's own only against these.
+    """
+    share = similarity / (1 + similarity)
+    sized = _rooted(sets.select(F.col("doc_id").alias("id"), F.size("s").alias("n"), "s"), edges)
+    words_ = saved(sized.select("id", "n", "root", F.explode("s").alias("k")))
+    # A shingle of one set only brings no pair, but takes its place in the order.
+    counts = words_.groupBy("k").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    known = words_.join(counts, "k")
+    at_id = W.partitionBy("id")
+    placed = known.withColumn("at", F.row_number().over(at_id.orderBy("df", "k")) - 1 + F.col("n") - F.count(F.lit(1)).over(at_id))
+    guard = 1e-9
+    prefix = saved(placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - guard))
+                   .select("k", "id", "n", "root", "at", (F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * share - guard)).alias("short")))
+    groups = prefix.groupBy("k", "root").agg(F.count(F.lit(1)).alias("members"))
+    largest = (groups.groupBy("k").agg(F.max_by("root", F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("groups"))
+               .filter("groups > 1").drop("groups"))
+    split = saved(prefix.join(largest, "k").withColumn("inside", F.col("root") == F.col("major")).drop("major"))
+    a, b = (split.select("k", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "root", "at", "short", "inside")]) for x in "ab")
+    b = b.filter("short_b").drop("short_b")
+    fit = (F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "id_a") > F.struct("n_b", "id_b")) & _sizes_fit(similarity) & (
+        F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.ceil((F.col("n_a") + F.col("n_b")) * share - guard))
+    met = a.filter("not inside_a").join(b, "k").filter(fit).unionByName(a.filter("inside_a").join(b.filter("not inside_b"), "k").filter(fit))
+    return met.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+
+
+def _sets(documents: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(doc_id, s): distinct shingle hashes of the texts of ``asked(doc_id)``."""
+    texts = (documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
+             .groupBy("doc_id").agg(F.min(text_of("text")).alias("text"))
+             .select("doc_id", words(lower_ascii(F.col("text"))).alias("w")))
+    return texts.select("doc_id", F.array_distinct(shingle_hashes(F.col("w"), width)).alias("s"))
 
 
 def _verified(documents: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Pairs whose distinct shingles have the Jaccard similarity; only texts of some pair are read into it."""
     pairs = saved(pairs)
     asked = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = (documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
-             .groupBy("doc_id").agg(F.min(text_of("text")).alias("text"))
-             .select("doc_id", words(lower_ascii(F.col("text"))).alias("w")))
-    sets = saved(texts.select("doc_id", F.array_distinct(shingle_hashes(F.col("w"), width)).alias("s")))
+    return _agreeing(saved(_sets(documents, asked, width)), pairs, similarity)
+
+
+def _agreeing(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("i"), (F.size("s_a") + F.size("s_b")).alias("u"))
     return saved(both.filter(F.col("i") >= (F.col("u") - F.col("i")) * similarity).select("a", "b"))

@@ -137,6 +137,41 @@ def test_near_copies(spark, docs, none):
     assert simhash.near_copies(docs).filter("keeper > doc_id").count() == 0
 
 
+def copies_by_force(made):
+    number = {}
+    sets = []
+    for _, t in made:
+        w = words(lower(t))
+        sets.append({number.setdefault(tuple(w[k:k + 5]), len(number)) for k in range(len(w) - 4)})
+    def linked(a, b):
+        both = len(sets[a] & sets[b])
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+    root = reach(len(made), linked)
+    size = collections.Counter(root)
+    return [(made[i][0], made[g][0]) for i, g in enumerate(root) if size[g] > 1]
+
+
+def test_near_copies_in_blocks_of_a_shared_passage(spark):
+    rng = np.random.default_rng(6)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage, made = fresh(400), []
+    for i in range(300):
+        own = fresh(60)
+        made.append((2 * i, " ".join(passage + own)) if i % 2 else (2 * i, " ".join(passage[:300] + own)))
+        if i % 5 == 0:
+            w = made[-1][1].split()
+            for j in rng.integers(300, len(w), 3):
+                w[j] = f"new{i}x{j}"
+            made.append((2 * i + 1, " ".join(w)))
+    # Copies of copies of a text with the passage: a chain over members that lead nothing.
+    w = passage[:250] + fresh(250)
+    for i in range(120):
+        made.append((2000 + i, " ".join(w)))
+        for j in rng.integers(0, 500, 4):
+            w[j] = f"link{i}x{j}"
+    same([tuple(r) for r in simhash.near_copies(spark.createDataFrame(made, "doc_id long, text string")).collect()], copies_by_force(made))
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = {(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))} | {(i, i + 1) for i in range(300, 340)}
