@@ -71,7 +71,8 @@ def fingerprint(h: np.ndarray) -> int:
 def fingerprints(documents: DataFrame, width: int, minima: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, n_shingles, minima, digest) per row; ``minima`` smallest values under as many odd multipliers.
 
-    With ``minima``, digest is that of the set of shingles; without, it is null.
+    With ``minima``, all of it is taken from the distinct shingles, and digest is that of their set; without, a shingle counts as often
+    as it occurs and digest is null.
     """
     factors = np.array([(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 7) | 1) for i in range(minima)], np.uint64)
 
@@ -80,13 +81,13 @@ def fingerprints(documents: DataFrame, width: int, minima: int = 0, key: str = "
             fps, sizes, keys, digests = [], [], [], []
             for x in batch.column(1):
                 h = shingles_of(x.as_py() or "", width)
-                fps.append(fingerprint(h))
-                sizes.append(len(h))
                 if minima:
                     h = np.unique(h)
                     digests.append(xxhash.xxh3_128_digest(h))
                     with np.errstate(over="ignore"):
                         keys.append([int((h * f).min().astype(np.int64)) for f in factors] if len(h) else [])
+                fps.append(fingerprint(h))
+                sizes.append(len(h))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(keys if minima else [[]] * len(fps), pa.list_(pa.int64())), pa.array(digests if minima else [None] * len(fps), pa.binary())],
@@ -171,8 +172,8 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, r
     the smallest id of the group. Rows alone are left out; rows without a word and rows with a null id link to nothing.
 
     Texts with equal shingle sets meet by a digest of the set. The rest meet where one of ``minima`` minima agrees (a pair at 0.8
-    is missed with probability 0.2 ** 8, whatever its length) and are verified on their whole shingle sets if sizes allow the
-    similarity and, in blocks that are not full, fingerprints are within ``radius`` bits. Blocks with over ``FULL`` members are not paired off, as a group of n near copies has up to
+    is missed with probability 0.2 ** 8, whatever its length) and are verified on their whole shingle sets if their sizes allow the
+    similarity; no fingerprint discards a pair. Blocks with over ``FULL`` members are not paired off, as a group of n near copies has up to
     n * n / 2 links. Their members meet by ``_prefix_pairs`` instead, which loses nothing, and only where no link
     joins them yet. Before that, ``TURNS`` turns join what is easily joined: every member is tried against ``LEADERS``
     members of its block (first those with most copies and in most full blocks, then by hash) whose fingerprints are within ``radius`` bits.
@@ -188,7 +189,7 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, r
     sizes = blocks.groupBy("t", "k").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = saved(blocks.join(sizes, ["t", "k"]))
     full = shared.filter(f"size > {FULL}")
-    edges = _verified(documents, _close(_paired(shared.filter(f"size <= {FULL}")), radius, similarity), width, similarity)
+    edges = _verified(documents, _paired(shared.filter(f"size <= {FULL}"), similarity), width, similarity)
     if not full.isEmpty():
         # The text that others were copied from often has whole copies too, and shares more blocks with them than they do with each
         # other: such members lead first.
@@ -217,9 +218,10 @@ def _sizes_fit(similarity: float) -> Column:
     return F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity
 
 
-def _paired(blocks: DataFrame) -> DataFrame:
-    a, b = (blocks.select("t", "k", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "fp", "n")]) for x in "ab")
-    return a.join(b, ["t", "k"]).filter("id_a > id_b")
+def _paired(blocks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a block's members whose sizes allow the similarity; each once."""
+    a, b = (blocks.select("t", "k", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    return a.join(b, ["t", "k"]).filter("a > b").filter(_sizes_fit(similarity)).select("a", "b").distinct()
 
 
 def _close(pairs: DataFrame, radius: int, similarity: float) -> DataFrame:

@@ -172,6 +172,19 @@ def test_near_copies_in_blocks_of_a_shared_passage(spark):
     same([tuple(r) for r in simhash.near_copies(spark.createDataFrame(made, "doc_id long, text string")).collect()], copies_by_force(made))
 
 
+def test_near_copies_with_a_repeated_phrase(spark):
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    made = []
+    for i in range(30):
+        w, phrase = fresh(1000), fresh(6)
+        made += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w + phrase * 30)), (3 * i + 2, " ".join(w + phrase * 60))]
+    fps = [bits(t, 5) for _, t in made]
+    assert sum((fps[k] ^ fps[k + 1]).bit_count() > 20 for k in range(0, 90, 3)) > 5
+    got = simhash.near_copies(spark.createDataFrame(made, "doc_id long, text string"))
+    same([tuple(r) for r in got.collect()], [(i, i - i % 3) for i, _ in made])
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = {(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))} | {(i, i + 1) for i in range(300, 340)}
