@@ -138,5 +138,6 @@ FROM d LEFT JOIN t ON t.doc_id = d.doc_id"""
 def op10_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    sampled = segments.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
-    return sampled.drop("ids")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    written = saved(segments.encode(table(spark, sf_dir, "documents"), model, decoded=False))
+    return segments.read_back(written, model)

@@ -17,6 +17,7 @@ All draws are hashes of the row's key, the sample, the word and the step: the sa
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from functools import lru_cache
@@ -343,15 +344,18 @@ def _pieces_of(column, limit: int):
         yield range(start, len(column))
 
 
-def encode(documents: DataFrame, model: str, samples: int = SAMPLES, sharpness: float = SHARPNESS, seed: int = SEED, with_ids: bool = True,
+def encode(documents: DataFrame, model: str, samples: int = SAMPLES, sharpness: float = SHARPNESS, seed: int = SEED, decoded: bool = True,
            key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and sample: doc_id, sample (from 0, best perturbed score first), n_pieces, log_prob, log_inclusion, ids,
     ids_crc32 (of little-endian unsigned 32-bit ids) and round_trip (whether the ids decode to the text).
 
     Null and empty texts have one empty segmentation; repeated rows repeat their samples; null ids share a seed; a text with
     fewer segmentations gives fewer rows; extra columns are ignored; an empty table gives no rows. The model's own blank
-    character decodes to a blank, as the library does it. Without ``with_ids`` ids are null.
+    character decodes to a blank, as the library does it. Without ``decoded`` no ids are decoded here: text_sha256 of the text that
+    they have to give stands in place of round_trip, for ``read_back``.
     """
+    schema = SCHEMA if decoded else UNREAD
+
     def run(batches):
         pieces = pieces_for(model, sharpness)
         for b in batches:
@@ -361,19 +365,21 @@ def encode(documents: DataFrame, model: str, samples: int = SAMPLES, sharpness:
                 out: list = [[] for _ in range(8)]
                 for i, t, found in zip(keys, texts, sample_texts([x or 0 for x in keys], texts, pieces, samples, seed)):
                     raw = t.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+                    digest = None if decoded else hashlib.sha256(raw).hexdigest()
                     for s, (ids, log_p, inclusion) in enumerate(found):
-                        row = (i, s, len(ids), log_p, inclusion, ids.astype(np.int32) if with_ids else None, zlib.crc32(ids.astype("<u4").tobytes()),
-                               decode_ids(ids, pieces) == raw)
+                        row = (i, s, len(ids), log_p, inclusion, ids.astype(np.int32), zlib.crc32(ids.astype("<u4").tobytes()),
+                               decode_ids(ids, pieces) == raw if decoded else digest)
                         for c, v in zip(out, row):
                             c.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.int64(), pa.bool_() if decoded else pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, schema)
 
 
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, log_inclusion double, ids array<int>, ids_crc32 long, round_trip boolean"
+UNREAD = SCHEMA.replace("round_trip boolean", "text_sha256 string")
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -384,3 +390,9 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
         return column.map(lambda x: None if x is None else decode_ids(np.asarray(x, np.int64), pieces).decode("utf-8", "replace"))
 
     return rows.withColumn(out, run(F.col(ids)))
+
+
+def read_back(rows: DataFrame, model: str) -> DataFrame:
+    """round_trip in place of text_sha256: whether the ids, as the rows hold them, decode to the text."""
+    found = decode(rows, model, out="decoded")
+    return found.select(*rows.drop("text_sha256").columns, (F.sha2(F.col("decoded"), 256) == F.col("text_sha256")).alias("round_trip"))

@@ -1,10 +1,15 @@
 """Registered queries and the pipeline on the smallest tables."""
 
+import zlib
+
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import TABLES, norm
+from sheaf.llm import segments
 from sheaf.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +36,21 @@ def test_query(spark, name):
         assert got == sorted((tuple(norm(r[i]) for i in at) for r in rel.fetchall()), key=repr)
 
 
+def test_segments_are_returned_and_read_back(spark):
+    P = pytest.importorskip("public_tokenizers")
+    model = P.path("piece_bpe_32k.model")
+    df = QUERIES["op10_gumbel_segments"](spark, SF)
+    got = df.collect()
+    assert all(r.round_trip and len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    texts = {r.doc_id: (r.text or "").replace(segments.SPACE, " ") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    back = segments.decode(df, model).select("doc_id", "text").distinct().collect()
+    assert {r.doc_id: r.text for r in back} == texts and len(back) == len(texts)
+    # round_trip looks at the ids that were written, not at those in memory.
+    written = segments.encode(spark.createDataFrame([(1, "some text"), (2, "other text")], "doc_id long, text string"), model, decoded=False)
+    torn = written.withColumn("ids", F.when(F.col("doc_id") == 2, F.reverse("ids")).otherwise(F.col("ids")))
+    assert {(r.doc_id, r.round_trip) for r in segments.read_back(torn, model).collect()} == {(1, True), (2, False)}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r.doc_id for r in docs.collect()}
