@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, ngrams, pii, quality, repeats, segments, simhash, token_planes, url_rules
+from . import chat, decontaminate, ngrams, pii, prefix_bpe, quality, repeats, segments, simhash, spelling, token_planes, url_rules, vector_codes
 from .common import saved, shared_path, table
 
 QUERIES, ORACLES = {}, {}
@@ -141,3 +141,21 @@ def op10_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     written = saved(segments.encode(table(spark, sf_dir, "documents"), model, decoded=False))
     return segments.read_back(written, model)
+
+
+@query
+def op11_letter_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.corpus_variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+@query
+def op12_value_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return prefix_bpe.digest(prefix_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
