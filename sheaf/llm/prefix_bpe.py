@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Memory of a worker: segments of text and pairs of tokens it remembers before it starts afresh; characters it takes at a time.
-REMEMBER, PAIRS, AT_ONCE = 1_000_000, 2_000_000, 2_000_000
+REMEMBER, PAIRS, AT_ONCE = 1_500_000, 1_000_000, 2_000_000
 #: Unicode white space as the rank files' split pattern means it; other engines also count \x1c-\x1f.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ENCODED = "doc_id long, ids array<int>"
@@ -80,10 +80,10 @@ class PrefixEncoder:
         self.ends.make_automaton()
         #: Two blanks of which the later is not the start of a word: here neighbours decide how white space is split.
         self.odd = regex.compile(f"[{SPACE}] (?:[{SPACE}]|$)")
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.segments: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        #: Ids of pieces and of segments, which are whole numbers of pieces.
+        self.memory: dict[str, bytes] = {}
 
     def splitter(self, text: str):
         return self.exact if self.unlike.search(text) else self.usual
@@ -110,12 +110,12 @@ class PrefixEncoder:
         return known
 
     def may_follow(self, before: int, token: int) -> bool:
-        known = self.pairs.get((before, token))
+        known = self.pairs.get(before << 32 | token)
         if known is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             a, b = self.tokens[before], self.tokens[token]
-            known = self.pairs[before, token] = self.merged(a + b) == [a, b]
+            known = self.pairs[before << 32 | token] = self.merged(a + b) == [a, b]
         return known
 
     def table(self, piece: bytes, last: list[int] | None = None) -> list[int]:
@@ -132,7 +132,7 @@ class PrefixEncoder:
             start = end + 1 - size
             if start:
                 before = last[start - 1]
-                fits = pairs((before, token))
+                fits = pairs(before << 32 | token)
                 if fits is None:
                     fits = check(before, token)
             else:
@@ -152,36 +152,43 @@ class PrefixEncoder:
             end -= len(self.tokens[ids[-1]])
         return ids[::-1]
 
-    def piece_ids(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
-        if known is None:
-            if len(self.pieces) > REMEMBER:
-                self.pieces.clear()
-            raw = piece.encode()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit integers. No piece crosses the start of a word behind a blank, so a text is the sum of
+        its words with the blanks before them; these are remembered."""
+        parts = [self.splitter(t).findall(t) if self.odd.search(t) else _by_blanks(t) for t in texts]
+        distinct = set().union(*parts)
+        if len(self.memory) > REMEMBER:
+            self.memory = {p: self.memory[p] for p in distinct if p in self.memory}
+        self._learn(distinct.difference(self.memory))
+        get = self.memory.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
+
+    def _learn(self, segments: set[str]) -> None:
+        split = {}
+        for s in segments:
+            # A blank and letters are one piece.
+            if not (s[1:].isalpha() and s[0] == " " and not self.unlike.search(s)):
+                split[s] = self.splitter(s).findall(s)
+        memory = self.memory
+        pieces = segments.difference(split).union(*split.values()).difference(memory)
+        before, last = b"", []
+        # In order, so that a piece goes on from the prefix it shares with the one before.
+        for raw, piece in sorted((p.encode(), p) for p in pieces):
             whole = self.ranks.get(raw)
-            known = self.pieces[piece] = array("I", [whole] if whole is not None else self.read_off(self.table(raw))).tobytes()
-        return known
-
-    def encode(self, text: str) -> bytes:
-        """Ids as unsigned 32-bit integers. No piece crosses the start of a word behind a blank, so a text is the sum of its
-        words with the blanks before them; these are remembered."""
-        if self.odd.search(text):
-            parts = self.splitter(text).findall(text)
-        else:
-            head, *rest = text.split(" ")
-            parts = [head, *map(" ".__add__, rest)]
-        memory = self.segments
-        try:
-            return b"".join(map(memory.__getitem__, parts))
-        except KeyError:
-            if len(memory) > REMEMBER:
-                memory.clear()
-            for p in set(parts).difference(memory):
-                memory[p] = b"".join(map(self.piece_ids, self.splitter(p).findall(p)))
-            return b"".join(map(memory.__getitem__, parts))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+            if whole is not None:
+                ids = [whole]
+            else:
+                same = 0
+                for x, y in zip(raw, before):
+                    if x != y:
+                        break
+                    same += 1
+                before, last = raw, self.table(raw, last[:same])
+                ids = self.read_off(last)
+            memory[piece] = array("I", ids).tobytes()
+        for s, parts in split.items():
+            if len(parts) != 1:
+                memory[s] = b"".join(map(memory.__getitem__, parts))
 
     def state(self, text: str) -> dict:
         """Text, ids, where pieces end and the tables of all pieces one behind the other."""
@@ -249,6 +256,28 @@ def _ids_of(encoder: PrefixEncoder, last: list[int], sizes: list[int], text: str
     return ids
 
 
+def _by_blanks(text: str) -> list[str]:
+    head, *rest = text.split(" ")
+    return [head, *map(" ".__add__, rest)]
+
+
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> list[bytes]:
+    """Bytes of each id; ids without a token stand for nothing."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        out[i] = token
+    return out
+
+
+def _id_lists(column) -> list[np.ndarray]:
+    """Ids of each row, null as none."""
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    return [flat[a:b] for a, b in zip(edges, edges[1:])]
+
+
 @lru_cache(maxsize=1)
 def encoder_for(path: str, pattern: str) -> PrefixEncoder:
     """One encoder for all tasks that a Python worker runs."""
@@ -283,7 +312,7 @@ def encode(documents: DataFrame, path: str, pattern: str, states: bool = False,
                 if states:
                     yield pa.RecordBatch.from_pylist([{"doc_id": d, **encoder.state(t)} for d, t in zip(some.column(0).to_pylist(), texts)], _STATED)
                 else:
-                    yield pa.RecordBatch.from_arrays([some.column(0), _lists([encoder.encode(t) for t in texts])], names=["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([some.column(0), _lists(encoder.encode(texts))], names=["doc_id", "ids"])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, STATED if states else ENCODED)
@@ -293,13 +322,14 @@ _STATED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("te
                      ("last", pa.list_(pa.int32()))])
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, bytes): the bytes that the ids stand for. Null ids count as none; extra columns are ignored."""
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, bytes): the bytes that the ids stand for. Null ids count as none; null doc_ids are kept; repeated rows are decoded each by
+    itself; extra columns are ignored; an empty table gives no rows."""
     def run(batches):
-        encoder = encoder_for(path, pattern)
+        token = tokens_of(path).__getitem__
         for batch in batches:
             for some in _pieces(batch, 1):
-                raw = [encoder.decode(ids or []) for ids in some.column(1).to_pylist()]
+                raw = [b"".join(map(token, ids.tolist())) for ids in _id_lists(some.column(1))]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(raw, pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, ENCODED + ", bytes binary")
@@ -330,17 +360,17 @@ def edit(encoded: DataFrame, edits: DataFrame, path: str, pattern: str) -> DataF
     return rows.mapInArrow(run, STATED)
 
 
-def digest(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows: ids as little-endian unsigned 32-bit integers, and the bytes they decode to."""
+def digest(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows: ids as little-endian unsigned 32-bit integers, and the bytes they decode to.
+    Null ids count as none; null doc_ids are kept; repeated rows give a row each; extra columns are ignored; an empty table gives no rows."""
     def run(batches):
-        encoder = encoder_for(path, pattern)
+        token, sha = tokens_of(path).__getitem__, hashlib.sha256
         for batch in batches:
             for some in _pieces(batch, 1):
-                lists = [ids or [] for ids in some.column(1).to_pylist()]
+                lists = _id_lists(some.column(1))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(map(len, lists), pa.int64()),
-                     pa.array([hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() for ids in lists]),
-                     pa.array([hashlib.sha256(encoder.decode(ids)).hexdigest() for ids in lists])],
+                    [some.column(0), pa.array(map(len, lists), pa.int64()), pa.array([sha(ids.astype("<u4").tobytes()).hexdigest() for ids in lists], pa.string()),
+                     pa.array([sha(b"".join(map(token, ids.tolist()))).hexdigest() for ids in lists], pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

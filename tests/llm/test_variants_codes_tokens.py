@@ -188,10 +188,10 @@ def test_tokens_of_awkward_rows(spark, ranks):
     rows += [(None, "no id"), (1, None), (1, ""), (2, "ab" * 20_000), (3, " " * 5000), (3, "word " * 50_000), (3, "word " * 50_000)]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("h", "ids")
     encoded = prefix_bpe.encode(df, path, pattern)
-    assert sorted((tuple(r) for r in prefix_bpe.digest(encoded, path, pattern).collect()), key=repr) == plain_tokens(library, rows)
-    assert sorted((r.doc_id or -1, bytes(r.bytes)) for r in prefix_bpe.decode(encoded, path, pattern).collect()) == sorted((i or -1, (t or "").encode()) for i, t in rows)
+    assert sorted((tuple(r) for r in prefix_bpe.digest(encoded, path).collect()), key=repr) == plain_tokens(library, rows)
+    assert sorted((r.doc_id or -1, bytes(r.bytes)) for r in prefix_bpe.decode(encoded, path).collect()) == sorted((i or -1, (t or "").encode()) for i, t in rows)
     empty = prefix_bpe.encode(df.limit(0), path, pattern)
-    assert empty.collect() == [] and prefix_bpe.digest(empty, path, pattern).collect() == [] and prefix_bpe.decode(empty, path, pattern).collect() == []
+    assert empty.collect() == [] and prefix_bpe.digest(empty, path).collect() == [] and prefix_bpe.decode(empty, path).collect() == []
 
 
 def test_edits_and_appends(spark, ranks):
