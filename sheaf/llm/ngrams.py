@@ -72,16 +72,18 @@ class Level:
         self.at = at
         self.keys, self.index, self.counts = np.unique(hashes[at], return_inverse=True, return_counts=True)
 
-    def parts(self, n_buckets: int) -> np.ndarray:
-        """Buckets are ranges of hashes: keys of one lie closer together, so their differences are shorter."""
-        return ((self.keys >> _U(32)) * _U(n_buckets)) >> _U(32)
+    def cuts(self, n_buckets: int) -> list[int]:
+        """Where each bucket's keys begin, and the end of the last: buckets are ranges of hashes, and the keys are sorted, so keys of one lie
+        together and their differences are short."""
+        bucket = ((self.keys >> _U(32)) * _U(n_buckets)) >> _U(32)
+        return np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=_U)).tolist()
 
     def totals(self, replies: dict[int, bytes], n_buckets: int, base: int, place: int) -> np.ndarray:
         """Total of the n-gram at every word, 0 where none was asked for."""
-        total, part = np.zeros(len(self.keys), np.int64), self.parts(n_buckets)
+        total, cuts = np.zeros(len(self.keys), np.int64), self.cuts(n_buckets)
         for b in range(n_buckets):
-            if base + b in replies:
-                total[part == b] = _numbers(replies[base + b][place])
+            if cuts[b] < cuts[b + 1] and base + b in replies:
+                total[cuts[b]:cuts[b + 1]] = _numbers(replies[base + b][place])
         out = np.zeros(len(self.at), np.int64)
         out[self.at] = total[self.index]
         return out
@@ -96,11 +98,11 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 def _blocks(levels: list[Level], n_buckets: int, base: int) -> dict[int, bytes]:
-    parts = [v.parts(n_buckets) for v in levels]
+    cuts = [v.cuts(n_buckets) for v in levels]
     out = {}
     for b in range(n_buckets):
-        mine = [p == b for p in parts]
-        if any(m.any() for m in mine):
+        mine = [slice(c[b], c[b + 1]) for c in cuts]
+        if any(m.start < m.stop for m in mine):
             out[base + b] = _press(*(x for v, m in zip(levels, mine) for x in (_bytes_planes(v.keys[m]), _planes(v.counts[m]))))
     return out
 
