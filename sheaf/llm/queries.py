@@ -139,8 +139,7 @@ def op10_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    written = saved(segments.encode(table(spark, sf_dir, "documents"), model, decoded=False))
-    return segments.read_back(written, model)
+    return segments.read_back(segments.encode(table(spark, sf_dir, "documents"), model, decoded=False), model)
 
 
 @query

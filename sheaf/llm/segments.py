@@ -344,6 +344,11 @@ def _pieces_of(column, limit: int):
         yield range(start, len(column))
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    edges = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i4"), *parts])))
+
+
 def encode(documents: DataFrame, model: str, samples: int = SAMPLES, sharpness: float = SHARPNESS, seed: int = SEED, decoded: bool = True,
            key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and sample: doc_id, sample (from 0, best perturbed score first), n_pieces, log_prob, log_inclusion, ids,
@@ -362,17 +367,21 @@ def encode(documents: DataFrame, model: str, samples: int = SAMPLES, sharpness:
             for some in _pieces_of(b.column(1), AT_ONCE):
                 keys = b.column(0).slice(some.start, len(some)).to_pylist()
                 texts = [t or "" for t in b.column(1).slice(some.start, len(some)).to_pylist()]
-                out: list = [[] for _ in range(8)]
+                out: list = [[] for _ in range(7)]
+                paths = []
                 for i, t, found in zip(keys, texts, sample_texts([x or 0 for x in keys], texts, pieces, samples, seed)):
                     raw = t.replace(SPACE, " ").encode("utf-8", "surrogatepass")
-                    digest = None if decoded else hashlib.sha256(raw).hexdigest()
+                    digest = None if decoded else _text_digest(raw)
                     for s, (ids, log_p, inclusion) in enumerate(found):
-                        row = (i, s, len(ids), log_p, inclusion, ids.astype(np.int32), zlib.crc32(ids.astype("<u4").tobytes()),
-                               decode_ids(ids, pieces) == raw if decoded else digest)
+                        flat = ids.astype("<i4")
+                        paths.append(flat)
+                        row = (i, s, len(ids), log_p, inclusion, zlib.crc32(flat), decode_ids(ids, pieces) == raw if decoded else digest)
                         for c, v in zip(out, row):
                             c.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.int64(), pa.bool_() if decoded else pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in schema.split(", ")])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_() if decoded else pa.string()]
+                columns = [pa.array(c, k) for c, k in zip(out, kinds)]
+                columns.insert(5, _lists(paths))
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, schema)
@@ -393,6 +402,25 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
 
 
 def read_back(rows: DataFrame, model: str) -> DataFrame:
-    """round_trip in place of text_sha256: whether the ids, as the rows hold them, decode to the text."""
-    found = decode(rows, model, out="decoded")
-    return found.select(*rows.drop("text_sha256").columns, (F.sha2(F.col("decoded"), 256) == F.col("text_sha256")).alias("round_trip"))
+    """round_trip in place of text_sha256: whether the ids, as the rows hold them, decode to the text.
+
+    Null ids count as none; null keys and repeated rows are kept as they are; an empty table gives no rows.
+    """
+    names = [x.split()[0] for x in UNREAD.split(", ")]
+
+    def run(batches):
+        pieces = pieces_for(model, SHARPNESS)
+        for b in batches:
+            column = b.column(names.index("ids"))
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            edges = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)))).tolist()
+            digests = b.column(names.index("text_sha256")).to_pylist()
+            same = [_text_digest(decode_ids(flat[x:y], pieces)) == d for x, y, d in zip(edges, edges[1:], digests)]
+            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(names, b.columns) if n != "text_sha256"), pa.array(same, pa.bool_())],
+                                             names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    return rows.select(*names).mapInArrow(run, SCHEMA)
+
+
+def _text_digest(raw: bytes) -> str:
+    return hashlib.sha256(raw).hexdigest()
