@@ -36,6 +36,8 @@ PIVOTS = 16
 FULL = 64
 #: Turns over full blocks in ``near_copies`` that join what is easily joined before the prefixes, and leaders in each.
 TURNS, LEADERS = 3, 8
+#: Members of a full block that one task meets its leaders with.
+SALTED = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 16
 
@@ -188,30 +190,43 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, r
     blocks = unique.select("block.t", "block.k", "id", "copies", "fp", "n")
     sizes = blocks.groupBy("t", "k").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = saved(blocks.join(sizes, ["t", "k"]))
-    full = shared.filter(f"size > {FULL}")
+    # One row per member of full blocks, with its blocks beside it.
+    full = saved(shared.filter(f"size > {FULL}").groupBy("id").agg(
+        *[F.first(c).alias(c) for c in ("copies", "fp", "n")], F.collect_list(F.struct("t", "k", "size")).alias("blocks"), F.count(F.lit(1)).alias("n_full")))
     edges = _verified(documents, _paired(shared.filter(f"size <= {FULL}"), similarity), width, similarity)
     if not full.isEmpty():
         # The text that others were copied from often has whole copies too, and shares more blocks with them than they do with each
         # other: such members lead first.
-        full = full.join(full.groupBy("id").agg(F.count(F.lit(1)).alias("n_full")), "id")
         for turn in range(TURNS):
-            placed = _rooted(full, edges)
+            edges = saved(_star(edges))
+            placed = _rooted(full, edges).select("id", "copies", "fp", "n", "n_full", "root", F.explode("blocks").alias("block"))
+            salts = F.ceil(F.col("block.size") / SALTED).cast("int")
+            placed = saved(placed.select("block.t", "block.k", salts.alias("salts"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"),
+                                         *placed.columns[:-1]))
             lead = [F.col("copies").desc(), F.col("n_full").desc()] if turn == 0 else []
-            heads = top_k(placed, ["t", "k"], [*lead, F.xxhash64("id", F.lit(turn)), F.col("id")], LEADERS)
-            a, b = (x.select("t", "k", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "fp", "n", "root")]) for x, n in ((placed, "a"), (heads, "b")))
+            order = [*lead, F.xxhash64("id", F.lit(turn)), F.col("id")]
+            # A block's leaders are chosen salt by salt first, and given to each salt.
+            heads = top_k(top_k(placed, ["t", "k", "salt"], order, LEADERS).drop("rank"), ["t", "k"], order, LEADERS)
+            heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            a, b = (x.select("t", "k", "salt", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "fp", "n", "root")]) for x, n in ((placed, "a"), (heads, "b")))
             # What is in one group already is not tried again.
-            met = a.join(b, ["t", "k"]).filter("root_a <> root_b")
+            met = a.join(b, ["t", "k", "salt"]).filter("root_a <> root_b")
             edges = edges.union(_verified(documents, _close(met, radius, similarity), width, similarity))
-        sets = saved(_sets(documents, full.select(F.col("id").alias("doc_id")).distinct(), width))
+        edges = saved(_star(edges))
+        sets = saved(_sets(documents, full.select(F.col("id").alias("doc_id")), width))
         edges = edges.union(_agreeing(sets, saved(_prefix_pairs(sets, edges, similarity)), similarity))
     groups = components(edges.union(copies))
     return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
 
 
-def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds the smallest id that is reached over ``edges``."""
-    roots = saved(components(edges))
-    return members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _star(edges: DataFrame) -> DataFrame:
+    """The same groups with every node tied to its group's smallest."""
+    return components(edges).filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _rooted(members: DataFrame, star: DataFrame) -> DataFrame:
+    """Adds the smallest id of its group to each id; ``star`` ties a node to it once."""
+    return members.join(star.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def _sizes_fit(similarity: float) -> Column:
@@ -234,7 +249,7 @@ def _close(pairs: DataFrame, radius: int, similarity: float) -> DataFrame:
 
 
 def _prefix_pairs(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``sets(doc_id, s)`` that may have the similarity t and that no path of ``edges`` joins yet; lossless.
+    """Pairs (a, b) of ``sets(doc_id, s)`` that may have the similarity t and are not in one group of the star ``edges``; lossless.
 
     Shingles are put in one order, rarest first. Two sets of n >= m shingles with Jaccard similarity t share o = t / (1 + t) * (n + m)
     or more, so their first shared shingle is among the first n - t * n + 1 of the larger and the first m - 2 t / (1 + t) * m + 1 of
