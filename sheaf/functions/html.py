@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import fixed_values as fixed
 from .text import col, strip
@@ -24,50 +27,107 @@ TAG = "<[^>]*>"
 MARK = "\x01"
 
 
-#: Script and style elements are one token each: their text is no markup.
-TOKEN = r"(?is)<(?:script)\b[^>]*>.*?</script\s*>|<(?:style)\b[^>]*>.*?</style\s*>|<!--.*?-->|</?[a-z][^>]*>|<[!?][^>]*>|[^<]+|<"
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-_ATTRIBUTE = "\\s(?:on[a-z]*|style)\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s>]+)"
-_CLASS = "(?is)^<[^>]*?\\sclass\\s*=\\s*(?:\"([^\"]*)|'([^']*)|([^\\s>\"']+))"
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_FLAGS = re.IGNORECASE | re.DOTALL | re.ASCII
+_OPENING = re.compile(r"<(?:!--|(/?)([a-z][^\s/>]*)[^>]*>|[!?][^>]*>)", _FLAGS)
+_RAW_END = {name: re.compile(f"</{name}\\s*>", _FLAGS) for name in ("script", "style")}
+_ATTRIBUTE = re.compile("\\s(?:on[a-z]*|style)\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s>]+)", _FLAGS)
+_CLASS = re.compile("\\sclass\\s*=\\s*(?:\"([^\"]*)|'([^']*)|([^\\s>\"']+))", _FLAGS)
+_NOISE = re.compile(_NOISY)
 
 
 def clean(html: Column | str) -> Column:
     """The page without noise elements (by name, or a class that holds a noise word, on any element) and without event and style
     attributes. Null gives ''.
 
-    Tokens are folded over a stack of open elements. An end tag closes the last open element of its name and all inside it;
-    one that closes nothing is kept as it stands; what is never closed stays open to the end of the page.
+    Tags are read over a stack of open elements. An end tag closes the last open element of its name and all inside it;
+    one that closes nothing is kept as it stands; what is never closed stays open to the end of the page. A stack is
+    what column expressions lack: they would copy it at every tag. Pages go to Python in Arrow batches, and time is
+    linear in a page's length, however its tags nest.
     """
-    tokens = F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(TOKEN), F.lit(0))
-
-    def described(t: Column) -> Column:
-        name = F.lower(F.regexp_extract(t, r"^</?([A-Za-z][^\s/>]*)", 1))
-        value = F.lower(F.concat(*[F.regexp_extract(t, _CLASS, i) for i in (1, 2, 3)]))
-        noisy = name.isin(*fixed.NOISE_TAGS) | (value != "") & value.rlike(_NOISY)
-        kind = (F.when(name == "", "text").when(t.startswith("</"), "end")
-                .when(name.isin(*VOID) | t.rlike(r"(?is)</(?:script|style)\s*>$"), "alone").otherwise("start"))
-        shown = F.when(kind.isin("start", "alone"), F.regexp_replace(t, "(?i)" + _ATTRIBUTE, "")).otherwise(t)
-        return F.struct(shown.alias("text"), name.alias("name"), (noisy & (kind != "end") & (kind != "text")).alias("noisy"), kind.alias("kind"))
-
-    # Open elements, innermost first; those that mute are marked.
-    def step(s: Column, t: Column) -> Column:
-        at = F.array_position(F.transform(s["open"], lambda x: F.ltrim(x, F.lit("!"))), t["name"]).cast("int")
-        closes = (t["kind"] == "end") & (at > 0)
-        left = F.when(closes, F.slice(s["open"], at + 1, F.greatest(F.size(s["open"]) - at, F.lit(0)))).otherwise(s["open"])
-        opened = F.when(t["kind"] == "start", F.concat(F.array(F.concat(F.when(t["noisy"], "!").otherwise(""), t["name"])), left)).otherwise(left)
-        # An end tag belongs to the element it closes.
-        inside = F.when(closes, F.slice(s["open"], at, F.greatest(F.size(s["open"]) - at + 1, F.lit(0)))).otherwise(s["open"])
-        muted = t["noisy"] | F.exists(inside, lambda x: x.startswith("!"))
-        return F.struct(opened.alias("open"), F.when(muted, s["kept"]).otherwise(F.concat(s["kept"], F.array(t["text"]))).alias("kept"))
-
-    none = F.array().cast("array<string>")
-    return F.aggregate(F.transform(tokens, described), F.struct(none.alias("open"), none.alias("kept")), step, lambda s: F.array_join(s["kept"], ""))
+    return _clean_pages(F.coalesce(col(html), F.lit("")))
+
+
+@F.pandas_udf(StringType())
+def _clean_pages(pages: pd.Series) -> pd.Series:
+    return pages.map(clean_page)
+
+
+def clean_page(html: str) -> str:
+    kept: list[str] = []
+    stack: list[str] = []
+    held: Counter[str] = Counter()
+    # Depth of the outermost noisy element that is open; behind the last '>' nothing is a tag.
+    mute, at, last = 0, 0, html.rfind(">") + 1
+    open_ended = set()
+    while tag := _OPENING.search(html, at if at <= last else last, last):
+        if not mute:
+            kept.append(html[at:tag.start()])
+        begin, at = tag.span()
+        end, name = tag.group(1), (tag.group(2) or "").lower()
+        if html.startswith("<!--", begin):
+            close = -1 if "<!--" in open_ended else html.find("-->", begin + 4)
+            if close < 0:
+                open_ended.add("<!--")
+                close = html.find(">", begin) - 2
+            at = close + 3
+        if not name:
+            hidden = mute
+        elif end:
+            hidden = mute
+            if held[name]:
+                while True:
+                    inner = stack.pop()
+                    held[inner] -= 1
+                    if inner == name:
+                        break
+                # An end tag belongs to the element it closes.
+                hidden = 0 < mute <= len(stack) + 1
+                if mute > len(stack):
+                    mute = 0
+        else:
+            noisy = name in _NOISE_TAGS or _noisy_class(tag.group())
+            hidden = mute or noisy
+            raw = None
+            if name in _RAW_END and name not in open_ended:
+                # The text of these is no markup, as far as it ends.
+                raw = _RAW_END[name].search(html, at)
+                if raw:
+                    at = raw.end()
+                else:
+                    open_ended.add(name)
+            if name not in VOID and not raw:
+                stack.append(name)
+                held[name] += 1
+                if noisy and not mute:
+                    mute = len(stack)
+        if not hidden:
+            text = html[begin:at]
+            kept.append(_ATTRIBUTE.sub("", text) if name and not end and "=" in text else text)
+    if not mute:
+        kept.append(html[at:])
+    return "".join(kept)
+
+
+_NOISE_TAGS = frozenset(fixed.NOISE_TAGS)
+
+
+def _noisy_class(tag: str) -> bool:
+    found = _CLASS.search(tag)
+    return bool(found) and bool(_NOISE.search((found[1] or found[2] or found[3] or "").lower()))
+
+
+#: References that most texts hold; the rest are looked up behind these.
+COMMON = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "hellip": "…", "mdash": "—", "ndash": "–", "euro": "€"}
 
 
 def _names() -> str:
-    """Every named reference that ends in a semicolon, and the numbers that pages mean as Windows-1252, as a JSON map."""
-    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
-    return json.dumps(named | {f"#{i}": bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)})
+    """Every named reference that ends in a semicolon, as a JSON map."""
+    return json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+
+
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
 REFERENCE = "(?s)&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
@@ -81,9 +141,11 @@ def _decoded(part: Column) -> Column:
     code = F.coalesce(digits.try_cast("long"), F.lit(0))
     good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     char = F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(1))), 8, "0")), "UTF-32")).otherwise("\ufffd")
-    number = F.coalesce(F.try_element_at(names, F.concat(F.lit("#"), code.cast("string"))), char)
+    # Numbers that pages mean as Windows-1252.
+    windows = _literal_map({i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)})
+    number = F.when(code.between(0x80, 0x9F), F.try_element_at(windows, code.cast("int"))).otherwise(char)
     return (F.when(~part.rlike("^&.+;$"), part).when(body.startswith("#"), number)
-            .otherwise(F.coalesce(F.try_element_at(names, body), part)))
+            .otherwise(F.coalesce(F.try_element_at(_literal_map(COMMON), body), F.try_element_at(names, body), part)))
 
 
 def unescape(c: Column) -> Column:

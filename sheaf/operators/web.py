@@ -45,13 +45,12 @@ def search_source_stats(pages: DataFrame) -> DataFrame:
 def extract_links(pages: DataFrame) -> DataFrame:
     """Distinct same-host page links (page_id, link)."""
     hrefs = F.regexp_extract_all("html", F.lit("(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"']"), 1)
-    raw = pages.select("page_id", "url", F.explode(F.array_distinct(hrefs)).alias("href")).withColumn(
-        "href", strip(H.unescape(F.col("href"))))
-    kept = raw.filter((F.col("href") != "") & ~F.col("href").startswith("#") & ~F.col("href").startswith("mailto:"))
-    full = kept.withColumn("link", urls.resolve("url", "href"))
-    return full.filter(
-        (urls.host("link") == urls.host("url"))
-        & ~any_of(F.lower(urls.path("link")), fixed.LINK_SKIP_EXTENSIONS)).select("page_id", "link").distinct()
+    plain = F.transform(F.array_distinct(hrefs), lambda h: strip(H.unescape(h)))
+    kept = F.filter(plain, lambda h: (h != "") & ~h.startswith("#") & ~h.startswith("mailto:"))
+    # Links are made in the explode, once each, and only looked at behind it.
+    full = pages.select("page_id", urls.host("url").alias("_host"), F.explode(F.transform(kept, lambda h: urls.resolve("url", h))).alias("link"))
+    return full.filter((urls.host("link") == F.col("_host"))
+                       & ~any_of(F.lower(urls.path("link")), fixed.LINK_SKIP_EXTENSIONS)).select("page_id", "link").distinct()
 
 
 def http_success(status: Column | str, error: Column | str) -> Column:
