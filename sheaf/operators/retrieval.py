@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,13 +9,11 @@ from pyspark.sql import functions as F
 from ..functions.skew import top_k
 from ..functions.text import joined, occurrences, terms
 
-try:
-    import ahocorasick
-except ImportError:  # the join path needs no automaton
-    ahocorasick = None
-
 RULE = "\n\n---\n\n"
-SCAN_TERMS = 200_000  # (query, word) pairs sent to every task at most
+#: Characters of a word whose substrings are read in one piece.
+PIECE = 256
+#: Characters by which places of a text find query words.
+GRAM = 3
 
 
 def _window(window_pages: int) -> Column:
@@ -25,49 +21,15 @@ def _window(window_pages: int) -> Column:
 
 
 def _postings(pages: DataFrame, window_pages: int) -> DataFrame:
-    """Distinct (doc_id, win, term), laid out by window: the distinct and later per-window counts need no
-    further shuffle, and a window is at most ``window_pages`` pages long."""
-    return pages.select("doc_id", _window(window_pages).alias("win"),
-                        F.explode(terms("content")).alias("term")).repartition("doc_id", "win").distinct()
+    """Distinct (doc_id, win, term); words repeated in a task's pages are dropped before the shuffle, and so is what a
+    semi-join of the result leaves out."""
+    return pages.select("doc_id", _window(window_pages).alias("win"), F.explode(terms("content")).alias("term")).distinct()
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(terms("query")).alias("term"))
 
 
-def _grams(term: Column, n: int) -> Column:
-    last = F.length(term) - (n - 1)
-    spots = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(spots, lambda i: F.substring(term, i, F.lit(n))))
-
-
-def substring_matches(needles: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(needle, term) for every vocabulary term containing the needle, without a nested loop.
-
-    Both sides are one-column tables (``needle`` / ``term``). Each needle looks only at terms sharing
-    its rarest three-gram (needles under three characters are their own gram); ``contains`` decides.
-    """
-    term = F.col("term")
-    needle = F.col("needle")
-    own = F.when(F.length(needle) < 3, F.array(needle)).otherwise(_grams(needle, 3))
-    wanted = needles.distinct().select("needle", F.explode(own).alias("gram"))
-    index = vocabulary.select("term", F.explode(F.concat(_grams(term, 1), _grams(term, 2), _grams(term, 3))).alias("gram")).join(
-        wanted.select("gram").distinct(), "gram", "left_semi")
-    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (wanted.join(frequency, "gram").groupBy("needle")
-              .agg(F.min(F.struct("n", "gram")).alias("r")).select("needle", F.col("r.gram").alias("gram")))
-    return rarest.join(index, "gram").filter(F.contains(F.col("term"), F.col("needle"))).select("needle", "term")
-
-
-def _window_texts(pages: DataFrame, hits: DataFrame, window_pages: int) -> DataFrame:
-    """Page range and text of the hit windows only; other pages are dropped before grouping."""
-    wanted = hits.select("doc_id", "win").distinct()
-    return (pages.withColumn("win", _window(window_pages)).join(wanted, ["doc_id", "win"], "left_semi")
-            .groupBy("doc_id", "win")
-            .agg(F.min("page").alias("page_from"), F.max("page").alias("page_to"),
-                 joined("\n", "content", "page").alias("content")))
-
-
 def page_spec(first: Column | str, last: Column | str) -> Column:
     first = F.col(first) if isinstance(first, str) else first
     last = F.col(last) if isinstance(last, str) else last
@@ -75,80 +37,40 @@ def page_spec(first: Column | str, last: Column | str) -> Column:
 
 
 def _finish(pages: DataFrame, hits: DataFrame, window_pages: int, cut: int) -> DataFrame:
-    texts = _window_texts(pages, hits, window_pages)
-    return hits.join(texts, ["doc_id", "win"]).select(
-        "query_id", "rank", "doc_id", "win", page_spec("page_from", "page_to").alias("pages"), "score",
-        F.substring("content", 1, cut).alias("content"))
-
-
-def _scan_scores(pages: DataFrame, wanted: list, window_pages: int, k: int) -> DataFrame:
-    """Top k windows per query and task, from one pass over each window text with a word automaton."""
-    query_ids = sorted({r["query_id"] for r in wanted})
-    column = {q: i for i, q in enumerate(query_ids)}
-    askers: dict[str, list[int]] = {}
-    for r in wanted:
-        askers.setdefault(r["term"], []).append(column[r["query_id"]])
-    shared = pages.sparkSession.sparkContext.broadcast((query_ids, askers))
-    texts = pages.groupBy("doc_id", _window(window_pages).alias("win")).agg(F.lower(joined("\n", "content", "page")).alias("text"))
-
-    def scan(batches):
-        ids, by_term = shared.value
-        lists = [np.array(v) for v in by_term.values()]
-        short = [(t, i) for i, t in enumerate(by_term) if len(t) < 3]
-        automaton = ahocorasick.Automaton()
-        for i, t in enumerate(by_term):
-            if len(t) >= 3:
-                automaton.add_word(t, i)
-        has_long = len(automaton) > 0
-        if has_long:
-            automaton.make_automaton()
-        best = pd.DataFrame({"query_id": [], "doc_id": [], "win": [], "score": []}).astype("int64")
-        rows_at_once = max(1, 4_000_000 // max(1, len(ids)))
-        for pdf in batches:
-            for at in range(0, len(pdf), rows_at_once):
-                part = pdf.iloc[at:at + rows_at_once]
-                scores = np.zeros((len(part), len(ids)), dtype=np.int64)
-                for n, text in enumerate(part["text"]):
-                    found = {i for _, i in automaton.iter(text)} if has_long else set()
-                    found.update(i for t, i in short if t in text)
-                    if found:
-                        scores[n] = np.bincount(np.concatenate([lists[i] for i in found]), minlength=len(ids))
-                floor = np.partition(scores, max(0, len(part) - k), axis=0)[max(0, len(part) - k)]
-                n, q = np.nonzero((scores > 0) & (scores >= floor))
-                fresh = pd.DataFrame({"query_id": np.array(ids)[q], "doc_id": part["doc_id"].to_numpy()[n],
-                                      "win": part["win"].to_numpy()[n], "score": scores[n, q]})
-                best = pd.concat([best, fresh]).sort_values(["score", "doc_id", "win"], ascending=[False, True, True]) \
-                    .groupby("query_id").head(k)
-        yield best
-
-    return texts.mapInPandas(scan, "query_id long, doc_id long, win int, score long")
+    """Page range and text of the hit windows: pages meet hits one by one, so that hits are computed once and other pages' text stays."""
+    found = hits.join(pages.withColumn("win", _window(window_pages)), ["doc_id", "win"])
+    return found.groupBy("query_id", "rank", "doc_id", "win", "score").agg(
+        F.min("page").alias("page_from"), F.max("page").alias("page_to"), joined("\n", "content", "page").alias("content")).select(
+        "query_id", "rank", "doc_id", "win", page_spec("page_from", "page_to").alias("pages"), "score", F.substring("content", 1, cut).alias("content"))
 
 
 def _substring_scores(pages: DataFrame, wanted: DataFrame, window_pages: int) -> DataFrame:
-    """Scores by joins only.
+    """(query_id, doc_id, win, score): how many distinct words of ``wanted(query_id, term)`` lie in the window.
 
-    A query word holds no blanks, so it lies in a window exactly when it lies in one of the window's
-    words; matching therefore runs once per distinct word of the corpus, not per window.
+    A query word holds no blanks, so it lies in a window exactly when it lies in one of the window's words. At every place of
+    the distinct words of a page, the gram of ``GRAM`` characters (or fewer, for query words that short) meets the query words that
+    begin with it by equality, and the rest is compared in place: work is linear in the corpus, and no text leaves its
+    task. What does are the words found, one set per window.
     """
-    postings = _postings(pages, window_pages)
-    matches = substring_matches(wanted.select(F.col("term").alias("needle")), postings.select("term").distinct())
-    found = postings.join(matches, "term").select("doc_id", "win", F.col("needle").alias("term")).distinct()
+    needles = wanted.select("term").distinct().withColumn("gram", F.substring("term", 1, GRAM))
+    sizes = needles.agg(F.collect_set(F.length("gram"))).scalar()
+    words_ = pages.select("doc_id", _window(window_pages).alias("win"), F.explode(terms("content")).alias("word"))
+    # A long word is read in pieces that overlap so far that every query word is whole in one.
+    longest = F.coalesce(needles.agg(F.max(F.length("term"))).scalar(), F.lit(0))
+    starts = words_.select("doc_id", "win", "word", F.explode(F.sequence(F.lit(1), F.length("word"), F.lit(PIECE))).alias("start"))
+    cut = starts.select("doc_id", "win", F.substring("word", F.col("start"), longest + PIECE).alias("word"))
+    spots = cut.select("doc_id", "win", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    sized = spots.select("doc_id", "win", "word", "at", F.explode(sizes).alias("size"))
+    grams = sized.select("doc_id", "win", "word", "at", F.coalesce(F.substring("word", F.col("at"), F.col("size")), F.lit("")).alias("gram"))
+    held = grams.join(needles, "gram").filter(F.substring("word", F.col("at"), F.length("term")) == F.col("term"))
+    sets = held.groupBy("doc_id", "win").agg(F.collect_set("term").alias("terms"))
+    found = sets.select("doc_id", "win", F.explode("terms").alias("term"))
     return found.join(wanted, "term").groupBy("query_id", "doc_id", "win").agg(F.count(F.lit(1)).alias("score"))
 
 
-def keyword_page_search(pages: DataFrame, queries: DataFrame, window_pages: int = 10, k: int = 5,
-                        cut: int = 6000, scan_terms: int = SCAN_TERMS) -> DataFrame:
-    """Windows ranked by how many distinct query words occur in them as substrings.
-
-    Up to ``scan_terms`` query words (counted first) become an automaton sent to the tasks: each text is read
-    once and a task emits k windows per query. More words, or a missing automaton package, go through joins.
-    """
-    wanted = _query_terms(queries)
-    few = wanted.limit(scan_terms + 1).collect() if ahocorasick is not None and scan_terms else []
-    if 0 < len(few) <= scan_terms:
-        scores = _scan_scores(pages, few, window_pages, k)
-    else:
-        scores = _substring_scores(pages, wanted, window_pages)
+def keyword_page_search(pages: DataFrame, queries: DataFrame, window_pages: int = 10, k: int = 5, cut: int = 6000) -> DataFrame:
+    """Windows ranked by how many distinct query words occur in them as substrings."""
+    scores = _substring_scores(pages, _query_terms(queries), window_pages)
     hits = top_k(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id"), F.col("win")], k)
     return _finish(pages, hits, window_pages, cut)
 
@@ -182,19 +104,17 @@ def write_posting_index(index: DataFrame, table: str, buckets: int) -> None:
 
 
 def search_postings(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Whole-word search over a posting index: (query_id, rank, doc_id, win, score)."""
-    scores = index.join(_query_terms(queries), "term").groupBy("query_id", "doc_id", "win").agg(
-        F.count(F.lit(1)).alias("score"))
+    """Whole-word search over a posting index: (query_id, rank, doc_id, win, score). Words that no query asks for are dropped first."""
+    wanted = _query_terms(queries)
+    asked = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    scores = asked.join(wanted, "term").groupBy("query_id", "doc_id", "win").agg(F.count(F.lit(1)).alias("score"))
     return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id"), F.col("win")], k)
 
 
 def search_windows(pages: DataFrame, queries: DataFrame, k: int = 5, window_pages: int = 10,
                    cut: int = 6000) -> DataFrame:
     """Whole-word search with the hit windows' text; only words that queries ask for enter the postings."""
-    asked = _query_terms(queries).select("term").distinct()
-    spelled = pages.select("doc_id", _window(window_pages).alias("win"), F.explode(terms("content")).alias("term"))
-    postings = spelled.join(asked, "term", "left_semi").repartition("doc_id", "win").distinct()
-    return _finish(pages, search_postings(postings, queries, k), window_pages, cut)
+    return _finish(pages, search_postings(posting_index(pages, window_pages), queries, k), window_pages, cut)
 
 
 # --- reranking ---------------------------------------------------------------------------------

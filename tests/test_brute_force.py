@@ -32,7 +32,7 @@ def test_running_over_blocks(spark):
                 assert got[k, i] == (sum(seen), min(seen, default=None), max(pos, default=None))
 
 
-def test_keyword_search_paths_agree(spark):
+def test_keyword_search(spark):
     rng = random.Random(2)
     vocab = ["Alpha", "be", "gam,ma", "x", "alphabet", "no", "ma", "Straße", "été", "(q)"]
     pages = [(doc, p, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 6)))) for doc in range(12) for p in range(1, 26)]
@@ -49,9 +49,14 @@ def test_keyword_search_paths_agree(spark):
                 if score:
                     scored.append((-score, doc, win))
         want += [(qid, n + 1, doc, win, -s) for n, (s, doc, win) in enumerate(sorted(scored)[:5])]
-    for limit in (1000, 0):
-        got = r.keyword_page_search(pdf, qdf, scan_terms=limit)
-        assert sorted((x.query_id, x.rank, x.doc_id, x.win, x.score) for x in got.collect()) == want
+    got = r.keyword_page_search(pdf, qdf)
+    assert sorted((x.query_id, x.rank, x.doc_id, x.win, x.score) for x in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "NestedLoop", "Cartesian"))
+    long = spark.createDataFrame([(1, 1, "x" * 700 + "needle" + "y" * 300), (2, 1, ""), (3, 1, None)], "doc_id long, page int, content string")
+    found = r.keyword_page_search(long, spark.createDataFrame([(1, "needle"), (2, "y" * 290), (3, "z" * 900)], "query_id long, query string"))
+    assert sorted((x.query_id, x.doc_id) for x in found.collect()) == [(1, 1), (2, 1)]
+    assert r.keyword_page_search(long, qdf.limit(0)).collect() == []
 
 
 def test_vector_paths_agree(spark):

@@ -8,8 +8,10 @@ from sheaf import plans
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
-PYTHON = {"keyword_page_search", "keyword_search_backoff", "vector_topk", "related_chunks", "familiarity", "adaptive_route",
-          "cluster_history", "rate_limit_admit"}
+#: Vectors, clusters, decisions in time order, and what cleans pages.
+PYTHON = {"vector_topk", "related_chunks", "familiarity", "adaptive_route", "cluster_history", "rate_limit_admit",
+          "clean_html", "clean_html_nested", "extract_text", "page_metadata", "search_source_stats", "validate_page", "split_scraped",
+          "url_content_relevance", "page_quality_report", "context_from_pages"}
 
 
 def check_plan(df, name):
