@@ -162,7 +162,8 @@ def span_rollup(spans: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Own plus all descendants' tokens per span, and its duration.
 
     Pointer doubling: after round r a span holds the sum over descendants closer than 2^r, so a chain of
-    depth d takes log2(d) rounds and no ancestor pairs are ever listed.
+    depth d takes log2(d) rounds and no ancestor pairs are ever listed. Parents that form a cycle, or chains of more than
+    2 ** ``max_rounds`` spans, raise.
     """
     state = cut_lineage(spans.select("span_id", F.col("parent_id").alias("up"), F.col("tokens").cast("long").alias("total")))
     for _ in range(max_rounds):
@@ -172,6 +173,9 @@ def span_rollup(spans: DataFrame, max_rounds: int = 40) -> DataFrame:
         above = state.select(F.col("span_id").alias("up"), F.col("up").alias("next_up"))
         state = cut_lineage(state.join(gifts, "span_id", "left").join(above, "up", "left").select(
             "span_id", F.col("next_up").alias("up"), (F.col("total") + F.coalesce("gift", F.lit(0))).alias("total")))
+    else:
+        if not state.filter("up IS NOT NULL").isEmpty():
+            raise ValueError("parents of spans form a cycle")
     duration = F.round((F.col("end_s") - F.col("start_s")) * 1000, 3)
     return spans.join(state.select("span_id", F.col("total").alias("total_tokens")), "span_id").select(
         "trace_id", "span_id", "parent_id", "status", F.coalesce(duration, F.lit(0.0)).alias("duration_ms"), "total_tokens")

@@ -127,13 +127,17 @@ def _chunk_line() -> Column:
     return F.concat(F.lit("[Turns "), "start_turn", F.lit("-"), "end_turn", F.lit("]: "), "summary")
 
 
+#: '[Turns a-b]: ' and a summary of a character.
+SHORTEST_LINE = 14
+
+
 def session_summary(chunks: DataFrame) -> DataFrame:
     """(conv_id, overview, overview_tokens, n_chunks) for conversations with two chunks or more.
 
-    A line has at least 14 characters and the overview at most 1200, so the first 100 lines decide it.
+    A line has at least ``SHORTEST_LINE`` characters, so the lines that the overview's characters can hold decide it.
     """
     counts = chunks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    first = top_k(chunks, ["conv_id"], [F.col("chunk")], 100, "_rn")
+    first = top_k(chunks, ["conv_id"], [F.col("chunk")], SESSION_TOKENS * 4 // SHORTEST_LINE + 1, "_rn")
     texts = first.groupBy("conv_id").agg(joined("\n\n", _chunk_line(), "chunk").alias("_t"))
     cut = F.when(token_count("_t") > SESSION_TOKENS, F.substring("_t", 1, SESSION_TOKENS * 4)).otherwise(F.col("_t"))
     return counts.filter("n_chunks >= 2").join(texts, "conv_id").withColumn("overview", cut).select(

@@ -173,14 +173,14 @@ SQL_VIEWS["fitted"] = ("costed chunks conv_sizes", f"""
         SELECT *, total <= 500 AS all_fit FROM (
           SELECT x.*, s.n, 3 + sum(4 + tok) OVER (PARTITION BY x.conv_id) AS total,
                  sum(cost) OVER (PARTITION BY x.conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used
-          FROM costed x JOIN conv_sizes s USING (conv_id) LEFT JOIN (SELECT conv_id, 1 AS k FROM chunks GROUP BY 1) k USING (conv_id)
+          FROM costed x JOIN conv_sizes s USING (conv_id) LEFT JOIN (SELECT conv_id, count(*) AS k FROM chunks GROUP BY 1) k USING (conv_id)
           WHERE turn >= CASE WHEN coalesce(k, 0) * {P} < n THEN coalesce(k, 0) * {P} ELSE 0 END))
       WHERE all_fit OR used <= 500)""")
 
 
 def fitted(t):
-    """One chunk summarised per conversation, 600 tokens less 100 for the recap."""
-    chunked = c.chunk_summaries(t.conversations, P).groupBy("conv_id").agg(F.lit(1).alias("n_chunks"))
+    """What follows the summarised chunks of each conversation, 600 tokens less 100 for the recap."""
+    chunked = c.chunk_summaries(t.conversations, P).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     limits = t.conversations.select("conv_id").distinct().select("conv_id", F.lit(600).alias("token_budget"), F.lit(100).alias("recap_budget"))
     return c.fit_history(t.conversations, limits, chunked, P)
 

@@ -230,3 +230,10 @@ def test_cache_ttl_and_cap(spark):
     df = spark.createDataFrame([(f"u{i % 4}", t0 + dt.timedelta(seconds=i), i) for i in range(10)], "url string, ts timestamp, fetch_id int")
     got = w.page_cache_latest(df, F.lit(t0 + dt.timedelta(seconds=12)), ttl_seconds=5, max_entries=2).collect()
     assert [(x.url, x.fetch_id) for x in got] == [("u1", 9), ("u0", 8)]
+
+
+def test_span_cycle_raises(spark):
+    spans = spark.createDataFrame([("t", "a", "b", "ok", 0.0, 1.0, 1), ("t", "b", "a", "ok", 0.0, 1.0, 1)],
+                                  "trace_id string, span_id string, parent_id string, status string, start_s double, end_s double, tokens int")
+    with pytest.raises(ValueError, match="cycle"):
+        b.span_rollup(spans, max_rounds=3)
