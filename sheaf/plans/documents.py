@@ -196,13 +196,13 @@ def _(t):
 
 @query("normalize_captions", f"""
     SELECT doc_id, idx, array_to_string(list_filter(list_transform(coalesce(captions, []), lambda x: {q.strip('x')}), lambda x: x <> ''), '|') AS captions,
-           {q.strip('text')} AS equation, CASE WHEN {q.strip('text')} = '' AND type = 'equation' THEN 'latex' ELSE '' END AS format
+           CASE WHEN {q.strip('text')} <> '' THEN {q.strip('text')} WHEN type = 'equation' THEN 'x' ELSE 'y' END AS equation,
+           CASE WHEN {q.strip('text')} = '' AND type = 'equation' THEN 'latex' ELSE '' END AS format
     FROM items""", "items")
 def _(t):
     eq = d.equation_text(F.col("text"), F.when(F.col("type") == "equation", F.lit("x")), F.lit("y"), F.lit(None).cast("string"))
-    shown = F.when(F.trim("text") == "", "").otherwise(eq["text"])
     return t.items.select("doc_id", "idx", F.array_join(d.normalize_captions("captions"), "|").alias("captions"),
-                          shown.alias("equation"), eq["format"].alias("format"))
+                          eq["text"].alias("equation"), eq["format"].alias("format"))
 
 
 @query("equation_text", f"""
