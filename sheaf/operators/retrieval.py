@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import top_k
 from ..functions.text import joined, occurrences, terms
+from ..sources.tables import default_buckets, stored, write_bucketed
 
 RULE = "\n\n---\n\n"
 #: Characters of a word whose substrings are read in one piece.
 PIECE = 256
 #: Characters by which places of a text find query words.
 GRAM = 3
+#: Hashes of documents over which the postings of one word are spread in a stored index.
+POSTING_SLICES = 16
 
 
 def _window(window_pages: int) -> Column:
@@ -98,9 +101,25 @@ def posting_index(pages: DataFrame, window_pages: int = 10) -> DataFrame:
     return _postings(pages, window_pages).select("term", "doc_id", "win")
 
 
-def write_posting_index(index: DataFrame, table: str, buckets: int) -> None:
-    """Bucketed by term, so that later searches join without moving the index."""
-    index.write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
+def write_posting_index(pages: DataFrame, table: str | None = None, buckets: int | None = None, window_pages: int = 10,
+                        slices: int = POSTING_SLICES) -> DataFrame:
+    """The index as a stored table (term, slice, doc_id, win) that later searches read without moving it; returns the table.
+
+    Bucketed and sorted by (term, slice). A slice is a hash of the document, so a word of every window fills up to
+    ``slices`` buckets. Postings move once: they are made distinct where their bucket is written.
+    """
+    words_ = pages.select("doc_id", _window(window_pages).alias("win"), F.explode(terms("content")).alias("term"))
+    cut = words_.select("term", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), "doc_id", "win")
+    keys, n = ["term", "slice"], buckets or default_buckets(pages.sparkSession)
+    distinct = cut.repartition(n, *keys).distinct()
+    return stored(distinct, keys, [], n) if table is None else write_bucketed(distinct, table, keys, [], n)
+
+
+def search_stored_postings(stored_index: DataFrame, queries: DataFrame, k: int = 5, slices: int = POSTING_SLICES) -> DataFrame:
+    """``search_postings`` over a stored index: the words of the queries go to the index's buckets, the index stays; only hits move on."""
+    wanted = _query_terms(queries).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    scores = stored_index.join(wanted, ["term", "slice"]).groupBy("query_id", "doc_id", "win").agg(F.count(F.lit(1)).alias("score"))
+    return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id"), F.col("win")], k)
 
 
 def search_postings(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.text import col
+from ..sources.tables import stored, write_bucketed
+
+#: Pages of one document that share a bucket key.
+PAGE_BLOCK = 256
 
 
 def suffix(name: Column | str) -> Column:
@@ -36,10 +40,45 @@ def page_store_meta(pages: DataFrame, meta: DataFrame) -> DataFrame:
         "page_count", F.coalesce("page_count", F.lit(0))).withColumn("status", F.lit("completed"))
 
 
-def write_page_store(pages: DataFrame, meta: DataFrame, pages_table: str, meta_path: str, buckets: int) -> None:
-    """Pages bucketed and sorted by document, so page look-ups and window joins skip the shuffle."""
-    pages.write.bucketBy(buckets, "doc_id").sortBy("doc_id", "page").mode("overwrite").saveAsTable(pages_table)
-    page_store_meta(pages, meta).write.mode("overwrite").parquet(meta_path)
+def page_block(page: Column | str, size: int = PAGE_BLOCK) -> Column:
+    return F.floor((col(page) - 1) / size).cast("int")
+
+
+def write_page_store(pages: DataFrame, meta: DataFrame, pages_table: str | None = None, meta_table: str | None = None,
+                     buckets: int | None = None, block: int = PAGE_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Pages (doc_id, page, content) and meta as two tables bucketed alike; returns the stored tables.
+
+    The bucket key is the document and the block of ``block`` pages, so a document with a third of all pages fills many
+    buckets. Meta has one row per document and block (the first even for documents without pages), which lets both tables meet
+    bucket by bucket. Without names the tables are new ones in the shared folder.
+    """
+    keys = ["doc_id", "block"]
+    cut = pages.withColumn("block", page_block("page", block))
+    last = pages.groupBy("doc_id").agg(F.coalesce(F.max(page_block("page", block)), F.lit(0)).alias("_last"))
+    spread = page_store_meta(pages, meta).join(last, "doc_id", "left").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0))))).drop("_last")
+    out = [stored(df, keys, order, buckets) if name is None else write_bucketed(df, name, keys, order, buckets)
+           for df, name, order in ((cut, pages_table, ["page"]), (spread, meta_table, []))]
+    return out[0], out[1]
+
+
+def store_meta(stored_meta: DataFrame) -> DataFrame:
+    """One row per document of a stored meta table."""
+    return stored_meta.filter("block = 0").drop("block")
+
+
+def read_store_pages(stored_pages: DataFrame, stored_meta: DataFrame, wanted: DataFrame | None = None,
+                     block: int = PAGE_BLOCK) -> DataFrame:
+    """Stored pages with their document's meta; both tables meet in their buckets, neither is moved.
+
+    ``wanted(doc_id, page_from, page_to)`` keeps only these ranges: their blocks are looked up by the bucket key.
+    """
+    joined_ = stored_pages.join(stored_meta, ["doc_id", "block"])
+    if wanted is not None:
+        spans = wanted.filter("page_from <= page_to").select("doc_id", "page_from", "page_to", F.explode(F.sequence(
+            page_block("page_from", block), page_block("page_to", block))).alias("block"))
+        joined_ = joined_.join(spans, ["doc_id", "block"]).filter("page between page_from and page_to").drop("page_from", "page_to")
+    return joined_.drop("block")
 
 
 def upsert_latest(rows: DataFrame, keys: list[str], order: str, keep_first: tuple[str, ...] = ("created_at",)) -> DataFrame:

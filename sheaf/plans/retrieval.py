@@ -83,6 +83,12 @@ def _(t):
     return r.search_postings(r.posting_index(t.doc_pages), t.queries, 5)
 
 
+@query("stored_posting_index", "SELECT query_id, rank, doc_id, win, score FROM post_hits WHERE rank <= 5", "post_hits")
+def _(t):
+    """The index is written as a bucketed table; the search reads it back in place."""
+    return r.search_stored_postings(r.write_posting_index(t.doc_pages), t.queries, 5)
+
+
 @query("heuristic_rerank", "SELECT query_id, idx, doc_id, win, score, rank FROM scored", "scored")
 def _(t):
     return r.heuristic_rerank(candidates(t)).select("query_id", "idx", "doc_id", "win", "score", "rank")

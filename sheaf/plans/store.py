@@ -29,10 +29,23 @@ def _(t):
 
 
 @query("write_page_store", """
-    SELECT doc_id, doc_name, 'completed' AS status, count(*) AS page_count
-    FROM documents_meta JOIN doc_pages USING (doc_id) GROUP BY 1, 2""", "documents_meta doc_pages")
+    SELECT doc_id, page, doc_name, 'completed' AS status, count(*) OVER (PARTITION BY doc_id) AS page_count, content
+    FROM documents_meta JOIN doc_pages USING (doc_id)""", "documents_meta doc_pages")
 def _(t):
-    return s.page_store_meta(t.doc_pages, t.documents_meta).select("doc_id", "doc_name", "status", "page_count")
+    """Both tables are written, read back and joined in their buckets."""
+    pages, meta = s.write_page_store(t.doc_pages, t.documents_meta)
+    return s.read_store_pages(pages, meta).select("doc_id", "page", "doc_name", "status", "page_count", "content")
+
+
+@query("read_page_ranges", """
+    SELECT doc_id, page, doc_name, content FROM documents_meta JOIN doc_pages USING (doc_id)
+    WHERE page BETWEEN 1 + doc_id % 7 AND 4 + doc_id % 300""", "documents_meta doc_pages")
+def _(t):
+    """A range of pages of every document, looked up in the stored tables."""
+    pages, meta = s.write_page_store(t.doc_pages, t.documents_meta)
+    wanted = t.documents.select("doc_id", (F.col("doc_id") % 7 + 1).cast("int").alias("page_from"),
+                                (F.col("doc_id") % 300 + 4).cast("int").alias("page_to"))
+    return s.read_store_pages(pages, meta, wanted).select("doc_id", "page", "doc_name", "content")
 
 
 @query("upsert_latest", """

@@ -37,16 +37,57 @@ def test_jdbc_round_trip(spark):
     assert back.count() == history.count() and back.exceptAll(history).count() == 0
 
 
-def test_bucketed_tables_join_without_moving(spark, tmp_path):
+def moved_scans(df):
+    """Exchanges that stand right over a scan of a stored table (through filters and projections), and the whole plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in plan]
+    out = []
+    for i, line in enumerate(plan):
+        if "FileScan" in line and "Bucketed: true" in line:
+            at = i
+            while at > 0 and depth[at - 1] < depth[at] and any(w in plan[at - 1] for w in ("Filter", "Project", "ColumnarToRow", "Sort ")):
+                at -= 1
+            out.append("Exchange" in plan[at - 1])
+    return out, "\n".join(plan)
+
+
+def test_stored_index_stays_where_it_is(spark, tmp_path):
     t = Tables(spark, SF)
     spark.sql("CREATE DATABASE IF NOT EXISTS sheaf_test LOCATION '%s'" % (tmp_path / "db"))
-    index = r.posting_index(t.doc_pages)
-    r.write_posting_index(index, "sheaf_test.postings", 4)
-    stored = spark.table("sheaf_test.postings")
-    got = r.search_postings(stored, t.queries, 3)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.search_postings(index, t.queries, 3).collect()))
-    store.write_page_store(t.doc_pages, t.documents_meta, "sheaf_test.pages", str(tmp_path / "meta"), 4)
-    grouped = spark.table("sheaf_test.pages").groupBy("doc_id").count()
-    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
-    assert spark.read.parquet(str(tmp_path / "meta")).count() == t.documents.count()
+    want = sorted(map(tuple, r.search_postings(r.posting_index(t.doc_pages), t.queries, 3).collect()))
+    for table in ("sheaf_test.postings", None):
+        index = r.write_posting_index(t.doc_pages, table, slices=3)
+        assert index.count() == r.posting_index(t.doc_pages).count()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            found = r.search_stored_postings(index, t.queries, 3, slices=3)
+            moved, plan = moved_scans(found)
+            assert moved == [False], plan
+            assert sorted(map(tuple, found.collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.sql("DROP DATABASE sheaf_test CASCADE")
+
+
+def test_page_store_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame(
+        [(1, p, f"p{p}") for p in range(1, 24)] + [(2, 1, ""), (2, 2, None), (4, 1, "no meta")], "doc_id long, page int, content string")
+    meta = spark.createDataFrame([(1, "a", 0, "x"), (2, "b", 9, "x"), (3, "empty", 1, "x")], "doc_id long, doc_name string, page_count int, status string")
+    spark.sql("CREATE DATABASE IF NOT EXISTS sheaf_pages LOCATION '%s'" % (tmp_path / "db"))
+    for names in (("sheaf_pages.pages", "sheaf_pages.meta"), (None, None)):
+        stored_pages, stored_meta = store.write_page_store(pages, meta, *names, block=5)
+        assert sorted(map(tuple, store.store_meta(stored_meta).select("doc_id", "doc_name", "page_count", "status").collect())) == [
+            (1, "a", 23, "completed"), (2, "b", 2, "completed"), (3, "empty", 0, "completed")]
+        assert stored_pages.filter("doc_id = 1").select("block").distinct().count() == 5
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            back = store.read_store_pages(stored_pages, stored_meta)
+            assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+            assert sorted((x.doc_id, x.page, x.content or "", x.page_count) for x in back.collect()) == [
+                (1, p, f"p{p}", 23) for p in range(1, 24)] + [(2, 1, "", 2), (2, 2, "", 2)]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        wanted = spark.createDataFrame([(1, 4, 11), (2, 2, 9), (9, 1, 1)], "doc_id long, page_from int, page_to int")
+        some = store.read_store_pages(stored_pages, stored_meta, wanted, block=5)
+        assert sorted((x.doc_id, x.page) for x in some.collect()) == [(1, p) for p in range(4, 12)] + [(2, 2)]
+    spark.sql("DROP DATABASE sheaf_pages CASCADE")
