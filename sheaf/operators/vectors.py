@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.skew import top_k
+from ..functions.skew import scalar_count, top_k
 from ..functions.text import joined
 
-BROADCAST_QUERIES = 4096   # rows of query vectors sent to every task at most
-BLOCK_ROWS = 8192          # rows of one side of a block pair
+#: Corpus vectors that serve as centres of cells and give each query a first bound: a sample by hash of the id.
+PIVOTS = 256
+#: Rows of one side of a pair of blocks.
+BLOCK_ROWS = 8192
+#: Scores are rounded to six digits; bounds are loosened by more than that.
+SLACK = 4e-6
 HIT = "query_id long, item_id long, score double"
 
 
@@ -24,72 +28,115 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
 
 
-def _best(q_ids, q, item_ids, items, k: int, threshold: float | None, normalise: bool, skip_same: bool) -> pd.DataFrame:
-    """Top k items per query inside one block pair, ties by item id."""
+def _empty(*columns: str) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
+
+
+def _best(wanted: pd.DataFrame, items: pd.DataFrame, k: int, normalise: bool, skip_same: bool) -> pd.DataFrame:
+    """Top k items at or over its floor per query inside one pair of blocks, ties by item id."""
+    if not len(items) or not len(wanted):
+        return _empty("query_id", "item_id", "score")
+    q, m = _matrix(wanted["embedding"]), _matrix(items["embedding"])
     if normalise:
-        q, items = _unit(q), _unit(items)
-    sims = np.round(items @ q.T, 6)
-    out = []
-    for j, query_id in enumerate(q_ids):
+        q, m = _unit(q), _unit(m)
+    item_ids, sims = items["item_id"].to_numpy(), np.round(m @ q.T, 6)
+    ids, hits, scores = [], [], []
+    for j, (query_id, floor) in enumerate(zip(wanted["query_id"], wanted["floor"])):
         s = sims[:, j]
-        keep = np.arange(len(s))
-        if skip_same:
-            keep = keep[item_ids != query_id]
-        if threshold is not None:
-            keep = keep[s[keep] >= threshold]
+        keep = np.flatnonzero((s >= floor) & ((item_ids != query_id) | (not skip_same)))
         if len(keep) > k:
             edge = np.partition(s[keep], len(keep) - k)[len(keep) - k]
             keep = keep[s[keep] >= edge]
         keep = keep[np.lexsort((item_ids[keep], -s[keep]))][:k]
-        out.append(pd.DataFrame({"query_id": query_id, "item_id": item_ids[keep], "score": s[keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        ids.append(np.full(len(keep), query_id))
+        hits.append(item_ids[keep])
+        scores.append(s[keep])
+    return pd.DataFrame({"query_id": np.concatenate(ids), "item_id": np.concatenate(hits), "score": np.concatenate(scores)})
+
+
+def _in_blocks(rows: DataFrame, key: str, pivots: DataFrame, block_rows: int, work, schema: str) -> DataFrame:
+    """``work(rows of a block, pivots)`` over hash blocks of about ``block_rows`` rows, each beside all pivots."""
+    n = F.greatest(F.lit(1), F.ceil(scalar_count(rows) / block_rows)).cast("int")
+    left = rows.withColumn("block", F.pmod(F.xxhash64(key), n).cast("int"))
+    # Columns of the other side get names of their own: both may come from the same rows.
+    right = pivots.select(F.col("item_id").alias("pivot_id"), F.col("embedding").alias("pivot"), F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(work, schema)
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, *, threshold: float | None = None,
                 normalise: bool = True, skip_same: bool = False,
-                broadcast_rows: int = BROADCAST_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact top k of ``corpus(item_id, embedding)`` for ``queries(query_id, embedding)``.
-
-    Up to ``broadcast_rows`` query vectors (counted first) ride along to the corpus partitions, which
-    are not shuffled; more are cut into blocks that meet corpus blocks in a co-grouped job. Either way
-    a task emits k rows per query, never its whole block of scores.
+                pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top k of ``corpus(item_id, embedding)`` for ``queries(query_id, embedding)``: (query_id, item_id, score, rank).
+
+    Up to ``pivots`` corpus vectors are centres of cells; every item belongs to its nearest one, and a cell knows the
+    largest distance of its items to the centre. A query's k-th best score among the centres, which are items themselves, is a floor
+    that its answer cannot fall below. No item of a cell can score more than the centre's score plus the query's length times the
+    cell's radius, so a query visits only the cells where that reaches its floor; items of cells that no query visits are
+    dropped before they move. Cells are cut into pieces and queries into parts of about ``block_rows`` rows, so a cell that holds
+    a third of all items is many tasks. One plan, nothing runs before the result is asked for. Vectors that are null or hold nulls
+    count as absent; a query without any hit has no row.
     """
-    few = queries.select("query_id", "embedding").limit(broadcast_rows + 1)
-    if few.count() <= broadcast_rows:
-        local = few.toPandas()
-        q_ids, q = local["query_id"].to_numpy(), _matrix(local["embedding"])
-        shared = corpus.sparkSession.sparkContext.broadcast((q_ids, q))
-
-        def scan(batches):
-            ids, mat = shared.value
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    yield _best(ids, mat, pdf["item_id"].to_numpy(), _matrix(pdf["embedding"]), k,
-                                threshold, normalise, skip_same)
-
-        partial = corpus.select("item_id", "embedding").mapInPandas(scan, HIT)
-    else:
-        cb = max(1, -(-corpus.count() // block_rows))
-        qb = max(1, -(-queries.count() // block_rows))
-        left = corpus.select("item_id", "embedding", F.pmod(F.xxhash64("item_id"), F.lit(cb)).cast("int").alias("cb"),
-                             F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-        right = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("qb"),
-                               F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
-
-        def pair(items: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-            if not len(items) or not len(wanted):
-                return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-            return _best(wanted["query_id"].to_numpy(), _matrix(wanted["embedding"]),
-                         items["item_id"].to_numpy(), _matrix(items["embedding"]), k, threshold,
-                         normalise, skip_same)
-
-        partial = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(pair, HIT)
+    whole = "embedding is not null and not exists(embedding, x -> x is null)"
+    items = corpus.select(F.col("item_id").cast("long").alias("item_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(whole)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(whole)
+    centres = items.orderBy(F.xxhash64("item_id"), "item_id").limit(max(pivots, 1))
+
+    def centre_matrix(near: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        near = near.sort_values("pivot_id", kind="stable")
+        m = _matrix(near["pivot"])
+        return near["pivot_id"].to_numpy(), _unit(m) if normalise else m
+
+    def assign(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return _empty("item_id", "embedding", "cell", "far")
+        c, m = centre_matrix(near)[1], _matrix(rows["embedding"])
+        m = _unit(m) if normalise else m
+        square = (m * m).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (m @ c.T)
+        cell = square.argmin(1).astype(np.int32)
+        return rows[["item_id", "embedding"]].assign(cell=cell, far=np.linalg.norm(m - c[cell], axis=1))
+
+    def floors(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(near):
+            return _empty("query_id", "embedding", "length", "near", "floor")
+        (ids, c), m = centre_matrix(near), _matrix(rows["embedding"])
+        m = _unit(m) if normalise else m
+        dots = m @ c.T
+        sure = np.where(rows["query_id"].to_numpy()[:, None] == ids[None, :], -np.inf, dots) if skip_same else dots
+        least = np.full(len(m), -np.inf)
+        if len(ids) >= k:
+            least = np.partition(sure, len(ids) - k, axis=1)[:, len(ids) - k] - SLACK
+        if threshold is not None:
+            least = np.maximum(least, threshold)
+        return rows[["query_id", "embedding"]].assign(length=np.linalg.norm(m, axis=1), near=list(dots), floor=least)
+
+    placed = _in_blocks(items, "item_id", centres, block_rows, assign, "item_id long, embedding array<double>, cell int, far double")
+    bounds = _in_blocks(asked, "query_id", centres, block_rows, floors,
+                        "query_id long, embedding array<double>, length double, near array<double>, floor double")
+    sizes = placed.groupBy("cell").agg(F.max("far").alias("far"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("pieces"))
+    cells = F.coalesce(sizes.agg(F.collect_list(F.struct("cell", "far", "pieces"))).scalar(),
+                       F.array().cast("array<struct<cell:int,far:double,pieces:int>>"))
+    parts = F.greatest(F.lit(1), F.ceil(scalar_count(asked) / block_rows)).cast("int")
+    offered = bounds.select("*", F.explode(cells).alias("c"))
+    reached = offered.filter(F.get("near", F.col("c.cell")) + F.col("length") * F.col("c.far") + SLACK >= F.col("floor"))
+    visits = reached.select("query_id", "embedding", "floor", F.pmod(F.xxhash64("query_id"), parts).cast("int").alias("part"),
+                            "c.cell", "c.pieces")
+    met = placed.join(visits.select("cell", "part", "pieces").distinct(), "cell").select(
+        "item_id", "embedding", F.col("cell").alias("cell"), F.pmod(F.xxhash64("item_id"), F.col("pieces")).cast("int").alias("piece"),
+        F.col("part").alias("part"))
+    spread = visits.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+
+    def pair(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        return _best(wanted, found, k, normalise, skip_same)
+
+    at = ["cell", "piece", "part"]
+    partial = met.groupBy(*at).cogroup(spread.groupBy(*at)).applyInPandas(pair, HIT)
     return top_k(partial, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
-def related_chunks(chunks: DataFrame, k: int = 5, **options) -> DataFrame:
-    """The k nearest other chunks of every chunk (item_id, embedding)."""
-    return vector_topk(chunks, chunks.withColumnRenamed("item_id", "query_id"), k, skip_same=True, **options)
+def related_chunks(hits: DataFrame, chunks: DataFrame, k: int = 5, **options) -> DataFrame:
+    """The k nearest other chunks (item_id, embedding) of every chunk that ``hits(item_id)`` names, once each."""
+    named = chunks.join(hits.select("item_id").distinct(), "item_id", "left_semi")
+    return vector_topk(chunks, named.withColumnRenamed("item_id", "query_id"), k, skip_same=True, **options)
 
 
 def familiarity(queries: DataFrame, hits: DataFrame, mean_threshold: float = 0.65,

@@ -69,9 +69,53 @@ def test_vector_paths_agree(spark):
     for i in range(90):
         order = sorted((j for j in range(90) if j != i), key=lambda j: (-sims[i, j], j))[:4]
         want += [(i, n + 1, j) for n, j in enumerate(order)]
-    for options in ({}, {"broadcast_rows": 5, "block_rows": 20}):
-        got = v.related_chunks(df, 4, **options).collect()
+    for options in ({}, {"pivots": 7, "block_rows": 20}, {"pivots": 1, "block_rows": 1000}, {"pivots": 90}):
+        got = v.related_chunks(df, df, 4, **options).collect()
         assert sorted((x.query_id, x["rank"], x.item_id) for x in got) == want
+    named = v.related_chunks(spark.createDataFrame([(7,), (7,), (500,)], "item_id long"), df, 4, pivots=10)
+    assert sorted((x.query_id, x["rank"], x.item_id) for x in named.collect()) == [x for x in want if x[0] == 7]
+
+
+def test_vector_search_by_product(spark):
+    """Vectors of unequal length, a floor, copies, absent vectors, and no rows at all."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(0, 4, (6, 8))
+    items = np.concatenate([centre[rng.integers(0, 6, 300)] + rng.normal(0, .3, (300, 8)), np.tile(centre[0], (40, 1))])
+    asked = centre + .1
+    rows = [(i, [float(z) for z in x]) for i, x in enumerate(items)] + [(900, None), (901, [None] * 8)]
+    df = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    qs = spark.createDataFrame([(i, [float(z) for z in x]) for i, x in enumerate(asked)] + [(77, None)], "query_id long, embedding array<double>")
+    for threshold in (None, 150.0):
+        want, sims = [], np.round(items @ asked.T, 6)
+        for j in range(6):
+            order = [i for i in sorted(range(340), key=lambda i: (-sims[i, j], i)) if threshold is None or sims[i, j] >= threshold][:9]
+            want += [(j, n + 1, i) for n, i in enumerate(order)]
+        for options in ({}, {"pivots": 20, "block_rows": 16}):
+            got = v.vector_topk(df, qs, 9, threshold=threshold, normalise=False, **options)
+            assert sorted((x.query_id, x["rank"], x.item_id) for x in got.collect()) == sorted(want)
+    assert v.vector_topk(df.limit(0), qs, 3).collect() == [] and v.vector_topk(df, qs.limit(0), 3).collect() == []
+
+
+def test_vector_search_leaves_far_cells(spark):
+    """Of well separated groups a query meets the items of its own group only."""
+    rng = np.random.default_rng(6)
+    centre = np.eye(16)
+    rows = [(i, [float(z) for z in centre[i % 16] + rng.normal(0, .01, 16)]) for i in range(3200)]
+    df = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    seen = spark.sparkContext.accumulator(0)
+    real = v._best
+
+    def counted(wanted, items, *rest):
+        seen.add(len(wanted) * len(items))
+        return real(wanted, items, *rest)
+
+    v._best = counted
+    try:
+        got = v.vector_topk(df, df.filter("item_id < 4").withColumnRenamed("item_id", "query_id"), 5).collect()
+    finally:
+        v._best = real
+    assert len(got) == 20 and all(x.item_id % 16 == x.query_id % 16 for x in got)
+    assert seen.value <= 4 * 3200 / 16
 
 
 def test_number_sections_folds(spark):
