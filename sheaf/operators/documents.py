@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,22 +258,35 @@ def doc_status(documents: DataFrame, size: int = 1200, overlap: int = 100) -> Da
 
 
 def pack_paragraphs(documents: DataFrame, limit: int = 4000, sep: str = "\n\n") -> DataFrame:
-    """Greedy packing of paragraphs while their summed length stays under ``limit`` (a fold within one text)."""
-    none = F.array().cast("array<string>")
-
-    def flushed(s):
-        return F.when(F.size(s["held"]) > 0, F.concat(s["parts"], F.array(F.array_join(s["held"], sep)))).otherwise(s["parts"])
-
-    def step(s, p):
-        fits = s["used"] + F.length(p) < limit
-        return F.struct(
-            F.when(fits, s["parts"]).otherwise(flushed(s)).alias("parts"),
-            F.when(fits, F.concat(s["held"], F.array(p))).otherwise(F.array(p)).alias("held"),
-            F.when(fits, s["used"] + F.length(p)).otherwise(F.length(p)).alias("used"))
-
-    paragraphs = F.split("text", "\\Q" + sep + "\\E")
-    packed = F.aggregate(paragraphs, F.struct(none.alias("parts"), none.alias("held"), F.lit(0).alias("used")), step, flushed)
-    return documents.select("doc_id", F.posexplode_outer(packed).alias("part", "content")).filter("part is not null")
+    """Greedy packing of paragraphs while their summed length stays under ``limit``: (doc_id, part, content).
+
+    Where a part ends depends on where the one before ended, so a text is walked once, in its own task and linear in its length.
+    Null texts have no part, an empty text has one.
+    """
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def packed(batches):
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                parts = list(_packs(text.as_py().split(sep), limit, sep)) if text.is_valid else []
+                if parts:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc_id.as_py()] * len(parts), batch.schema.field("doc_id").type), pa.array(range(len(parts)), pa.int32()),
+                         pa.array(parts, pa.string())], ["doc_id", "part", "content"])
+
+    return documents.select("doc_id", "text").mapInArrow(packed, f"doc_id {kind}, part int, content string")
+
+
+def _packs(paragraphs, limit: int, sep: str):
+    held, used = [], 0
+    for p in paragraphs:
+        if used + len(p) >= limit and held:
+            yield sep.join(held)
+            held, used = [], 0
+        held.append(p)
+        used += len(p)
+    if held:
+        yield sep.join(held)
 
 
 def split_fixed(documents: DataFrame, limit: int = 3500) -> DataFrame:

@@ -64,17 +64,53 @@ def memory_terms(text: Column | str) -> Column:
     return F.array_distinct(F.transform(long, lambda w: F.regexp_replace(F.lower(w), f"^{EDGES}+|{EDGES}+$", "")))
 
 
-def memory_keyword_search(entries: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Top k entries per query by shared terms over (distinct entry terms + 1): (query_id, rank, id, score)."""
+def memory_keyword_search(entries: DataFrame, queries: DataFrame, k: int = 5, by: list[str] | None = None) -> DataFrame:
+    """Top k entries per query by shared terms over (distinct entry terms + 1): (query_id, rank, id, score).
+
+    ``by`` names owner columns of both tables: a query then sees its owner's entries only.
+    """
+    by = by or []
     text = F.concat_ws(" ", "content", F.array_join("keywords", " "))
-    terms = entries.select("id", "seq", memory_terms(text).alias("_t"))
-    flat = terms.select("id", "seq", F.size("_t").alias("_n"), F.explode("_t").alias("term"))
-    wanted = queries.select("query_id", F.explode(memory_terms("query")).alias("term"))
-    scored = flat.join(wanted, "term").groupBy("query_id", "id", "seq", "_n").agg(F.count(F.lit(1)).alias("_o")).select(
+    terms = entries.select(*by, "id", "seq", memory_terms(text).alias("_t"))
+    flat = terms.select(*by, "id", "seq", F.size("_t").alias("_n"), F.explode("_t").alias("term"))
+    wanted = queries.select(*by, "query_id", F.explode(memory_terms("query")).alias("term"))
+    scored = flat.join(wanted, [*by, "term"]).groupBy("query_id", "id", "seq", "_n").agg(F.count(F.lit(1)).alias("_o")).select(
         "query_id", "id", "seq", F.round(F.col("_o") / (F.col("_n") + 1), 9).alias("score"))
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("seq"), F.col("id")], k).drop("seq")
 
 
+def _length(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)) + 1e-8
+
+
+def _whole(v: str) -> Column:
+    """Vectors that are null, empty or hold nulls count as absent."""
+    return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()), F.lit(False))
+
+
+def memory_vector_search(entries: DataFrame, queries: DataFrame, k: int = 5, owner: str = "owner") -> DataFrame:
+    """Top k entries per query among its owner's by cosine of their vectors, else by words: (query_id, rank, id, score).
+
+    ``entries(id, seq, content, keywords, embedding)`` and ``queries(query_id, query, embedding)`` both carry ``owner``. A query
+    without a vector, or whose owner has no entry with one, is searched by words, as a service does whose model did not answer.
+    Entries without a vector are no vector hits. The scores of a pair are computed where its rows meet; of each query, k hits a
+    task move on. A store is capped per owner (``memory_fifo``), so the entries that meet one query are bounded; owners with
+    many queries are split by the join. Ties go to the older entry, then the smaller id.
+    """
+    held = entries.filter(_whole("embedding")).select(
+        F.col(owner).alias("_o"), "id", "seq", F.col("embedding").alias("_e"), _length(F.col("embedding")).alias("_el"))
+    known = held.select(F.col("_o").alias("_known")).distinct()
+    can = _whole("embedding")
+    vectors = queries.filter(can).select("query_id", owner, F.col("embedding").alias("_q"), _length(F.col("embedding")).alias("_ql"))
+    dot = F.aggregate(F.zip_with("_e", "_q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
+    near = vectors.join(held, F.col(owner) == F.col("_o")).select(
+        "query_id", "id", "seq", F.round(dot / (F.col("_el") * F.col("_ql")), 6).alias("score"))
+    hits = top_k(near, ["query_id"], [F.col("score").desc(), F.col("seq"), F.col("id")], k).drop("seq")
+    spoken = queries.filter(~can).unionByName(queries.filter(can).join(known, F.col(owner) == F.col("_known"), "left_anti"))
+    words_ = memory_keyword_search(entries, spoken, k, by=[owner])
+    return hits.unionByName(words_.select(hits.columns))
+
+
 def memory_retrieve(entries: DataFrame, hits: DataFrame, k: int = 5, memory_type: str | None = None) -> DataFrame:
     """Search hits (top 2k, already cut) kept when enabled and of the type, then cut to k."""
     rows = hits.drop("rank").join(entries, "id").filter("enabled")

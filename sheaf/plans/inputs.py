@@ -186,6 +186,24 @@ class Tables:
         return self.conversations.withColumn("_v", F.pmod(F.col("conv_id") * 8 + F.col("turn"), scalar_count(self.embeddings))) \
             .join(v, "_v").drop("_v")
 
+    @cached_property
+    def owned_memory(self) -> DataFrame:
+        """What each conversation remembers: all turns but the last, some without a vector."""
+        m = self.message_vectors
+        last = m.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+        return m.join(last, "conv_id").filter("turn < _last").select(
+            F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("conv_id").alias("owner"), (F.col("conv_id") * 10 + F.col("turn")).alias("seq"),
+            F.when(F.col("turn") % 2 == 0, "semantic").otherwise("episodic").alias("type"), F.col("text").alias("content"),
+            F.slice(F.filter(words("text"), lambda x: F.length(x) > 4), 1, 3).alias("keywords"),
+            ((F.col("turn") % 5) != 4).alias("enabled"), F.when(F.col("turn") % 4 != 3, F.col("embedding")).alias("embedding"))
+
+    @cached_property
+    def owner_queries(self) -> DataFrame:
+        """The last turn of each conversation; a third has no vector."""
+        last = self.message_vectors.groupBy("conv_id").agg(F.max_by(F.struct("text", "embedding"), "turn").alias("m"))
+        return last.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("owner"), F.col("m.text").alias("query"),
+                           F.when(F.col("conv_id") % 3 != 0, F.col("m.embedding")).alias("embedding"))
+
     @cached_property
     def label_centroids(self) -> DataFrame:
         """One query vector per label: the mean of its vectors."""
@@ -303,6 +321,15 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
         FROM conversations"""),
     "message_vectors": ("", """
         SELECT c.*, e.embedding FROM conversations c JOIN embeddings e ON e.vec_id = (c.conv_id * 8 + c.turn) % (SELECT count(*) FROM embeddings)"""),
+    "owned_memory": ("message_vectors", f"""
+        SELECT conv_id || '_' || turn AS id, conv_id AS owner, conv_id * 10 + turn AS seq,
+               CASE WHEN turn % 2 = 0 THEN 'semantic' ELSE 'episodic' END AS type, text AS content,
+               list_filter({q.words('text')}, lambda x: length(x) > 4)[1:3] AS keywords, turn % 5 <> 4 AS enabled,
+               CASE WHEN turn % 4 <> 3 THEN embedding END AS embedding
+        FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM message_vectors) WHERE turn < last"""),
+    "owner_queries": ("message_vectors", """
+        SELECT conv_id AS query_id, conv_id AS owner, text AS query, CASE WHEN conv_id % 3 <> 0 THEN embedding END AS embedding
+        FROM message_vectors QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""),
     "label_centroids": ("", """
         SELECT label AS query_id, list(m ORDER BY i) AS embedding
         FROM (SELECT CAST(label AS BIGINT) AS label, i, avg(embedding[i]::DOUBLE) AS m

@@ -101,6 +101,44 @@ def _(t):
     return m.memory_retrieve(t.memory, hits(t), 5).select("query_id", "rank", "id", "score", "type")
 
 
+LENGTH = "(sqrt(list_sum(list_transform({e}, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-8)"
+SQL_VIEWS["capped_memory"] = ("owned_memory", """
+    SELECT * FROM owned_memory QUALIFY row_number() OVER (PARTITION BY owner ORDER BY seq DESC, id) <= 200""")
+SQL_VIEWS["owned_hits"] = ("capped_memory owner_queries", f"""
+    WITH speakers AS (SELECT * FROM owner_queries WHERE embedding IS NOT NULL
+                      AND owner IN (SELECT owner FROM capped_memory WHERE embedding IS NOT NULL))
+    SELECT query_id, id, score, seq, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, id) AS INTEGER) AS rank
+    FROM (SELECT s.query_id, m.id, m.seq, round(list_dot_product(list_transform(m.embedding, lambda x: x::DOUBLE), list_transform(s.embedding, lambda x: x::DOUBLE))
+                 / ({LENGTH.format(e='m.embedding')} * {LENGTH.format(e='s.embedding')}), 6) AS score
+          FROM speakers s JOIN capped_memory m USING (owner) WHERE m.embedding IS NOT NULL
+          UNION ALL
+          SELECT query_id, id, seq, round(len(list_intersect(mt, qt))::DOUBLE / (len(mt) + 1), 9) AS score
+          FROM (SELECT w.query_id, m.id, m.seq, {_terms("m.content || ' ' || array_to_string(m.keywords, ' ')")} AS mt, {_terms('w.query')} AS qt
+                FROM owner_queries w JOIN capped_memory m USING (owner) WHERE w.query_id NOT IN (SELECT query_id FROM speakers))
+          WHERE len(list_intersect(mt, qt)) > 0)
+    QUALIFY rank <= 10""")
+
+
+def owned_hits(t):
+    capped = m.memory_fifo(t.owned_memory, 200, per=["owner"])
+    return capped, m.memory_vector_search(capped, t.owner_queries, 10)
+
+
+@query("memory_vector_search", "SELECT query_id, id, score, rank FROM owned_hits", "owned_hits")
+def _(t):
+    """Vectors first, words where there is none; ten hits, twice what is shown."""
+    return owned_hits(t)[1]
+
+
+@query("memory_retrieve_owned", """
+    SELECT query_id, id, score, type, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, id) AS INTEGER) AS rank
+    FROM (SELECT h.query_id, h.id, h.score, x.type, x.seq FROM owned_hits h JOIN capped_memory x USING (id) WHERE x.enabled AND x.type = 'semantic')
+    QUALIFY rank <= 5""", "owned_hits")
+def _(t):
+    capped, hits_ = owned_hits(t)
+    return m.memory_retrieve(capped.drop("embedding"), hits_, 5, "semantic").select("query_id", "rank", "id", "score", "type")
+
+
 LABEL = "CASE type WHEN 'raw' THEN 'Raw Conversation' WHEN 'semantic' THEN 'Semantic Knowledge' WHEN 'episodic' THEN 'Episodic Memory' ELSE 'Procedural Memory' END"
 
 

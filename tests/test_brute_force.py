@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from sheaf.functions.skew import running
 from sheaf.operators import bookkeeping as b
 from sheaf.operators import conversations as c
 from sheaf.operators import documents as d
+from sheaf.operators import memory as m
 from sheaf.operators import retrieval as r
 from sheaf.operators import vectors as v
 from sheaf.operators import web as w
@@ -174,6 +177,20 @@ def test_pack_paragraphs(spark):
     assert got == ["\n\n".join(x) for x in packs]
 
 
+def test_pack_paragraphs_long_and_awkward(spark):
+    """100,000 paragraphs of one text take seconds; null, empty, over-long paragraphs and extra columns."""
+    long = "\n\n".join("x" * 1500 for _ in range(100_000))
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "y" * 90, "c"), (4, "\n\n", "d")], "doc_id long, text string, part string")
+    got = sorted((x.doc_id, x.part, x.content) for x in d.pack_paragraphs(df, 50).collect())
+    assert got == [(2, 0, ""), (3, 0, "y" * 90), (4, 0, "\n\n")]
+    big = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x" * 1500 + "\n\n"), 99_999).alias("t")).select(
+        "doc_id", F.concat("t", F.lit("x" * 1500)).alias("text"))
+    started = time.time()
+    x = d.pack_paragraphs(big).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars")).first()
+    assert (x.n, x.chars) == (50_000, len(long) - 2 * 49_999) and time.time() - started < 30
+    assert d.pack_paragraphs(df.limit(0)).collect() == []
+
+
 def _admit(rows, limit, window, burst, burst_window):
     out, held = {}, {}
     for key, t, i in sorted(rows, key=lambda x: (x[1], x[2])):
@@ -395,3 +412,47 @@ def sandwich(query, texts):
     rest = n - 3 * third
     b0, m0 = third + (rest >= 1), 2 * third + (rest >= 2)
     return [texts[i] for i in order[:b0] + order[m0:] + order[b0:m0]]
+
+
+def test_memory_by_vector_then_words(spark):
+    """Each query sees its owner; without a vector on either side words decide; ties, disabled entries, types, copies."""
+    rng = random.Random(8)
+    vec = lambda: [float(rng.randint(-2, 2)) for _ in range(3)]
+    words_ = "alpha beta gamma delta kappa".split()
+    entries = [(f"e{i}", i, i % 4, " ".join(rng.choices(words_, k=4)), [rng.choice(words_)], None if i % 4 == 2 or i % 5 == 0 else vec(),
+                i % 7 != 0, rng.choice(["raw", "semantic"])) for i in range(120)]
+    entries += [("hole", 500, 0, "alpha", [], [1.0, None, 0.0], True, "raw"), ("none", 501, 0, None, None, [], True, "raw")]
+    queries = [(j, j % 5, " ".join(rng.choices(words_, k=2)), None if j % 3 == 0 else vec()) for j in range(30)] + [(99, 1, None, None), (98, None, "alpha", vec())]
+    edf = spark.createDataFrame(entries, "id string, seq long, owner long, content string, keywords array<string>, embedding array<double>, enabled boolean, type string")
+    qdf = spark.createDataFrame(queries, "query_id long, owner long, query string, embedding array<double>")
+
+    def terms(text):
+        return {re.sub(r"^[,.!?;:()\[\]{}]+|[,.!?;:()\[\]{}]+$", "", w.lower()) for w in (text or "").split() if len(w) > 2}
+
+    def whole(v):
+        return bool(v) and None not in v
+
+    want = []
+    for query_id, owner, text, q in queries:
+        mine = [e for e in entries if e[2] == owner]
+        if whole(q) and any(whole(e[5]) for e in mine):
+            length = lambda v: np.linalg.norm(v) + 1e-8
+            hits = [(round(float(np.dot(e[5], q)) / (length(e[5]) * length(q)), 6) + 0.0, e) for e in mine if whole(e[5])]
+        else:
+            sets = [(terms((e[3] or "") + " " + " ".join(e[4] or [])), e) for e in mine]
+            hits = [(round(len(t & terms(text)) / (len(t) + 1), 9), e) for t, e in sets if t & terms(text)]
+        hits.sort(key=lambda h: (-h[0], h[1][1], h[1][0]))
+        want += [(query_id, n + 1, h[1][0], h[0]) for n, h in enumerate(hits[:6])]
+    hits = m.memory_vector_search(edf, qdf, 6)
+    assert sorted((x.query_id, x["rank"], x.id, x.score + 0.0) for x in hits.collect()) == sorted(want)
+    by_id = {e[0]: e for e in entries}
+    kept = {}
+    for query_id, _, entry, score in want:
+        if by_id[entry][6] and by_id[entry][7] == "semantic":
+            kept.setdefault(query_id, []).append(entry)
+    got = m.memory_retrieve(edf.drop("embedding", "owner"), hits, 3, "semantic").orderBy("query_id", "rank").collect()
+    shown = {}
+    for x in got:
+        shown.setdefault(x.query_id, []).append(x.id)
+    assert shown == {k: v_[:3] for k, v_ in kept.items()}
+    assert m.memory_vector_search(edf.limit(0), qdf, 3).collect() == [] and m.memory_vector_search(edf, qdf.limit(0), 3).collect() == []
