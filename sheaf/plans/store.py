@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..operators import store as s
+from ..session import shared_path
 from ..sources import files
 from . import sqlgen as q
 from .inputs import SQL_VIEWS
@@ -97,7 +98,11 @@ def _(t):
 
 @query("read_json_kv", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
 def _(t):
-    return s.json_kv(t.events, "event_id", "props")
+    """Events become a keyed store of JSON files, which is read back and parsed."""
+    path = shared_path(t.spark, "json_kv")
+    files.write_json_kv(t.events.select(F.col("event_id").cast("string").alias("key"), F.from_json("props", "map<string,string>").alias("value")), path)
+    back = files.read_json_kv(t.spark, path).select(F.col("key").cast("long").alias("event_id"), "value")
+    return s.json_kv(back, "event_id", "value")
 
 
 @query("jdbc_history", "SELECT id, session_id, role, content, sources, created_at FROM history_rows", "history_rows")

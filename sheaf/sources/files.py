@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
+from ..functions.skew import scalar_count
 from ..operators.store import suffix
 
 
@@ -30,10 +31,22 @@ def scan_document_dir(spark: SparkSession, folder: str, extensions=fixed.BATCH_E
 
 def read_json_kv(spark: SparkSession, path: str) -> DataFrame:
     """Keyed JSON stores: one object per file as (key, value) rows, values as JSON text."""
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
 
 
+def write_json_kv(rows: DataFrame, path: str, keys_per_file: int = 10_000) -> None:
+    """(key, value) rows as a keyed JSON store: one object per file, values as they stand (maps and structs become nested objects).
+
+    Keys are dealt out over files by their hash, about ``keys_per_file`` to each, so what one task gathers is bounded. Keys are
+    unique and not null.
+    """
+    n = F.greatest(F.lit(1), F.ceil(scalar_count(rows) / keys_per_file)).cast("int")
+    held = rows.select("key", "value", F.pmod(F.xxhash64("key"), n).cast("int").alias("file"))
+    objects = held.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("value"))
+    objects.write.partitionBy("file").text(path)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str | None = None, lower=None, upper=None,
               partitions: int = 1, **options: str) -> DataFrame:
     """A JDBC table, read in parallel ranges when a partition column and its bounds are given."""

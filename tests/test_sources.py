@@ -28,6 +28,16 @@ def test_json_store(spark, tmp_path):
     assert json.loads(got["u1"]) == {"t": 1} and got["u2"] == "x"
 
 
+def test_json_store_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(f'k "{i}"', {"a": str(i), "b": 'x\n"y"'}) for i in range(25)] + [("none", None)], "key string, value map<string,string>")
+    files.write_json_kv(rows, str(tmp_path / "kv"), keys_per_file=10)
+    back = {x.key: json.loads(x.value) for x in files.read_json_kv(spark, str(tmp_path / "kv")).collect() if x.value is not None}
+    assert back == {f'k "{i}"': {"a": str(i), "b": 'x\n"y"'} for i in range(25)}
+    assert len(list((tmp_path / "kv").glob("file=*"))) == 3
+    files.write_json_kv(rows.limit(0), str(tmp_path / "empty"))
+    assert files.read_json_kv(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_jdbc_round_trip(spark):
     history = Tables(spark, SF).history_rows.withColumn("turn", F.regexp_extract("id", "_([0-9]+)$", 1).cast("int"))
     url = "jdbc:derby:memory:history;create=true"
