@@ -173,34 +173,97 @@ def robots_allowed(pages: DataFrame, robots: DataFrame, url: str = "url", agent:
     return joined_.withColumn("allowed", hit("allow") | ~hit("disallow")).drop("_host", "allow", "disallow")
 
 
+QUEUE_BLOCK = 4096
+
+
+def _queued(found: DataFrame, before: DataFrame) -> DataFrame:
+    """Places of newly found pages (start, url_id, parent, ord, ok) in their start's queue.
+
+    Adds ``seq`` (pages before this one) and ``earlier`` (results before it), both counted on from ``before(start, n, n_ok)``.
+    Queues are cut at blocks of parents, so a start of any size is numbered by many tasks; only block totals meet.
+    """
+    rows = found.withColumn("_blk", F.floor(F.col("parent") / QUEUE_BLOCK))
+    n, n_ok = F.count(F.lit(1)), F.sum(F.col("ok").cast("long"))
+    totals = rows.groupBy("start", "_blk").agg(n.alias("n"), n_ok.alias("n_ok")).unionByName(
+        before.select("start", F.lit(-1).cast("long").alias("_blk"), "n", "n_ok"))
+    so_far = W.partitionBy("start").orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("start", "_blk", F.sum("n").over(so_far).alias("_n"), F.sum("n_ok").over(so_far).alias("_n_ok"))
+    inside = W.partitionBy("start", "_blk").orderBy("parent", "ord", "url_id").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.select("*", n.over(inside).alias("_i"), F.coalesce(n_ok.over(inside), F.lit(0)).alias("_i_ok"))
+    return placed.join(offsets, ["start", "_blk"]).select(
+        "start", "url_id", "ok", (F.col("_n") + F.col("_i")).alias("seq"), (F.col("_n_ok") + F.col("_i_ok")).alias("earlier"))
+
+
 def crawl_frontier(links: DataFrame, starts: DataFrame, max_depth: int = 2, max_pages: int | None = None,
-                   allowed: DataFrame | None = None) -> DataFrame:
-    """Breadth-first visit order over a stored link graph.
+                   allowed: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """Breadth-first visit order over a stored link graph, for every start at once.
+
+    ``links(src, dst, ord)``, ``starts(start)``; optional ``allowed(url_id)``, the pages that may be visited, and
+    ``failed(url_id)``, those whose fetch fails: they are visited but are no results and queue nothing. Returns (start,
+    url_id, depth, place); ``place`` counts a start's results from 0 in queue order.
 
-    ``links(src, dst, ord)``, ``starts(start)``, optional ``allowed(url_id)``. Returns (start, url_id, depth, place):
-    ``place`` is the path of link positions, which sorts pages of a depth in queue order. Every level is
-    checkpointed, so neither the plan nor lost work grows with the depth.
+    With ``max_pages`` a start ends at that many results, and a page queues only as many of its links (in order, repeats and
+    pages visited before it left out) as results are missing when it is read; links that may not be visited count.
+    Repeated links keep their first place, ties go to the smaller id, null ids are no pages. Every level is checkpointed, so
+    neither the plan nor lost work grows with the depth; places are two numbers, however deep the page.
     """
-    if allowed is not None:
-        links = cut_lineage(links.join(allowed.select(F.col("url_id").alias("dst")), "dst", "left_semi"))
-        starts = starts.join(allowed.select(F.col("url_id").alias("start")), "start", "left_semi")
-    level = cut_lineage(starts.select("start", F.col("start").alias("url_id"), F.lit(0).alias("depth"),
-                                      F.array().cast("array<long>").alias("place")))
+    flag = lambda table, name: table.select(F.col("url_id").alias("dst"), F.lit(True).alias(name)).distinct()
+    known = links.filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.min("ord").alias("ord"))
+    roots = starts.filter("start IS NOT NULL").select("start", F.col("start").alias("dst")).distinct()
+    for table, name in ((allowed, "may"), (failed, "lost")):
+        if table is None:
+            known, roots = (d.withColumn(name, F.lit(name == "may")) for d in (known, roots))
+        else:
+            known, roots = (d.join(flag(table, name), "dst", "left").fillna(False, [name]) for d in (known, roots))
+    known = cut_lineage(known)
+    level = cut_lineage(roots.filter("may").select(
+        "start", F.col("dst").alias("url_id"), F.lit(0).alias("depth"), (~F.col("lost")).alias("ok"),
+        F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("earlier")))
     visited = level
     for depth in range(1, max_depth + 1):
-        found = (level.join(links, F.col("url_id") == F.col("src"))
-                 .select("start", F.col("dst").alias("url_id"),
-                         F.concat("place", F.array(F.col("ord").cast("long"))).alias("place"))
-                 .groupBy("start", "url_id").agg(F.min("place").alias("place")))
-        fresh = found.join(visited.select("start", "url_id"), ["start", "url_id"], "left_anti")
-        level = cut_lineage(fresh.select("start", "url_id", F.lit(depth).alias("depth"), "place"))
+        reading = level.filter("ok").select("start", F.col("url_id").alias("src"), F.col("seq").alias("parent"),
+                                            (F.col("earlier") + 1).alias("_done"))
+        seen = visited.select("start", F.col("url_id").alias("dst"), F.col("seq").alias("_seen"))
+        found = reading.join(known, "src").join(seen, ["start", "dst"], "left").filter("_seen IS NULL OR _seen > parent")
+        if max_pages is not None:
+            by_page = W.partitionBy("start", "parent").orderBy("ord", "dst")
+            found = found.withColumn("_slot", F.row_number().over(by_page)).filter(F.col("_slot") <= max_pages).filter(
+                F.col("_slot") <= max_pages - F.col("_done"))
+        fresh = found.filter("may AND _seen IS NULL").groupBy("start", F.col("dst").alias("url_id")).agg(
+            F.min(F.struct("parent", "ord")).alias("_at"), F.bool_and(~F.col("lost")).alias("ok"))
+        so_far = level.groupBy("start").agg(
+            (F.max("seq") + 1).alias("n"), F.max(F.col("earlier") + F.col("ok").cast("long")).alias("n_ok"))
+        queued = _queued(fresh.select("start", "url_id", "_at.parent", "_at.ord", "ok"), so_far)
+        if max_pages is not None:
+            queued = queued.filter(F.col("earlier") < max_pages)
+        level = cut_lineage(queued.select("start", "url_id", F.lit(depth).alias("depth"), "ok", "seq", "earlier"))
         if level.isEmpty():
             break
         visited = visited.unionByName(level)
-    if max_pages is not None:
-        order = W.partitionBy("start").orderBy("depth", "place")
-        visited = visited.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_pages).drop("_n")
-    return visited
+    return visited.filter("ok").select("start", "url_id", "depth", F.col("earlier").alias("place"))
+
+
+def crawl_site(pages: DataFrame, links: DataFrame, starts: DataFrame, robots: DataFrame | None = None, max_pages: int = 10,
+               max_depth: int = 2, failed: DataFrame | None = None, allow_external: bool = False,
+               exclude: list[str] | None = None, include: list[str] | None = None) -> DataFrame:
+    """Capped crawls with filters over stored pages (url_id, url) and their links (src, dst, ord), one per start.
+
+    A link is queued if ``link_allowed`` lets it pass (``max_depth`` bounds its path too, and hosts are compared with the
+    page it stands on, which has the start's); a page is visited if it is no file, its address passes the patterns and its
+    host's robots rules allow it. Order, cap and result as in ``crawl_frontier``.
+    """
+    ends = lambda k: pages.select(F.col("url_id").alias(k), F.col("url").alias(f"_{k}"))
+    passing = link_allowed("_dst", "_src", max_depth, allow_external, exclude, include)
+    queueable = links.join(ends("src"), "src").join(ends("dst"), "dst").filter(passing).select("src", "dst", "ord")
+    fit = (urls.scheme("url") != "") & (urls.host("url") != "") & ~is_file_url("url")
+    for pattern in exclude or ():
+        fit = fit & ~F.col("url").rlike(pattern)
+    if include:
+        fit = fit & F.greatest(F.lit(False), *[F.col("url").rlike(pattern) for pattern in include])
+    may = pages.filter(fit)
+    if robots is not None:
+        may = robots_allowed(may, robots).filter("allowed")
+    return crawl_frontier(queueable, starts, max_depth, max_pages, may.select("url_id"), failed)
 
 
 def dedup_url_key(rows: DataFrame, scope: list[str], arrival: list[str], url: str = "url") -> DataFrame:

@@ -248,19 +248,66 @@ def _(t):
     return w.robots_allowed(t.pages.select("page_id", "url"), t.robots)
 
 
+# Every page of the walk has one parent on the given links, so its path of link positions is its place in the queue.
 @query("crawl_frontier", """RECURSIVE
     WITH roots AS (SELECT page_id FROM pages WHERE page_id NOT IN (SELECT dst FROM links)),
     ok AS (SELECT page_id FROM robots_ok WHERE allowed OR page_id IN (SELECT page_id FROM roots)),
-    walk(url_id, depth) AS (
-      SELECT page_id, 0 FROM roots
-      UNION
-      SELECT l.dst, w.depth + 1 FROM walk w JOIN links l ON l.src = w.url_id JOIN ok ON ok.page_id = l.dst)
-    SELECT url_id, min(depth) AS depth FROM walk GROUP BY 1""", "links robots_ok")
+    walk(start, url_id, depth, trail) AS (
+      SELECT page_id, page_id, 0, CAST([] AS BIGINT[]) FROM roots
+      UNION ALL
+      SELECT w.start, l.dst, w.depth + 1, list_append(w.trail, l.ord) FROM walk w JOIN links l ON l.src = w.url_id JOIN ok ON ok.page_id = l.dst)
+    SELECT url_id, depth, row_number() OVER (PARTITION BY start ORDER BY depth, trail) - 1 AS place FROM walk""", "links robots_ok")
 def _(t):
     roots = t.pages.select("page_id").join(t.links.select(F.col("dst").alias("page_id")), "page_id", "left_anti")
     ok = w.robots_allowed(t.pages.select("page_id", "url"), t.robots).filter("allowed").select("page_id").union(roots).distinct()
     return w.crawl_frontier(t.links.select("src", "dst", "ord"), roots.withColumnRenamed("page_id", "start"), max_depth=60,
-                            allowed=ok.withColumnRenamed("page_id", "url_id")).select("url_id", "depth")
+                            allowed=ok.withColumnRenamed("page_id", "url_id")).select("url_id", "depth", "place")
+
+
+SITE_LINKS = ("p + 1", "2 * p + 1", "p + 3", "p // 2", "2 * p + 2", "p + 1", "p - 2", "p // 3", "p + 7", "3 * p + 1", "p", "p + 2", "p + 4")
+CRAWL_PAGES = 10
+SQL_VIEWS["site_links"] = ("", f"""
+    SELECT p AS src, dst[i] AS dst, i AS ord FROM (SELECT page_id AS p, [{', '.join(SITE_LINKS)}] AS dst FROM pages),
+      unnest(range(1, {len(SITE_LINKS) + 1})) AS u(i)""")
+SQL_VIEWS["site_pages"] = ("robots_ok", f"""
+    SELECT page_id, url AS link, page_id % 13 <> 5 AS ok,
+           {q.host('url')} <> '' AND NOT {FILE_SQL.replace('link', 'url')} AND NOT regexp_matches(url, 'utm_source|/es/')
+           AND regexp_matches(url, 'example|local') AS fit, allowed FROM robots_ok""")
+SQL_VIEWS["site_queueable"] = ("site_links site_pages", f"""
+    SELECT src, dst, min(ord) AS ord, any_value(fit AND allowed) AS may, any_value(ok) AS ok FROM site_links JOIN site_pages ON page_id = dst
+    WHERE fit AND NOT {SOCIAL_SQL} AND {q.depth('link')} <= 2 GROUP BY 1, 2""")
+_NUMBERED = "start, url_id, depth, seq, ok, coalesce(sum(CAST(ok AS INT)) OVER (PARTITION BY start ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + base AS earlier"
+
+
+@query("crawl_site", f"""
+    WITH l0 AS (SELECT page_id AS start, page_id AS url_id, 0 AS depth, 0 AS seq, ok, 0 AS earlier FROM site_pages WHERE fit AND allowed),
+    q1 AS (
+      SELECT start, dst AS url_id, 1 AS depth, row_number() OVER (PARTITION BY start ORDER BY slot) AS seq, ok, 1 AS base
+      FROM (SELECT start, dst, s.ok, may, row_number() OVER (PARTITION BY start ORDER BY ord) AS slot
+            FROM l0 JOIN site_queueable s ON src = url_id WHERE l0.ok AND dst <> start) WHERE slot <= {CRAWL_PAGES} - 1 AND may),
+    l1 AS (SELECT * FROM (SELECT {_NUMBERED} FROM q1) WHERE earlier < {CRAWL_PAGES}),
+    seen AS (SELECT start, url_id, seq FROM l0 UNION ALL SELECT start, url_id, seq FROM l1),
+    q2 AS (
+      SELECT start, dst AS url_id, 2 AS depth, any_value(ok) AS ok, min((parent, slot)) AS first_at
+      FROM (SELECT p.start, dst, s.ok, may, p.seq AS parent, seen.seq AS seen_seq, earlier,
+                   row_number() OVER (PARTITION BY p.start, p.seq ORDER BY ord) AS slot
+            FROM l1 p JOIN site_queueable s ON src = p.url_id LEFT JOIN seen ON seen.start = p.start AND seen.url_id = dst
+            WHERE p.ok AND (seen.seq IS NULL OR seen.seq > p.seq))
+      WHERE slot <= {CRAWL_PAGES} - 1 - earlier AND may AND seen_seq IS NULL GROUP BY 1, 2),
+    l2 AS (
+      SELECT * FROM (SELECT {_NUMBERED} FROM (
+        SELECT start, url_id, depth, ok, row_number() OVER (PARTITION BY start ORDER BY first_at) AS seq, base
+        FROM q2 JOIN (SELECT start, max(earlier + CAST(ok AS INT)) AS base FROM l1 GROUP BY 1) USING (start))) WHERE earlier < {CRAWL_PAGES})
+    SELECT start, url_id, depth, CAST(earlier AS BIGINT) AS place
+    FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) WHERE ok""", "site_queueable")
+def _(t):
+    """A crawl of at most ten pages from every page; every thirteenth page fails."""
+    pages = t.pages.select(F.col("page_id").alias("url_id"), "url")
+    targets = F.expr(f"array({', '.join(SITE_LINKS)})".replace("//", "div").replace("p", "page_id"))
+    links = t.pages.select(F.col("page_id").alias("src"), F.posexplode(targets).alias("ord", "dst"))
+    return w.crawl_site(pages, links, pages.select(F.col("url_id").alias("start")), t.robots, CRAWL_PAGES, 2,
+                        failed=pages.filter("url_id % 13 = 5"), allow_external=True, exclude=["utm_source|/es/"],
+                        include=["example", "local"])
 
 
 SQL_VIEWS["serp_unique"] = ("serp", """

@@ -242,6 +242,45 @@ def test_crawl_order(spark):
     assert got == [(0, 0), (3, 1), (1, 1), (2, 1), (6, 2), (5, 2)]
 
 
+def plain_crawl(start, edges, allowed, failed, max_pages, max_depth):
+    """The queue itself, one start at a time."""
+    queue, seen, out = [(start, 0)], set(), []
+    while queue and (max_pages is None or len(out) < max_pages):
+        url, depth = queue.pop(0)
+        if url in seen or depth > max_depth or url not in allowed:
+            continue
+        seen.add(url)
+        if url in failed:
+            continue
+        out.append((url, depth))
+        if depth < max_depth:
+            new = [x for x in dict.fromkeys(edges.get(url, [])) if x not in seen]
+            queue += [(x, depth + 1) for x in (new if max_pages is None else new[:max_pages - len(out)])]
+    return [(start, u, d, i) for i, (u, d) in enumerate(out)]
+
+
+@pytest.mark.parametrize("max_pages,max_depth", [(None, 4), (1, 2), (5, 3), (12, 3)])
+def test_crawl_is_the_queue(spark, monkeypatch, max_pages, max_depth):
+    monkeypatch.setattr(w, "QUEUE_BLOCK", 2)   # many blocks
+    rng = random.Random(5)
+    edges = {s: [rng.randrange(40) for _ in range(rng.choice([0, 2, 5, 14]))] for s in range(40)}
+    edges[3] = list(range(40)) * 2
+    allowed, failed = {x for x in range(40) if x % 7 != 4}, {x for x in range(40) if x % 9 == 2}
+    rows = [(s, x, o) for s, xs in edges.items() for o, x in enumerate(xs)] + [(1, None, 3), (None, 1, 0)]
+    links = spark.createDataFrame(rows, "src long, dst long, ord int")
+    ids = lambda xs, name: spark.createDataFrame([(x,) for x in xs], f"{name} long")
+    out = w.crawl_frontier(links, ids([*range(40), 0, None, 99], "start"), max_depth, max_pages, ids(allowed, "url_id"), ids(failed, "url_id"))
+    got = sorted((x.start, x.url_id, x.depth, x.place) for x in out.collect())
+    assert got == sorted(r for s in range(40) for r in plain_crawl(s, edges, allowed, failed, max_pages, max_depth))
+
+
+def test_crawl_of_nothing(spark):
+    links = spark.createDataFrame([], "src long, dst long, ord int")
+    one = spark.createDataFrame([(7,)], "start long")
+    assert [tuple(r) for r in w.crawl_frontier(links, one, 3).collect()] == [(7, 7, 0, 0)]
+    assert w.crawl_frontier(links, one.limit(0), 3, 5).collect() == []
+
+
 # --- conversations ----------------------------------------------------------------------------------
 
 def tok(t):
