@@ -11,7 +11,7 @@ from ..functions import html as H
 from ..functions import urls
 from ..functions.skew import first_per_key
 from ..functions.text import any_of, col, strip, words
-from ..session import cut_lineage
+from ..session import written
 
 
 # --- pages ---------------------------------------------------------------------------------------
@@ -204,7 +204,7 @@ def crawl_frontier(links: DataFrame, starts: DataFrame, max_depth: int = 2, max_
 
     With ``max_pages`` a start ends at that many results, and a page queues only as many of its links (in order, repeats and
     pages visited before it left out) as results are missing when it is read; links that may not be visited count.
-    Repeated links keep their first place, ties go to the smaller id, null ids are no pages. Every level is checkpointed, so
+    Repeated links keep their first place, ties go to the smaller id, null ids are no pages. Every level is written, so
     neither the plan nor lost work grows with the depth; places are two numbers, however deep the page.
     """
     flag = lambda table, name: table.select(F.col("url_id").alias("dst"), F.lit(True).alias(name)).distinct()
@@ -215,10 +215,10 @@ def crawl_frontier(links: DataFrame, starts: DataFrame, max_depth: int = 2, max_
             known, roots = (d.withColumn(name, F.lit(name == "may")) for d in (known, roots))
         else:
             known, roots = (d.join(flag(table, name), "dst", "left").fillna(False, [name]) for d in (known, roots))
-    known = cut_lineage(known)
-    level = cut_lineage(roots.filter("may").select(
+    known = written(known, "crawl_links")
+    level = written(roots.filter("may").select(
         "start", F.col("dst").alias("url_id"), F.lit(0).alias("depth"), (~F.col("lost")).alias("ok"),
-        F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("earlier")))
+        F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("earlier")), "crawl_level")
     visited = level
     for depth in range(1, max_depth + 1):
         reading = level.filter("ok").select("start", F.col("url_id").alias("src"), F.col("seq").alias("parent"),
@@ -236,7 +236,7 @@ def crawl_frontier(links: DataFrame, starts: DataFrame, max_depth: int = 2, max_
         queued = _queued(fresh.select("start", "url_id", "_at.parent", "_at.ord", "ok"), so_far)
         if max_pages is not None:
             queued = queued.filter(F.col("earlier") < max_pages)
-        level = cut_lineage(queued.select("start", "url_id", F.lit(depth).alias("depth"), "ok", "seq", "earlier"))
+        level = written(queued.select("start", "url_id", F.lit(depth).alias("depth"), "ok", "seq", "earlier"), "crawl_level")
         if level.isEmpty():
             break
         visited = visited.unionByName(level)

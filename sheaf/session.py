@@ -58,3 +58,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterations neither grow the plan nor lose work with an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Rows as a table in the shared folder, read back: lineage is cut as by a checkpoint, and the planner sees true sizes.
+
+    A checkpoint keeps the estimates of the plan it replaces; where every round joins the rounds before, those estimates multiply
+    from round to round until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
