@@ -179,3 +179,16 @@ EQUATION_CHUNK = (
     "Mathematical Equation Analysis:\nEquation: %s\nFormat: %s\n\nMathematical Analysis: %s"
 )
 GENERIC_CHUNK = "%s Content Analysis:\nContent: %s\n\nAnalysis: %s"
+
+# Where stored results pages hold their results. A selector is an element or a class, or one inside another.
+RESULT_LAYOUTS = {
+    "Bing": {"within": "#b_results", "result": [".b_algo"], "title": ["h2 a"], "snippet": [".b_caption p"]},
+    "Baidu": {"within": "#content_left", "result": [".result", ".result-op"], "title": [".t a", ".c-title a"],
+              "snippet": [".c-abstract", ".c-span-last"]},
+    "Sogou": {"within": ".results", "result": [".vrwrap", ".txt-box"], "title": [".vr-title a", "h3 a"],
+              "snippet": [".star-wiki", ".attribute-centent", ".txt-info"]},
+}
+RESULT_PAGE_BLOCKS = ("antibot", "verifycode", "captcha")
+RESULT_ROOTS = {"Baidu": "https://www.baidu.com"}
+RESULT_LINK_STARTS_OUT = {"Baidu": ("#", "javascript:")}
+RESULT_LINKS_OUT = {"Baidu": ("baidu.com/search/", "baidu.com/cache/", "baidu.com/snap/", "baidustatic.com")}

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from collections.abc import Iterator
+from html import unescape as unescape_text
 from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .. import fixed_values as fixed
 from .text import col, strip
@@ -117,6 +119,120 @@ def _noisy_class(tag: str) -> bool:
     return bool(found) and bool(_NOISE.search((found[1] or found[2] or found[3] or "").lower()))
 
 
+def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """A page as ("text", text, ""), ("open", name, tag) and ("close", name, "") in order; comments, scripts and styles out."""
+    at, last, open_ended = 0, html.rfind(">") + 1, set()
+    while tag := _OPENING.search(html, at if at <= last else last, last):
+        begin, name = tag.start(), (tag.group(2) or "").lower()
+        if begin > at:
+            yield "text", html[at:begin], ""
+        at = tag.end()
+        if html.startswith("<!--", begin):
+            close = -1 if "<!--" in open_ended else html.find("-->", begin + 4)
+            if close < 0:
+                open_ended.add("<!--")
+                close = html.find(">", begin) - 2
+            at = close + 3
+        elif name and tag.group(1):
+            yield "close", name, ""
+        elif name:
+            yield "open", name, tag.group()
+            raw = None
+            if name in _RAW_END and name not in open_ended:
+                raw = _RAW_END[name].search(html, at)
+                if raw:
+                    at = raw.end()
+                    yield "close", name, ""
+                else:
+                    open_ended.add(name)
+    if at < len(html):
+        yield "text", html[at:], ""
+
+
+_PAIR = re.compile("\\s([^\\s=>/]+)\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s>\"']+))", _FLAGS)
+
+
+def _marks(name: str, tag: str) -> tuple[frozenset, str]:
+    """What selectors may call an element (its name, classes and id), and where it leads."""
+    held = {m[1].lower(): unescape_text(m[2] or m[3] or m[4] or "") for m in _PAIR.finditer(tag)} if "=" in tag else {}
+    marks = {name, *("." + c for c in held.get("class", "").split())}
+    if "id" in held:
+        marks.add("#" + held["id"])
+    return frozenset(marks), held.get("href", "")
+
+
+def select_results(html: str, layout: dict) -> list[tuple[str, str, str]]:
+    """(title, href, snippet) of every result element of a page, in order, as far as it holds a title and a snippet.
+
+    The first element inside a result that fits a selector counts; what it stands in may lie outside the result. Text nodes are
+    stripped and put together. One walk over a stack of open elements: each tag is looked at once, a result takes one title
+    and one snippet, so time is linear however results nest.
+    """
+    wanted = {part: [s.split() for s in layout[part]] for part in ("title", "snippet")}
+    outer = {layout["within"]} | {s[0] for group in wanted.values() for s in group if len(s) > 1}
+    fits = lambda part, marks: any(s[-1] in marks and (len(s) == 1 or inside[s[0]]) for s in wanted[part])
+    stack: list[tuple[str, frozenset, list, list]] = []
+    held, inside = Counter(), Counter()
+    pieces: list[str] = []
+    results: list[dict] = []
+    lacking: dict[str, list[dict]] = {"title": [], "snippet": []}
+
+    def shut() -> str:
+        name, marks, spans, own = stack.pop()
+        held[name] -= 1
+        inside.subtract(marks & outer)
+        for span in spans:
+            span[1] = len(pieces)
+        for result in own:
+            for rows in lacking.values():
+                if rows and rows[-1] is result:
+                    rows.pop()
+        return name
+
+    for kind, value, tag in _tokens(html):
+        if kind == "text":
+            if text := unescape_text(value).strip():
+                pieces.append(text)
+        elif kind == "close":
+            if held[value]:
+                while shut() != value:
+                    pass
+        else:
+            marks, href = _marks(value, tag)
+            spans, own = [], []
+            for part, rows in lacking.items():
+                if rows and fits(part, marks):
+                    span = [len(pieces), None, href]
+                    spans.append(span)
+                    for result in rows:
+                        result[part] = span
+                    rows.clear()
+            if inside[layout["within"]] and any(s in marks for s in layout["result"]):
+                own.append({})
+                results.extend(own)
+                for rows in lacking.values():
+                    rows.extend(own)
+            stack.append((value, marks, spans, own))
+            held[value] += 1
+            inside.update(marks & outer)
+            if value in VOID:
+                shut()
+    text = lambda span: "".join(pieces[span[0]:span[1]])
+    return [(text(r["title"]), r["title"][2], text(r["snippet"])) for r in results if len(r) == 2]
+
+
+def results(html: Column | str, engine: Column | str) -> Column:
+    """array<struct<title, href, snippet>> of stored results pages in their engine's layout; an unknown engine gives none."""
+    return _select_pages(F.coalesce(col(html), F.lit("")), col(engine))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(part, StringType()) for part in ("title", "href", "snippet")])))
+def _select_pages(pages: pd.Series, engines: pd.Series) -> pd.Series:
+    return pd.Series([
+        [dict(zip(("title", "href", "snippet"), row)) for row in select_results(page, fixed.RESULT_LAYOUTS[engine])]
+        if engine in fixed.RESULT_LAYOUTS else [] for page, engine in zip(pages, engines)], dtype=object)
+
+
 #: References that most texts hold; the rest are looked up behind these.
 COMMON = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "hellip": "…", "mdash": "—", "ndash": "–", "euro": "€"}
 

@@ -9,6 +9,7 @@ from ..sources import files
 from . import sqlgen as q
 from .inputs import SQL_VIEWS
 from .registry import query
+from .web import _unescape_sql as unescape_sql
 
 EXT = "lower(regexp_extract(filename, '[^./](\\.[^./]+)$', 1))"
 
@@ -123,3 +124,38 @@ def _(t):
     anchor = F.when(F.col("engine") == "Bing", bare).otherwise(wrapped)
     stored = t.serp.groupBy("query_id").agg(joined("", anchor, "pos", "engine").alias("html"))
     return files.serp_rows_from_html(stored)
+
+
+# Stored pages of up to a thousand positions each. Every fourth result has no snippet, some links lead nowhere or to the engine itself. Titles are cut
+# at 60 characters, some inside a reference: HTML reads '&amp' without its semicolon as '&' too.
+SHEET = 1024
+STORED_LINK = ("CASE WHEN engine <> 'Baidu' THEN url WHEN pos % 5 = 1 THEN '/link?url=' || pos WHEN pos % 5 = 2 THEN 'javascript:void(0)' "
+               "WHEN pos % 7 = 3 THEN 'https://www.BAIDU.com/cache/' || pos ELSE url END")
+
+
+@query("serp_rows_by_layout", f"""
+    SELECT query_id, engine, sheet, CAST(row_number() OVER (PARTITION BY query_id, engine, sheet ORDER BY spot) - 1 AS INTEGER) AS pos,
+           title, url, snippet
+    FROM (SELECT query_id, engine, pos // {SHEET} AS sheet, pos AS spot, {q.strip(unescape_sql("regexp_replace(title, '&amp$', '&')"))} AS title,
+                 CASE WHEN starts_with(link, '/') THEN 'https://www.baidu.com' || link ELSE link END AS url,
+                 {q.strip(unescape_sql('snippet'))} || 'more' AS snippet
+          FROM (SELECT *, {STORED_LINK} AS link FROM serp) WHERE pos % 4 <> 3 AND query_id % 11 <> 4)
+    WHERE title <> '' AND url NOT LIKE 'javascript:%' AND NOT contains(lower(url), 'baidu.com/cache/')
+    QUALIFY pos < 10""", "serp")
+def _(t):
+    """Result lists become stored pages in the layout of their engine, whose elements are selected again."""
+    from ..functions.text import joined
+    link = F.concat(F.lit('<a class="x" href="'), F.expr(STORED_LINK), F.lit('"><em>'), "title", F.lit("</em></a>"))
+    short = lambda tag, mark: F.when(F.col("pos") % 4 != 3, F.concat(F.lit(f'<{tag} class="{mark}">'), "snippet", F.lit(f"<b> more</b></{tag}>"))).otherwise("")
+    shown = (F.when(F.col("engine") == "Bing", F.concat(
+                 F.lit('<li class="b_algo wide"><a href="/logo">x</a><h2>'), link, F.lit('</h2><div class="b_caption"><span>ad</span>'), short("p", "s"), F.lit("</div></li>")))
+             .when(F.col("engine") == "Baidu", F.concat(
+                 F.lit('<div class="c-container result-op"><h3 class="t">'), link, F.lit("</h3><!-- <p> -->"), short("span", "c-span-last"), F.lit("<br></div>")))
+             .otherwise(F.concat(F.lit('<div class="vrwrap"><div><h3>'), link, F.lit("</h3></div><script>'</div>'</script>"), short("div", "txt-info"), F.lit("</div>"))))
+    head = (F.when(F.col("engine") == "Bing", F.lit('<div class="b_algo"><h2><a href="/ad">ad</a></h2></div><ol id="b_results">'))
+            .when(F.col("engine") == "Baidu", F.lit('<div id=content_left>')).otherwise(F.lit("<div class='results main'>")))
+    check = F.when(F.col("query_id") % 11 == 4, F.lit('<form id="Captcha">')).otherwise("")
+    rows = t.serp.withColumn("sheet", F.floor(F.col("pos") / SHEET)).withColumn("shown", shown)
+    pages = rows.groupBy("query_id", "engine", "sheet").agg(joined("", "shown", "pos").alias("html"))
+    stored = pages.withColumn("html", F.concat(F.lit("<html><body>"), check, head, "html"))
+    return files.serp_rows_by_layout(stored)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
+from ..functions import html as H
 from ..functions.skew import scalar_count
+from ..functions.text import any_of
 from ..operators.store import suffix
 
 
@@ -75,3 +77,25 @@ def serp_rows_from_html(stored: DataFrame, max_links: int | None = None) -> Data
     url = F.when(target != "", F.url_decode(target)).otherwise(F.col("u"))
     found = rows.select("query_id", "pos", url.alias("url"), F.regexp_replace("t", "<[^>]+>", "").alias("title"))
     return found.groupBy("query_id", "url").agg(F.min("pos").alias("pos"), F.min_by("title", "pos").alias("title"))
+
+
+def serp_rows_by_layout(stored: DataFrame, max_results: int = 10) -> DataFrame:
+    """Result rows of stored results pages (engine, html, and columns that name a page), by the layout of each engine.
+
+    Adds (pos, title, url, snippet) to the other columns. Results without address or title, and links that lead nowhere or back to the
+    engine, are out; rooted links get the engine's root; the first ``max_results`` stay. A page that asks for a check, a null page
+    and an unknown engine give no rows; repeated results stay.
+    """
+    of_engine = lambda values, default: F.coalesce(*[F.when(F.col("engine") == e, v) for e, v in values.items()], default)
+    asks = any_of(F.lower("html"), fixed.RESULT_PAGE_BLOCKS)
+    root = of_engine({e: F.lit(r) for e, r in fixed.RESULT_ROOTS.items()}, F.lit(""))
+    words = lambda table: of_engine({e: F.array(*[F.lit(x) for x in v]) for e, v in table.items()}, F.array().cast("array<string>"))
+    rooted = lambda href: F.when(href.startswith("/"), F.concat(root, href)).otherwise(href)
+    found = F.transform(H.results("html", "engine"), lambda r: F.struct(
+        r["title"].alias("title"), r["href"].alias("href"), rooted(r["href"]).alias("url"), r["snippet"].alias("snippet")))
+    good = F.filter(found, lambda r: (r["title"] != "") & (r["href"] != "")
+                    & ~F.exists(words(fixed.RESULT_LINK_STARTS_OUT), lambda p: F.startswith(r["href"], p))
+                    & ~F.exists(words(fixed.RESULT_LINKS_OUT), lambda p: F.contains(F.lower(r["url"]), p)))
+    keys = [c for c in stored.columns if c not in ("html", "pos", "title", "url", "snippet")]
+    rows = stored.filter(~asks).select(*keys, F.posexplode(F.slice(good, 1, max_results)).alias("pos", "_r"))
+    return rows.select(*keys, "pos", "_r.title", "_r.url", "_r.snippet")

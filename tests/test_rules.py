@@ -237,3 +237,51 @@ def test_span_cycle_raises(spark):
                                   "trace_id string, span_id string, parent_id string, status string, start_s double, end_s double, tokens int")
     with pytest.raises(ValueError, match="cycle"):
         b.span_rollup(spans, max_rounds=3)
+
+
+# --- stored results pages ---------------------------------------------------------------------------
+
+def rows_of(spark, engine, html, **kw):
+    from sheaf.sources import files
+    stored = spark.createDataFrame([(7, engine, html)], "query_id long, engine string, html string")
+    return [(r.pos, r.title, r.url, r.snippet) for r in sorted(files.serp_rows_by_layout(stored, **kw).collect(), key=lambda r: r.pos)]
+
+
+def test_result_layouts(spark):
+    bing = ("<div class=b_algo><h2><a href=/ad>ad</a></h2><div class=b_caption><p>ad</p></div></div><ol id='b_results'>"
+            "<li class='b_algo x'><h2> <a href='http://a.b/?x=1&amp;y=2'> A <b>b</b> &amp; c</a></h2><a href='/no'>no</a>"
+            "<p>outside</p><div class='b_caption'><p>first <i>one</i></p><p>second</p></div></li>"
+            "<li class=b_algo><h2><a href='http://no.snippet'>t</a></h2></li>"
+            "<li class=b_algo><h2><a>no address</a></h2><div class=b_caption><p>s</p></div></li>"
+            "<li class=b_algo><h2><a href=u></a></h2><div class=b_caption><p>no title</p></div></li></ol>"
+            "<li class=b_algo><h2><a href=u>late</a></h2><div class=b_caption><p>late</p></div></li>")
+    assert rows_of(spark, "Bing", bing) == [(0, "Ab& c", "http://a.b/?x=1&y=2", "firstone")]
+    one = lambda href, n: f"<div class='result'><h3 class='c-title'><a href='{href}'>t{n}</a></h3><div class=c-abstract>s{n}</div></div>"
+    links = ["/link?url=Q", "#", "javascript:x", "/abc", "http://www.BAIDU.com/cache/1", "https://x.y", "/search/z", ""]
+    baidu = "<div id=content_left>" + "".join(one(h, i) for i, h in enumerate(links)) + "</div>"
+    assert rows_of(spark, "Baidu", baidu) == [(0, "t0", "https://www.baidu.com/link?url=Q", "s0"),
+                                              (1, "t3", "https://www.baidu.com/abc", "s3"), (2, "t5", "https://x.y", "s5")]
+    assert rows_of(spark, "Baidu", baidu, max_results=1) == [(0, "t0", "https://www.baidu.com/link?url=Q", "s0")]
+    # A result inside a result: both take the inner title and snippet, as these are the first inside of each.
+    sogou = ("<div class=results><div class=vrwrap><div class=txt-box><h3><a href=u>t</a></h3><script>'<h3>'</script>"
+             "<div class=star-wiki>s<!-- x --></div></div><div class=txt-info>later</div></div></div>")
+    assert rows_of(spark, "Sogou", sogou) == [(0, "t", "u", "s"), (1, "t", "u", "s")]
+
+
+def test_result_layouts_give_nothing(spark):
+    good = "<ol id=b_results><li class=b_algo><h2><a href=u>t</a></h2><div class=b_caption><p>s</p></div></li></ol>"
+    assert rows_of(spark, "Bing", good) == [(0, "t", "u", "s")]
+    for engine, html in (("Bing", good + "<b>CAPTCHA</b>"), ("Bing", None), ("Bing", ""), ("Other", good), (None, good),
+                         ("Bing", good.replace("b_results", "x")), ("Bing", "<a <b <c \" ' <")):
+        assert rows_of(spark, engine, html) == []
+
+
+def test_result_selection_is_linear():
+    import time
+    from sheaf import fixed_values as fixed
+    from sheaf.functions import html as H
+    deep = "<div class=results>" + "<div class=vrwrap><h3><a href=u>t</a></h3>" * 100_000
+    began = time.perf_counter()
+    assert H.select_results(deep, fixed.RESULT_LAYOUTS["Sogou"]) == []
+    assert len(H.select_results(deep + "<i class=txt-info>s</i>", fixed.RESULT_LAYOUTS["Sogou"])) == 100_000
+    assert time.perf_counter() - began < 30
