@@ -5,8 +5,9 @@ of the item's word shingles that a document holds. Items are partitioned by thei
 partition of items with at most m shingles and threshold t, an item's signature is its k = m - ceil(t m) + 1
 smallest shingle hashes (bottom-k MinHash; an item with n shingles needs n - ceil(t n) + 1, never more than k). A
 document that holds t of the item misses at most n - ceil(t n) shingles, so it holds one of the signature: no document
-is lost. The largest hash of any signature bounds what documents have to show: hashes above it are dropped before
-anything is exploded. Candidates are verified on all shingles, as strings of words.
+is lost. The largest hash of a partition's signatures bounds what documents have to show for it, and a document shows
+nothing for partitions whose smallest items already need more shingles than it has: hashes above the bounds that are
+left are dropped before anything is exploded. Candidates are verified on all shingles, as strings of words.
 """
 
 from __future__ import annotations
@@ -52,15 +53,19 @@ def shingle_hashes_any(w: Column, width: int) -> Column:
 def candidates(documents: DataFrame, items: DataFrame, width: int = WIDTH, t: float = CONTAINMENT) -> DataFrame:
     """(row, item_id): documents that hold a hash of the item's signature and are large enough for its partition."""
     signed = saved(item_signatures(items, width, t))
-    # One row per width: at most ``width`` of them, whatever the number of items.
-    bounds = {r["width"]: (r["top"], r["least"]) for r in signed.groupBy("width").agg(
-        F.max(F.array_max("signature")).alias("top"), F.min(needed(F.col("n"), t)).alias("least")).collect()}
+    # One row per width and partition: at most ``width`` times the binary digits of the largest item.
+    bounds = signed.groupBy("width", "part").agg(
+        F.max(F.array_max("signature")).alias("top"), F.min(needed(F.col("n"), t)).alias("least")).collect()
     w = documents.select("row", words(lower_ascii(text_of("text"))).alias("w"))
     probes = []
-    for k, (top, least) in sorted(bounds.items()):
-        bound = F.lit(top)
-        shown = F.array_distinct(F.filter(shingle_hashes(F.col("w"), k), lambda h: h <= bound))  # noqa: B023  called at once
-        sets = w.select("row", F.when(F.size("w") >= k + least - 1, shown).alias("h"), (F.size("w") - k + 1).alias("size"))
+    for k in sorted({r["width"] for r in bounds}):
+        parts = [r for r in bounds if r["width"] == k]
+        size = F.size("w") - k + 1
+        # A document can only hold items of partitions whose least share it is large enough for, so their bounds decide what it shows.
+        fits = [F.when(size >= r["least"], F.lit(r["top"])) for r in parts]
+        sets = w.select("row", "w", size.alias("size"), (F.greatest(*fits) if len(fits) > 1 else fits[0]).alias("bound"))
+        shown = F.array_distinct(F.filter(shingle_hashes(F.col("w"), k), lambda h: h <= F.col("bound")))
+        sets = sets.select("row", F.when(F.col("bound").isNotNull(), shown).alias("h"), "size")
         # explode() would add a filter on the array below, which makes all of it again word by word; explode_outer() doesn't.
         probes.append(sets.select("row", "size", F.lit(k).alias("width"), F.explode_outer("h").alias("hash")))
     asked = signed.select("item_id", "width", needed(F.col("n"), t).alias("needed"), F.explode("signature").alias("hash"))
