@@ -59,12 +59,15 @@ def _(t):
     return j.parse_entity_json(entity_outputs(t))
 
 
-@query("extracted_memories", f"""
+ENTRIES = f"""
     WITH e AS (SELECT 's_' || conv_id || '_' || turn AS session_id, text, role, array_to_string(string_split(text, ' ')[1:3], ' ') AS f FROM conversations),
     i AS (SELECT session_id, 0 AS g, 'semantic' AS type, {q.strip('text')} AS content, 'alpha|beta|gamma' AS keywords FROM e
           UNION ALL SELECT session_id, 1, 'procedural', {q.strip('f')}, '' FROM e
           UNION ALL SELECT session_id, 2, 'procedural', role, role FROM e)
     SELECT type || '_' || session_id || '_' || (row_number() OVER (PARTITION BY session_id ORDER BY g) - 1) AS id, type, content, keywords,
-           session_id AS source_session_id FROM i WHERE content <> ''""")
+           session_id AS source_session_id FROM i WHERE content <> ''"""
+
+
+@query("extracted_memories", ENTRIES)
 def _(t):
     return j.extracted_memories(t.memory_json).withColumn("keywords", F.array_join("keywords", "|"))

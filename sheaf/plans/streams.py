@@ -7,6 +7,7 @@ from ..streaming.runtime import latest, run_available, table_stream
 from .bookkeeping import ADMIT
 from .inputs import Tables
 from .registry import query
+from .semistructured import ENTRIES
 
 
 def events(t):
@@ -51,11 +52,14 @@ def _(t):
     return latest(run_available(s.stream_progress_latest(streamed(t, "events").progress_log), "progress", "update"), ["doc_id"])
 
 
-@query("stream_memory_fold")
+@query("stream_memory_fold", f"""
+    SELECT id, type, content, keywords, source_session_id, CAST(regexp_extract(source_session_id, 's_([0-9]+)_', 1) AS BIGINT) * 10
+             + CAST(regexp_extract(source_session_id, '_([0-9]+)$', 1) AS BIGINT) AS seq
+    FROM ({ENTRIES}) ORDER BY seq DESC, id LIMIT 200""")
 def _(t):
     live = streamed(t, "conversations")
     number = F.regexp_extract("session_id", "s_([0-9]+)_", 1).cast("long") * 10 + F.regexp_extract("session_id", "_([0-9]+)$", 1).cast("long")
-    return s.stream_memory_fold(live.memory_json.withColumn("seq", number), 200)
+    return s.stream_memory_fold(live.memory_json.withColumn("seq", number), 200).withColumn("keywords", F.array_join("keywords", "|"))
 
 
 @query("stream_chunk_summaries", """

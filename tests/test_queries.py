@@ -8,10 +8,10 @@ from sheaf import plans
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
-#: Vectors, clusters, decisions in time order, packing, and what cleans pages.
+#: Vectors, clusters, decisions in time order, packing, and what cleans pages or selects their elements.
 PYTHON = {"vector_topk", "related_chunks", "familiarity", "adaptive_route", "cluster_history", "rate_limit_admit",
           "clean_html", "clean_html_nested", "extract_text", "page_metadata", "search_source_stats", "validate_page", "split_scraped",
-          "url_content_relevance", "page_quality_report", "context_from_pages", "pack_paragraphs"}
+          "url_content_relevance", "page_quality_report", "context_from_pages", "pack_paragraphs", "serp_rows_by_layout"}
 
 
 def check_plan(df, name):
