@@ -23,12 +23,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A table folder as a stream of its parquet files."""
+    """A table as a stream of its parquet files: ``name*.parquet``, each a file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}*.parquet")
 
 
 def versions(spark: SparkSession, folder: str, prefix: str) -> list[int]:

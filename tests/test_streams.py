@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf import plans
 from sheaf.operators import bookkeeping as b
 from sheaf.operators import conversations as c
 from sheaf.operators import memory as m
@@ -117,6 +118,15 @@ def test_window_counts(spark, split):
     assert all(k in got for k in want if k[1] < closed)
 
 
+def test_tables_in_folders_of_files(spark, tmp_path):
+    """A table may be a folder of files of any name, as Spark writes it: it streams the same rows as one file does."""
+    t = Tables(spark, SF)
+    t.conversations.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("stream_chunk_summaries", "stream_memory_fold"):
+        got, want = (sorted(map(repr, plans.queries()[name](spark, place).collect())) for place in (str(tmp_path), SF))
+        assert got == want and got
+
+
 def test_files_once(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for n in ("a.pdf", "b.TXT", "c.bin", "sub/d.md"):
