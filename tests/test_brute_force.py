@@ -62,6 +62,23 @@ def test_keyword_search(spark):
     assert r.keyword_page_search(long, qdf.limit(0)).collect() == []
 
 
+def test_scoring_tasks_grow_with_rows(spark):
+    """What one task scores is bounded: more rows take more tasks, and a window's words are counted where they meet, without moving again."""
+    rows = [(doc, 1, f"w{doc % 5} w{doc % 3} all") for doc in range(200)]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, content string")
+    queries = spark.createDataFrame([(1, "w1 all"), (2, "w2 w0 none")], "query_id long, query string")
+    assert [r.scoring_tasks(pages, n) for n in (200, 10, 3)] == [4, 20, 67]
+    answers = []
+    for tasks in (1, 67):
+        got = r.search_postings(r.posting_index(pages), queries, 7, tasks)
+        answers.append(sorted(map(tuple, got.collect())))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert f"RepartitionByExpression [doc_id" in plan and f"], {tasks}" in plan
+    want = [(q, doc, s) for q, ask in ((1, {"w1", "all"}), (2, {"w2", "w0", "none"})) for s, doc in sorted(
+        (-len(ask & set(text.split())), doc) for doc, _, text in rows if ask & set(text.split()))[:7]]
+    assert answers[0] == answers[1] and sorted((x[0], x[1], -x[3]) for x in answers[0]) == sorted(want)
+
+
 def test_vector_paths_agree(spark):
     rng = np.random.default_rng(3)
     items = rng.integers(-2, 3, (90, 4)).astype(float)   # many exact ties
