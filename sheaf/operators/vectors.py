@@ -15,6 +15,8 @@ from ..functions.text import joined
 PIVOTS = 256
 #: Rows of one side of a pair of blocks.
 BLOCK_ROWS = 8192
+#: Queries of a block whose products with the items of another are held at once.
+PRODUCT_ROWS = 256
 #: Scores are rounded to six digits; bounds are loosened by more than that.
 SLACK = 4e-6
 HIT = "query_id long, item_id long, score double"
@@ -39,18 +41,20 @@ def _best(wanted: pd.DataFrame, items: pd.DataFrame, k: int, normalise: bool, sk
     q, m = _matrix(wanted["embedding"]), _matrix(items["embedding"])
     if normalise:
         q, m = _unit(q), _unit(m)
-    item_ids, sims = items["item_id"].to_numpy(), np.round(m @ q.T, 6)
+    item_ids, query_ids, least = items["item_id"].to_numpy(), wanted["query_id"].to_numpy(), wanted["floor"].to_numpy()
     ids, hits, scores = [], [], []
-    for j, (query_id, floor) in enumerate(zip(wanted["query_id"], wanted["floor"])):
-        s = sims[:, j]
-        keep = np.flatnonzero((s >= floor) & ((item_ids != query_id) | (not skip_same)))
-        if len(keep) > k:
-            edge = np.partition(s[keep], len(keep) - k)[len(keep) - k]
-            keep = keep[s[keep] >= edge]
-        keep = keep[np.lexsort((item_ids[keep], -s[keep]))][:k]
-        ids.append(np.full(len(keep), query_id))
-        hits.append(item_ids[keep])
-        scores.append(s[keep])
+    # A few queries at a time: the product of two whole blocks would take half a gigabyte.
+    for at in range(0, len(q), PRODUCT_ROWS):
+        sims = np.round(q[at:at + PRODUCT_ROWS] @ m.T, 6)
+        for s, query_id, floor in zip(sims, query_ids[at:], least[at:]):
+            keep = np.flatnonzero((s >= floor) & ((item_ids != query_id) | (not skip_same)))
+            if len(keep) > k:
+                edge = np.partition(s[keep], len(keep) - k)[len(keep) - k]
+                keep = keep[s[keep] >= edge]
+            keep = keep[np.lexsort((item_ids[keep], -s[keep]))][:k]
+            ids.append(np.full(len(keep), query_id))
+            hits.append(item_ids[keep])
+            scores.append(s[keep])
     return pd.DataFrame({"query_id": np.concatenate(ids), "item_id": np.concatenate(hits), "score": np.concatenate(scores)})
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf import fixed_values as fixed
+from sheaf import plans
 from sheaf.functions.skew import running
 from sheaf.operators import bookkeeping as b
 from sheaf.operators import conversations as c
@@ -96,6 +97,13 @@ def test_vector_paths_agree(spark):
     assert sorted((x.query_id, x["rank"], x.item_id) for x in named.collect()) == [x for x in want if x[0] == 7]
 
 
+def test_related_chunks_of_every_chunk(spark):
+    """The query answers for every stored vector, not only for those that some search returned."""
+    sf = "/root/testdata/sf0.01"
+    got = plans.queries()["related_chunks"](spark, sf).groupBy("query_id").count()
+    assert {x.query_id: x["count"] for x in got.collect()} == {x.vec_id: 5 for x in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+
+
 def test_vector_search_by_product(spark):
     """Vectors of unequal length, a floor, copies, absent vectors, and no rows at all."""
     rng = np.random.default_rng(5)
