@@ -2,7 +2,7 @@
 
 Base spans are matches of strict patterns that pass their checks (octets, Luhn, digit counts). Generators then propose
 spans of looser form: written-out at and dot signs, numbers with other separators, phone numbers without a country. Gradient
-boosted trees, fitted on a bounded sample whose labels come from the strict checks, score a candidate by its format
+boosted trees, fitted on all of them with labels that come from the strict checks, score a candidate by its format
 (after undoing the writing-out) and its context, never by the check itself. Per kind, a threshold with the asked precision on
 held-out rows selects; what it selects is added where no base span lies. Everything is column expressions inside the
 row: the trees become nested conditionals, so documents are read once and nothing is shuffled.
@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, text_of
+from .common import lower_ascii, saved, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -39,8 +39,8 @@ LOOSE = {
 }
 LOOSE_HINT = {"email": r"@|[\[({]\x20?at\x20?[\])}]", "ip": r"[0-9][.\])]", "card": r"[0-9]{3}", "phone": r"[0-9][)\x20./-]+[0-9]"}
 WORDS = {"mail": "mail|contact|write|correo|courriel", "call": "phone|tel|call|fax|mobil", "pay": "card|visa|pay|credit|iban|bank", "net": r"\bip\b|host|server|addr"}
-#: Documents the trees are fitted on: those with the smallest hash of their id.
-SAMPLE_DOCUMENTS = 20_000
+#: More than a feature has values.
+BINS = 1024
 CONTEXT, PRECISION, LEAST_HELD = 24, 0.95, 20
 FEATURES = ("kind_no", "n_chars", "n_digits", "n_letters", "n_dots", "n_gaps", "n_parts", "longest", "before_word", "before_mark", "after_word",
             "mail", "call", "pay", "net", "quoted")
@@ -200,38 +200,38 @@ def _parsed(lines: list[str]) -> tuple:
     return FEATURES[int(m[1])], float(m[2]), left, _parsed(lines)
 
 
-def learn(documents: DataFrame, rows: int = SAMPLE_DOCUMENTS, rounds: int = 10, depth: int = 3, precision: float = PRECISION) -> Model:
-    """Fits on candidates of at most ``rows`` documents; half of them, by hash, are held out for the thresholds.
+def learn(documents: DataFrame, rounds: int = 10, depth: int = 3, precision: float = PRECISION) -> Model:
+    """Fits on the candidates of all documents; half of the documents, by hash of the id, are held out for the thresholds.
 
-    A candidate's label is whether it overlaps a base span of its kind. Without both labels the model selects nothing.
+    A candidate's label is whether it overlaps a base span of its kind. Without both labels the model selects nothing. Features are
+    counts bounded by the loose patterns, so candidates are counted per distinct description, and trees and thresholds weigh each by its
+    count. All of these fit in one task, which sums them in one order: the same table gives the same trees. ``BINS`` is so
+    large that every value of a feature is a possible threshold and MLlib draws no sample to find them.
     """
-    chosen = documents.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # The sample's bound is the size bound of what is broadcast.
-    some = documents.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    spans = candidates(base_spans(some)).select("doc_id", "base", F.explode_outer("loose").alias("s")).filter("s is not null")
+    spans = candidates(base_spans(documents.select("doc_id", text_of("text").alias("text")))).select(
+        "doc_id", "base", F.explode("loose").alias("s"))
     own = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]) & (b["kind"] == F.col("s.kind")))
     held = F.xxhash64("doc_id", F.lit(1)).bitwiseAND(F.lit(1)) == 1
-    data = spans.select(F.col("s.kind").alias("name"), own.cast("double").alias("label"), held.alias("held"), *[F.col(f"s.{f}").alias(f) for f in FEATURES])
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data).cache()
-    try:
-        if data.filter("not held").select("label").distinct().count() < 2:
-            return Model([], {})
-        fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7).fit(data.filter("not held").select("label", "features").repartition(1))
-        trees = []
-        for tree, weight in zip(fitted.trees, fitted.treeWeights):
-            trees.append((float(weight), _parsed([x for x in tree.toDebugString.splitlines()[1:] if x.strip()])))
-        model = Model(trees, {})
-        bins = (data.filter("held").select("name", "label", F.floor(model.score(F.struct(*FEATURES)) * 100).alias("bin"))
-                .groupBy("name", "bin").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect())
-        for kind in KINDS:
-            good = n = 0
-            for b, g, c in sorted(((r["bin"], r["good"], r["n"]) for r in bins if r["name"] == kind), reverse=True):
-                good, n = good + g, n + c
-                if n >= LEAST_HELD and good >= precision * n:
-                    model.thresholds[kind] = b / 100
-        return model
-    finally:
-        data.unpersist()
+    described = spans.select(F.col("s.kind").alias("name"), own.cast("double").alias("label"), held.alias("held"), *[F.col(f"s.{f}").alias(f) for f in FEATURES])
+    data = saved(described.groupBy(*described.columns).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    fit = data.filter("not held").groupBy("label", *FEATURES).agg(F.sum("n").alias("n"))
+    if fit.select("label").distinct().count() < 2:
+        return Model([], {})
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(fit.repartition(1).sortWithinPartitions("label", *FEATURES))
+    fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=BINS, weightCol="n", seed=7).fit(rows.select("label", "features", "n"))
+    trees = []
+    for tree, weight in zip(fitted.trees, fitted.treeWeights):
+        trees.append((float(weight), _parsed([x for x in tree.toDebugString.splitlines()[1:] if x.strip()])))
+    model = Model(trees, {})
+    bins = (data.filter("held").select("name", "label", "n", F.floor(model.score(F.struct(*FEATURES)) * 100).alias("bin"))
+            .groupBy("name", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect())
+    for kind in KINDS:
+        good = n = 0
+        for b, g, c in sorted(((r["bin"], r["good"], r["n"]) for r in bins if r["name"] == kind), reverse=True):
+            good, n = good + g, n + c
+            if n >= LEAST_HELD and good >= precision * n:
+                model.thresholds[kind] = b / 100
+    return model
 
 
 def find_spans(documents: DataFrame, model: Model) -> DataFrame:

@@ -100,6 +100,21 @@ def url_brute(url):
     return host, path, rule and rule[2], rule[3] if rule else "block" if patterns else "allow"
 
 
+def test_every_document_is_learned_from(spark, monkeypatch):
+    """More documents than any sample once held: each candidate counts, and equal ones are one row."""
+    docs = spark.range(20_500).selectExpr("id as doc_id", "concat('write to a', id % 7, '@b.cc or call 0', id % 10, '3 555 1234') as text")
+    seen, keep = [], pii.saved
+
+    def watched(df):
+        seen.append(keep(df))
+        return seen[-1]
+
+    monkeypatch.setattr(pii, "saved", watched)
+    pii.learn(docs, rounds=1)
+    n, rows = seen[0].selectExpr("sum(n)", "count(*)").first()
+    assert n == 2 * 20_500 and rows < 20
+
+
 def test_url_rules(spark):
     rng = random.Random(2)
     hosts = ["example.com", "WWW.Example.com", "m.www.example.com", "notexample.com", "casino-win.example.com", "a.net", "net", "free-bets.example.org", "com", "exÀmple.com", "", "u@x.com:80"]
