@@ -208,10 +208,7 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, r
             # A block's leaders are chosen salt by salt first, and given to each salt.
             heads = top_k(top_k(placed, ["t", "k", "salt"], order, LEADERS).drop("rank"), ["t", "k"], order, LEADERS)
             heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            a, b = (x.select("t", "k", "salt", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "fp", "n", "root")]) for x, n in ((placed, "a"), (heads, "b")))
-            # What is in one group already is not tried again.
-            met = a.join(b, ["t", "k", "salt"]).filter("root_a <> root_b")
-            edges = edges.union(_verified(documents, _close(met, radius, similarity), width, similarity))
+            edges = edges.union(_verified(documents, _led(placed, heads, radius, similarity), width, similarity))
         edges = saved(_star(edges))
         sets = saved(_sets(documents, full.select(F.col("id").alias("doc_id")), width))
         edges = edges.union(_agreeing(sets, saved(_prefix_pairs(sets, edges, similarity)), similarity))
@@ -239,13 +236,21 @@ def _paired(blocks: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, ["t", "k"]).filter("a > b").filter(_sizes_fit(similarity)).select("a", "b").distinct()
 
 
-def _close(pairs: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Pairs that sizes, pivot table and fingerprints leave; each once."""
-    tables = pairs.select("id_a", "id_b", "fp_a", "fp_b", "n_a", "n_b", pivot_table(F.col("fp_a")).alias("table_a"), pivot_table(F.col("fp_b")).alias("table_b"))
-    return (tables.filter(_sizes_fit(similarity))
-            .filter(pivot_gap(F.col("table_a"), F.col("table_b")) <= radius)
-            .filter(distance(F.col("fp_a"), F.col("fp_b")) <= radius)
-            .select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct())
+def _led(members: DataFrame, heads: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Pairs of members and leaders of their blocks that groups, sizes, pivot table and fingerprints leave; each once.
+
+    A block's leaders are one row, so a member meets them in one row a block; it keeps what may be similar, and what leads several of
+    its blocks once, before any pair is made.
+    """
+    leaders = heads.groupBy("t", "k", "salt").agg(F.collect_list(F.struct("id", "fp", "n", "root")).alias("leaders"))
+    fits = lambda h: (  # noqa: E731  what is in one group already is not tried again
+        (h["root"] != F.col("root")) & (F.least(h["n"], F.col("n")) >= F.greatest(h["n"], F.col("n")) * similarity)
+        & (distance(h["fp"], F.col("fp")) <= radius))
+    met = members.join(leaders, ["t", "k", "salt"]).select("id", "fp", F.filter("leaders", fits).alias("leaders")).filter(F.size("leaders") > 0)
+    close = lambda h: pivot_gap(pivot_table(h["fp"]), pivot_table(F.col("fp"))) <= radius
+    once = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders"), F.first("fp").alias("fp"))
+    pairs = once.select("id", F.explode(F.transform(F.filter("leaders", close), lambda h: h["id"])).alias("leader"))
+    return pairs.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
 
 
 def _prefix_pairs(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:

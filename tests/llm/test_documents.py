@@ -172,6 +172,31 @@ def test_near_copies_in_blocks_of_a_shared_passage(spark):
     same([tuple(r) for r in simhash.near_copies(spark.createDataFrame(made, "doc_id long, text string")).collect()], copies_by_force(made))
 
 
+def join_rows(df):
+    """Rows that the joins of an executed plan made."""
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        below = node.children()
+        own = [node.metrics().apply("numOutputRows").value()] if "Join" in name else []
+        return own + [n for i in range(below.size()) for n in walk(below.apply(i))]
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_members_meet_the_leaders_of_a_block_in_one_row(spark):
+    # 400 close texts share eight full blocks and their eight leaders; one leader is in the group of a member already, one is too short.
+    leaders = [(-i, i % 4, 100 if i < 8 else 50, 7 if i == 1 else -i) for i in range(1, 9)]
+    members = [(i, i % 3, 100, i) for i in range(1, 401)]
+    schema = "t int, k long, salt int, id long, fp long, n long, root long"
+    blocks = lambda rows: spark.createDataFrame([(t, 5, 0, *r) for t in range(8) for r in rows], schema)
+    got = simhash._led(blocks(members), blocks(leaders), 20, 0.8)
+    same([tuple(r) for r in got.collect()], [(m, h) for m, *_, g in members for h, _, n, root in leaders if root != g and n >= 80])
+    assert sum(join_rows(got)) == 8 * len(members)
+
+
 def test_near_copies_with_a_repeated_phrase(spark):
     rng = np.random.default_rng(7)
     fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
