@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +39,24 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and XXH64 of all words in a row; split and numbered in Arrow, so only distinct words become Python objects."""
+    # Words end at the same six blanks as in ``BLANKS``; the bytes need not be valid UTF-8.
+    split = pc.ascii_split_whitespace(pa.array([t.translate(_LOWER) for t in texts], pa.large_binary()).view(pa.large_string()))
+    flat = split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    sizes = np.diff(ends[np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)))])
+    numbered = flat.filter(full).dictionary_encode()
+    known = np.array([xxhash.xxh64_intdigest(w) for w in numbered.dictionary.view(pa.large_binary()).to_pylist()], _U)
+    return sizes, known[numbered.indices.to_numpy()]
+
+
 class Grams:
     """All n-grams of a batch: hash per order and place (0 where the text has no such n-gram), and each order's distinct hashes."""
 
     def __init__(self, texts: list[bytes], order: int):
-        split = [t.translate(_LOWER).split() for t in texts]
-        self.sizes = np.array([len(w) for w in split], np.int64)
-        known = {w: xxhash.xxh64_intdigest(w) for w in set().union(*split)}
-        get = known.__getitem__
-        one = np.array([h for w in split for h in map(get, w)], _U)
+        self.sizes, one = _word_hashes(texts)
         starts = np.cumsum(self.sizes) - self.sizes
         #: Place of each word in its text.
         self.place = np.arange(len(one)) - np.repeat(starts, self.sizes)
@@ -69,8 +79,9 @@ class Level:
     """Distinct n-grams of one order at the places ``at``, with their counts, and the totals once they are known."""
 
     def __init__(self, hashes: np.ndarray, at: np.ndarray):
-        self.at = at
-        self.keys, self.index, self.counts = np.unique(hashes[at], return_inverse=True, return_counts=True)
+        self.at, self.held = at, hashes[at]
+        # Which key stands at each place is worked out when totals come back; a question needs no more than this sort.
+        self.keys, self.counts = np.unique(self.held, return_counts=True)
 
     def cuts(self, n_buckets: int) -> list[int]:
         """Where each bucket's keys begin, and the end of the last: buckets are ranges of hashes, and the keys are sorted, so keys of one lie
@@ -85,7 +96,9 @@ class Level:
             if cuts[b] < cuts[b + 1] and base + b in replies:
                 total[cuts[b]:cuts[b + 1]] = _numbers(replies[base + b][place])
         out = np.zeros(len(self.at), np.int64)
-        out[self.at] = total[self.index]
+        order = np.argsort(self.held)
+        at = np.flatnonzero(self.at)
+        out[at[order]] = np.repeat(total, self.counts)
         return out
 
 

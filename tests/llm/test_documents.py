@@ -197,6 +197,24 @@ def test_members_meet_the_leaders_of_a_block_in_one_row(spark):
     assert sum(join_rows(got)) == 8 * len(members)
 
 
+def test_word_hashes_are_those_of_the_words():
+    rng = np.random.default_rng(8)
+    letters = [bytes([c]) for c in b" \t\n\x0b\x0c\r\x00\x1c\x1d\x85\xa0\xe3\x80AZaz\xff\xc3"]
+    for n in range(40):
+        texts = [b"".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(0, 30))) for _ in range(n % 6)]
+        split = [bytes(c + 32 if 65 <= c <= 90 else c for c in t).split() for t in texts]
+        sizes, hashes = ngrams._word_hashes(texts)
+        assert sizes.tolist() == [len(w) for w in split]
+        assert hashes.tolist() == [xxhash.xxh64_intdigest(x) for w in split for x in w]
+
+
+def test_questions_sort_no_places(monkeypatch):
+    # Only totals need the place of every key: a question must not pay for it.
+    monkeypatch.setattr(ngrams.np, "argsort", None)
+    level = ngrams.Grams([b"a b a", b"", b"b a b"], 2).level(2)
+    assert level.counts.tolist() == [2, 2] and not hasattr(level, "index")
+
+
 def test_near_copies_with_a_repeated_phrase(spark):
     rng = np.random.default_rng(7)
     fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
