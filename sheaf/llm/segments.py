@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -37,27 +38,51 @@ _U = np.uint64
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
 
 
-class Pieces:
+class Spellings:
+    """Bytes of each piece of a model: all that decoding needs."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self._read(sentencepiece.SentencePieceProcessor(model_file=path))
+
+    def _read(self, model) -> None:
+        self.bytes = []
+        for i in range(model.get_piece_size()):
+            s = model.id_to_piece(i)
+            if model.is_byte(i):
+                self.bytes.append(bytes([int(s[3:5], 16)]))
+            else:
+                self.bytes.append(s.replace(SPACE, " ").encode() if spelled(model, i) else b"")
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.joined = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+
+def spelled(model, i: int) -> bool:
+    """Whether a piece stands for characters."""
+    return not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
+
+
+class Pieces(Spellings):
     """A model's pieces: trie edges sorted by (node, character), piece and weight of each node, bytes of each piece."""
 
     def __init__(self, path: str, sharpness: float):
-        import sentencepiece
+        self.sharpness = sharpness
+        super().__init__(path)
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+    def _read(self, model) -> None:
+        super()._read(model)
+        sharpness = self.sharpness
         n = self.size = model.get_piece_size()
         self.first_byte = model.piece_to_id("<0x00>")
         next_node: dict[tuple[int, int], int] = {}
-        piece, self.bytes = [-1], []
+        piece = [-1]
         self.weight = np.zeros(n + 1)
         for i in range(n):
-            s = model.id_to_piece(i)
-            if model.is_byte(i):
-                self.bytes.append(bytes([int(s[3:5], 16)]))
+            if not spelled(model, i):
                 continue
-            if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.bytes.append(b"")
-                continue
-            self.bytes.append(s.replace(SPACE, " ").encode())
+            s = model.id_to_piece(i)
             if SPACE in s.lstrip(SPACE) or "\n" in s:
                 raise ValueError("a piece crosses the start of a word or a line")
             rank = -model.get_score(i)
@@ -72,10 +97,13 @@ class Pieces:
         self.longest = max(len(model.id_to_piece(i)) for i in range(n))
         keys = np.array([(a << 21) | c for a, c in next_node], _U)
         order = np.argsort(keys)
-        self.keys, self.next, self.piece = keys[order], np.array(list(next_node.values()))[order], np.array(piece)
-        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.joined = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.keys, self.next, self.piece = keys[order], np.array(list(next_node.values()), np.int32)[order], np.array(piece, np.int32)
+        # Nodes that lead on, and where each first character leads (0: nowhere).
+        self.inner = np.zeros(len(piece), bool)
+        self.inner[self.keys >> _U(21)] = True
+        self.first = np.zeros(0x200000, np.int32)
+        outset = int(np.searchsorted(self.keys, _U(1 << 21)))
+        self.first[self.keys[:outset]] = self.next[:outset]
 
 
 @lru_cache(maxsize=2)
@@ -84,6 +112,11 @@ def pieces_for(path: str, sharpness: float) -> Pieces:
     return Pieces(path, sharpness)
 
 
+@lru_cache(maxsize=2)
+def spellings_for(path: str) -> Spellings:
+    return Spellings(path)
+
+
 def units(text: str) -> list[str]:
     """Words with their leading blank, and line breaks, of a text with one blank put before it."""
     if not text:
@@ -102,58 +135,77 @@ class Lattices:
         lengths = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(lengths + 1) - 1
         self.first = ends - lengths
-        codes = np.full(int(ends[-1]) + 1 if len(words) else 0, 0x1FFFFF, np.int64)
+        codes = np.full(int(ends[-1]) + 1 if len(words) else 0, 0x1FFFFF, np.int32)
         inner = np.ones(len(codes), bool)
         inner[ends] = False
         codes[inner] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
         self.codes, self.is_end = codes, ~inner
-        starts, stops, ids = [], [], []
-        at = np.flatnonzero(inner)
-        state = np.zeros(len(at), np.int64)
-        alone = np.zeros(len(codes), bool)
+        nodes = np.flatnonzero(inner).astype(np.int32)
+        found = []
+        count = np.zeros(len(codes), np.int32)
+        state = pieces.first[codes[nodes]]
+        at = nodes[state > 0]
+        state = state[state > 0]
         for step in range(pieces.longest):
-            if not len(at):
+            if step:
+                on = pieces.inner[state]
+                at, state = at[on], state[on]
+                key = (state.astype(_U) << _U(21)) | codes[at + step].astype(_U)
+                i = np.searchsorted(pieces.keys, key)
+                i[i == len(pieces.keys)] = 0
+                ok = pieces.keys[i] == key
+                at, state = at[ok], pieces.next[i[ok]]
+            if step and not len(at):
                 break
-            key = (state.astype(_U) << _U(21)) | codes[at + step].astype(_U)
-            i = np.searchsorted(pieces.keys, key)
-            i[i == len(pieces.keys)] = 0
-            ok = pieces.keys[i] == key
-            at, state = at[ok], pieces.next[i[ok]]
             p = pieces.piece[state]
             has = p >= 0
-            starts.append(at[has])
-            stops.append(at[has] + step + 1)
-            ids.append(p[has])
+            found.append((at[has], p[has]))
+            count[at[has]] += 1
             if step == 0:
-                alone[at[has]] = True
-        bare = np.flatnonzero(inner & ~alone)
-        c = codes[bare]
-        n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-        start = np.concatenate([*starts, bare])
-        stop = np.concatenate([*stops, bare + 1])
-        # A byte of its own is a piece; longer characters are marked and written out later.
-        piece = np.concatenate([*ids, np.where(n_bytes == 1, pieces.first_byte + c, -1)])
-        weight = np.concatenate([*(pieces.weight[p] for p in ids), n_bytes * pieces.byte_weight])
-        # Nearest the end of their word first, so that a backward pass goes from front to back; of a node, long pieces first, as they
-        # are drawn most.
-        left = np.repeat(ends, lengths + 1)[start] - start
-        order = np.lexsort((-stop, start, left))
-        self.start, self.stop, self.piece, weight, left = start[order], stop[order], piece[order], weight[order], left[order]
-        heads = np.flatnonzero(np.r_[True, self.start[1:] != self.start[:-1]]) if len(order) else np.zeros(0, np.int64)
+                bare = inner.copy()
+                bare[at[has]] = False
+                bare = np.flatnonzero(bare).astype(np.int32)
+                count[bare] += 1
+        # Nodes nearest the end of their word first, so that a backward pass goes from front to back; of a node, long pieces first, as
+        # they are drawn most. Each step has one edge of a node at most, so edges are put in place step by step and never sorted.
+        left = (np.repeat(ends, lengths) - nodes).astype(np.int32)
+        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        nodes, left = nodes[order], left[order]
+        sizes = count[nodes]
+        tails = np.cumsum(sizes, dtype=np.int64)
+        heads = tails - sizes
+        total = int(tails[-1]) if len(tails) else 0
+        self.start = np.repeat(nodes, sizes)
+        self.stop, self.piece, weight = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
+        free = np.zeros(len(codes), np.int64)
+        free[nodes] = heads
+        while found:
+            at, p = found.pop()
+            to = free[at]
+            self.stop[to], self.piece[to], weight[to] = at + len(found) + 1, p, pieces.weight[p]
+            free[at] += 1
+        if len(nodes):
+            c, to = codes[bare], free[bare]
+            n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+            # A byte of its own is a piece; longer characters are marked and written out later.
+            self.stop[to], self.piece[to], weight[to] = bare + 1, np.where(n_bytes == 1, pieces.first_byte + c, -1), n_bytes * pieces.byte_weight
         beta = np.zeros(len(codes))
-        tails = np.r_[heads[1:], len(order)]
-        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(left[heads]) > 0]), len(heads)] if len(heads) else np.zeros(1, np.int64)
+        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(left) > 0]), len(heads)] if len(heads) else np.zeros(1, np.int64)
         for a, b in zip(cuts, cuts[1:]):
             lo, hi = heads[a], tails[b - 1]
             v = weight[lo:hi] + beta[self.stop[lo:hi]]
             h = heads[a:b] - lo
             top = np.maximum.reduceat(v, h)
-            total = np.add.reduceat(np.exp(v - np.repeat(top, tails[a:b] - heads[a:b])), h)
-            beta[self.start[heads[a:b]]] = top + np.log(total)
+            v -= np.repeat(top, sizes[a:b])
+            beta[nodes[a:b]] = top + np.log(np.add.reduceat(np.exp(v, out=v), h))
         # In whole steps of 2 ** -30, so that sums over a text are exact whatever else is in its batch.
-        self.log_p = np.round(np.minimum(weight + beta[self.stop] - beta[self.start], 0.0) * (1 << 30)) / (1 << 30)
-        self.rank = np.zeros(len(codes), np.int64)
-        self.rank[self.start[heads]] = np.arange(len(heads))
+        weight += beta[self.stop]
+        weight -= np.repeat(beta[nodes], sizes)
+        np.minimum(weight, 0.0, out=weight)
+        weight *= 1 << 30
+        self.log_p = np.divide(np.rint(weight, out=weight), 1 << 30, out=weight)
+        self.rank = np.zeros(len(codes), np.int32)
+        self.rank[nodes] = np.arange(len(nodes))
         self.heads, self.tails = heads, tails
         inside = np.exp(self.log_p)
         # Running sums inside each node, place by place.
@@ -229,11 +281,13 @@ def sample_texts(keys: list[int], texts: list[str], pieces: Pieces, k: int, seed
     """For every text a list of (ids, log probability, log inclusion), best perturbed score first; at most k, fewer where there
     are no more segmentations; one empty segmentation for an empty text."""
     split = [units(t) for t in texts]
-    names = list(dict.fromkeys(w for s in split for w in s))
-    number = {w: i for i, w in enumerate(names)}
-    lattices = Lattices(names, pieces)
-    sizes = np.array([len(s) for s in split], np.int64)
+    number: dict[str, int] = defaultdict()
+    number.default_factory = number.__len__
     kind = np.array([number[w] for s in split for w in s], np.int64)
+    number.default_factory = None  # It holds the dictionary, which would wait for the garbage collector.
+    lattices = Lattices(list(number), pieces)
+    del number
+    sizes = np.array([len(s) for s in split], np.int64)
     row_seed = np.array([xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed) for key in keys], _U)
     word_at = np.cumsum(sizes) - sizes
     place = np.arange(len(kind)) - np.repeat(word_at, sizes)
@@ -326,7 +380,7 @@ def _ids(lattices: Lattices, path: np.ndarray, pieces: Pieces) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def decode_ids(ids: np.ndarray, pieces: Pieces) -> bytes:
+def decode_ids(ids: np.ndarray, pieces: Spellings) -> bytes:
     """The text's UTF-8 bytes; the blank put before it is taken away. Gathers all pieces' bytes at once."""
     n = pieces.lengths[ids]
     index = np.arange(int(n.sum())) + np.repeat(pieces.starts[ids] - (np.cumsum(n) - n), n)
@@ -395,7 +449,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
     """Adds the text of an id column; null ids give null."""
     @F.pandas_udf("string")
     def run(column):
-        pieces = pieces_for(model, SHARPNESS)
+        pieces = spellings_for(model)
         return column.map(lambda x: None if x is None else decode_ids(np.asarray(x, np.int64), pieces).decode("utf-8", "replace"))
 
     return rows.withColumn(out, run(F.col(ids)))
@@ -409,13 +463,13 @@ def read_back(rows: DataFrame, model: str) -> DataFrame:
     names = [x.split()[0] for x in UNREAD.split(", ")]
 
     def run(batches):
-        pieces = pieces_for(model, SHARPNESS)
+        pieces = spellings_for(model)
         for b in batches:
             column = b.column(names.index("ids"))
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
             edges = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)))).tolist()
             digests = b.column(names.index("text_sha256")).to_pylist()
-            same = [_text_digest(decode_ids(flat[x:y], pieces)) == d for x, y, d in zip(edges, edges[1:], digests)]
+            same = [_text_digest(decode_ids(flat[x:y].astype(np.int64), pieces)) == d for x, y, d in zip(edges, edges[1:], digests)]
             yield pa.RecordBatch.from_arrays([*(c for n, c in zip(names, b.columns) if n != "text_sha256"), pa.array(same, pa.bool_())],
                                              names=[x.split()[0] for x in SCHEMA.split(", ")])
 

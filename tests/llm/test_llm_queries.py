@@ -1,5 +1,7 @@
 """Registered queries and the pipeline on the smallest tables."""
 
+import gc
+import tracemalloc
 import zlib
 
 import duckdb
@@ -51,6 +53,36 @@ def test_segments_are_returned_and_read_back(spark):
     assert {(r.doc_id, r.round_trip) for r in segments.read_back(torn, model).collect()} == {(1, True), (2, False)}
 
 
+def test_lattices_take_little_memory(spark):
+    P = pytest.importorskip("public_tokenizers")
+    model = P.path("piece_bpe_32k.model")
+    pieces = segments.pieces_for(model, 1.0)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    words = list(dict.fromkeys(w for t in texts for w in segments.units(t)))
+    tracemalloc.start()
+    lattices = segments.Lattices(words, pieces)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # Sorting edges took some 150 bytes of each (10 ** 5 edges or more: arrays outweigh all else).
+    assert len(lattices.start) > 10 ** 5 and most < 100 * len(lattices.start)
+    # A node's edges stand together, long ones first, and end inside its word.
+    start, stop = lattices.start, lattices.stop
+    assert ((np.diff(start) != 0) | (np.diff(stop) < 0)).all() and not lattices.is_end[start].any()
+    # Decoding needs no trie.
+    assert not hasattr(segments.spellings_for(model), "keys")
+    ids = segments.sample_texts([7], ["caf\u00e9 \U0001F600 x"], pieces, 1)[0][0][0]
+    assert segments.decode_ids(ids, segments.spellings_for(model)).decode() == "caf\u00e9 \U0001F600 x"
+    # Words of a piece go as soon as it is done.
+    gc.disable()
+    try:
+        tracemalloc.start()
+        segments.sample_texts(list(range(len(texts))), texts, pieces, 2)
+        assert tracemalloc.get_traced_memory()[0] < 10 * len(words)
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r.doc_id for r in docs.collect()}
