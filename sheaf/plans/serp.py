@@ -147,9 +147,11 @@ def _(t):
              chr(10) || chr(10) ORDER BY position) AS context
     FROM (SELECT s.query_id, s.position, s.title, s.url, x.content FROM serp_top s JOIN texts x ON x.page_id = s.pos) GROUP BY 1""", "serp_top texts")
 def _(t):
-    texts = t.pages.select(F.col("page_id").alias("pos"), F.lit("").alias("markdown"),
-                           H.text_of(H.text_pieces(H.clean("html"))).alias("content"))
-    return s.context_from_pages(s.federated_search(t.queries, serp_all(t)).join(texts, "pos"))
+    # Only pages that were found go to the cleaner, so its work follows the results and not the table.
+    pages = t.pages.select(F.col("page_id").alias("pos"), "html")
+    found = s.federated_search(t.queries, serp_all(t)).join(pages, "pos")
+    return s.context_from_pages(found.select("query_id", "position", "title", "url", F.lit("").alias("markdown"),
+                                             H.text_of(H.text_pieces(H.clean("html"))).alias("content")))
 
 
 @query("no_result_flag", """

@@ -55,3 +55,9 @@ def test_without_sql(spark, name):
     df = QUERIES[name](spark, SF)
     check_plan(df, name)
     assert df.count() > 0
+
+
+def test_context_cleans_only_the_pages_found(spark):
+    plan = plans.queries()["context_from_pages"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # Trees are written from the top: the cleaner stands above the join with the results.
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Join")
