@@ -77,6 +77,11 @@ def stream_rate_counts(events: DataFrame, window: str = "60 seconds", slide: str
 
 # --- page cache --------------------------------------------------------------------------------------
 
+#: Rows of a stream of fetches as they reach the state; by place, as looking up names costs time at every row.
+_CACHED = ("url", "ts", "us", "fetch_id")
+_US, _FETCH = _CACHED.index("us"), _CACHED.index("fetch_id")
+
+
 class _Latest(StatefulProcessor):
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
@@ -86,11 +91,16 @@ class _Latest(StatefulProcessor):
         self.entry = handle.getValueState("entry", StructType([StructField("us", LongType()), StructField("fetch_id", LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        best = max((r.us, r.fetch_id) for r in rows)
-        held = self.entry.get() if self.entry.exists() else None
+        best = max((r[_US], r[_FETCH]) for r in rows)
+        # Every call to the state is a round trip: one read tells of an entry, and where there is none no timer waits.
+        held = self.entry.get()
         if held is None or best > (held[0], held[1]):
             self.entry.update(best)
-            _wake_at(self.handle, max(best[0] // 1000 + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+            wake = max(best[0] // 1000 + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            if held is None:
+                self.handle.registerTimer(wake)
+            else:
+                _wake_at(self.handle, wake)
             yield Row(url=key[0], us=best[0], fetch_id=best[1])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
@@ -104,7 +114,7 @@ class _Latest(StatefulProcessor):
 def stream_page_cache(fetches: DataFrame, ttl_s: int = 3600) -> DataFrame:
     """Newest fetch per URL (url, ts, fetch_id); an entry goes once the stream is ``ttl_s`` past it."""
     out = StructType([StructField("url", StringType()), StructField("us", LongType()), StructField("fetch_id", LongType())])
-    live = fetches.withWatermark("ts", f"{ttl_s} seconds").withColumn("us", F.unix_micros("ts"))
+    live = fetches.withWatermark("ts", f"{ttl_s} seconds").withColumn("us", F.unix_micros("ts")).select(*_CACHED)
     newest = live.groupBy("url").transformWithState(_Latest(ttl_s * 1000), out, "append", "EventTime")
     return newest.select("url", F.timestamp_micros("us").alias("ts"), "fetch_id")
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sheaf import plans
@@ -62,6 +63,49 @@ def test_page_cache(spark, split):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_page_cache_asks_its_state_little():
+    calls, timers, value = [], set(), []
+
+    class Entry:
+        def exists(self):
+            calls.append("exists")
+            return bool(value)
+
+        def get(self):
+            calls.append("get")
+            return value[-1] if value else None
+
+        def update(self, x):
+            calls.append("update")
+            value.append(x)
+
+        def clear(self):
+            value.clear()
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: Entry())
+        registerTimer = staticmethod(lambda ms: (calls.append("timer"), timers.add(ms)))
+        deleteTimer = staticmethod(lambda ms: (calls.append("timer"), timers.discard(ms)))
+        listTimers = staticmethod(lambda: (calls.append("list"), sorted(timers))[1])
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    cache = s._Latest(1000)
+    cache.init(Handle())
+    row = Row("url", "ts", "us", "fetch_id")
+    put = lambda *pairs: list(cache.handleInputRows(("u",), iter([row("u", None, us, i) for us, i in pairs]), Times()))
+    assert put((5000, 1), (7000, 2), (7000, 3)) == [Row(url="u", us=7000, fetch_id=3)]
+    assert calls == ["get", "update", "timer"] and timers == {1007}
+    # A newer fetch moves the one timer, an older one changes nothing.
+    assert put((9000, 4)) == [Row(url="u", us=9000, fetch_id=4)] and timers == {1009}
+    assert put((8000, 9)) == [] and timers == {1009} and value[-1] == (9000, 4)
+    # Gone with its timer, an entry starts anew.
+    timers.clear()
+    assert list(cache.handleExpiredTimer(("u",), Times(), None)) == [] and not value
+    assert put((1000, 5)) == [Row(url="u", us=1000, fetch_id=5)] and timers == {1001}
+
+
 def test_refetches_dropped(spark, split):
     stream = live(spark, split, "events").select(F.col("user_id").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
     got = run_available(s.suppress_refetches(stream, "100 days"), "refetch")
