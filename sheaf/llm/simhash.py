@@ -9,8 +9,8 @@ Pairs are brought together in blocks. ``link`` (small radii) blocks by bit group
 fingerprints within r bits agree on two whole groups at least, so nothing is lost. Blocks too full to be
 paired are searched another exact way: every fingerprint in them is filed under itself and its 64 neighbours at
 one bit, and two fingerprints within two bits meet in one of these; each is linked to the smallest it meets.
-``near_copies`` (similarity of shingle sets) blocks by minima of independent permutations of the shingle hashes; members of
-full blocks meet in prefixes of their shingles, rarest first, which lose nothing.
+``near_copies`` (similarity of shingle sets) joins what is easily joined in blocks by minima of independent permutations of the shingle
+hashes; then all sets meet in prefixes of their shingles, which lose nothing.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ PIVOTS = 16
 FULL = 64
 #: Turns over full blocks in ``near_copies`` that join what is easily joined before the prefixes, and leaders in each.
 TURNS, LEADERS = 3, 8
+#: Hashes kept behind a prefix, in parts of it and in number, for what the prefix gives up to the end of the order.
+SPARE, SPARE_ROWS = 0.5, 16
+#: Keeps products of whole numbers and a similarity from passing the next whole number.
+GUARD = 1e-9
 #: Members of a full block that one task meets its leaders with.
 SALTED = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -70,17 +74,17 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(documents: DataFrame, width: int, minima: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(documents: DataFrame, width: int, minima: int = 0, key: str = "doc_id", text: str = "text", share: float = 0.0) -> DataFrame:
     """(doc_id, fp, n_shingles, minima, digest) per row; ``minima`` smallest values under as many odd multipliers.
 
     With ``minima``, all of it is taken from the distinct shingles, and digest is that of their set; without, a shingle counts as often
-    as it occurs and digest is null.
+    as it occurs and digest is null. With ``minima`` and ``share``, also least: that share of the set and ``SPARE_ROWS`` more hashes, smallest first.
     """
     factors = np.array([(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 7) | 1) for i in range(minima)], np.uint64)
 
     def run(batches):
         for batch in batches:
-            fps, sizes, keys, digests = [], [], [], []
+            fps, sizes, keys, digests, least = [], [], [], [], [np.zeros(0, "<u8")]
             for x in batch.column(1):
                 h = shingles_of(x.as_py() or "", width)
                 if minima:
@@ -88,15 +92,20 @@ def fingerprints(documents: DataFrame, width: int, minima: int = 0, key: str = "
                     digests.append(xxhash.xxh3_128_digest(h))
                     with np.errstate(over="ignore"):
                         keys.append([int((h * f).min().astype(np.int64)) for f in factors] if len(h) else [])
+                    if share:
+                        least.append(h[:int(share * len(h)) + SPARE_ROWS])
                 fps.append(fingerprint(h))
                 sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(keys if minima else [[]] * len(fps), pa.list_(pa.int64())), pa.array(digests if minima else [None] * len(fps), pa.binary())],
-                names=["doc_id", "fp", "n_shingles", "minima", "digest"])
+            columns = {"doc_id": batch.column(0), "fp": pa.array(fps, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()),
+                       "minima": pa.array(keys if minima else [[]] * len(fps), pa.list_(pa.int64())),
+                       "digest": pa.array(digests if minima else [None] * len(fps), pa.binary())}
+            if share:
+                ends = np.cumsum([len(x) for x in least], dtype=np.int32)
+                columns["least"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(least).view(np.int64)))
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, n_shingles long, minima array<long>, digest binary")
+    return rows.mapInArrow(run, "doc_id long, fp long, n_shingles long, minima array<long>, digest binary" + (", least array<long>" if share else ""))
 
 
 def pivot_table(fp: Column, n: int = PIVOTS) -> Column:
@@ -173,14 +182,15 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, r
     """(doc_id, keeper): rows whose shingle set is reachable over links of Jaccard similarity >= ``similarity``; keeper is
     the smallest id of the group. Rows alone are left out; rows without a word and rows with a null id link to nothing.
 
-    Texts with equal shingle sets meet by a digest of the set. The rest meet where one of ``minima`` minima agrees (a pair at 0.8
-    is missed with probability 0.2 ** 8, whatever its length) and are verified on their whole shingle sets if their sizes allow the
-    similarity; no fingerprint discards a pair. Blocks with over ``FULL`` members are not paired off, as a group of n near copies has up to
-    n * n / 2 links. Their members meet by ``_prefix_pairs`` instead, which loses nothing, and only where no link
-    joins them yet. Before that, ``TURNS`` turns join what is easily joined: every member is tried against ``LEADERS``
-    members of its block (first those with most copies and in most full blocks, then by hash) whose fingerprints are within ``radius`` bits.
+    Texts with equal shingle sets meet by a digest of the set. The rest meet in two steps, and every pair is verified on its whole shingle sets
+    if their sizes allow the similarity. The first step joins nearly all that is similar at little cost: texts meet where one of ``minima`` minima
+    agrees. Its blocks with over ``FULL`` members are not paired off, as a group of n near copies has up to n * n / 2 links; ``TURNS`` turns try every
+    member against ``LEADERS`` members of its block (first those with most copies and in most full blocks, then by hash) whose fingerprints
+    are within ``radius`` bits. The second step loses nothing, whatever the first has found: all sets meet in prefixes of their shingles
+    (``_in_prefixes``) where no link joins them yet, and sets in prefix blocks of over ``FULL`` members by ``_prefix_pairs``.
     """
-    rows = saved(fingerprints(documents, width, minima).filter("doc_id is not null and n_shingles > 0"))
+    share = (1 + SPARE) * (1 - similarity)
+    rows = saved(fingerprints(documents, width, minima, share=share).filter("doc_id is not null and n_shingles > 0"))
     # Keep one of each set and tie the others to it.
     firsts = saved(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("fp").alias("fp"),
                                               F.first("n_shingles").alias("n"), F.first("minima").alias("minima")))
@@ -193,7 +203,8 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, r
     # One row per member of full blocks, with its blocks beside it.
     full = saved(shared.filter(f"size > {FULL}").groupBy("id").agg(
         *[F.first(c).alias(c) for c in ("copies", "fp", "n")], F.collect_list(F.struct("t", "k", "size")).alias("blocks"), F.count(F.lit(1)).alias("n_full")))
-    edges = _verified(documents, _paired(shared.filter(f"size <= {FULL}"), similarity), width, similarity)
+    nodes = rows.select(F.col("doc_id").alias("id"), "digest", F.col("n_shingles").alias("n"), "least")
+    edges = _verified(documents, nodes, _paired(shared.filter(f"size <= {FULL}"), similarity), width, similarity)
     if not full.isEmpty():
         # The text that others were copied from often has whole copies too, and shares more blocks with them than they do with each
         # other: such members lead first.
@@ -208,10 +219,17 @@ def near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, r
             # A block's leaders are chosen salt by salt first, and given to each salt.
             heads = top_k(top_k(placed, ["t", "k", "salt"], order, LEADERS).drop("rank"), ["t", "k"], order, LEADERS)
             heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            edges = edges.union(_verified(documents, _led(placed, heads, radius, similarity), width, similarity))
-        edges = saved(_star(edges))
-        sets = saved(_sets(documents, full.select(F.col("id").alias("doc_id")), width))
-        edges = edges.union(_agreeing(sets, saved(_prefix_pairs(sets, edges, similarity)), similarity))
+            edges = edges.union(_verified(documents, nodes, _led(placed, heads, radius, similarity), width, similarity))
+    edges = saved(_star(edges))
+    # Ids alone: what goes to the hashes is small, and they stay where they are.
+    kept = saved(firsts.select(F.col("first").alias("id")).distinct())
+    placed = saved(_in_prefixes(documents, _rooted(nodes.join(kept, "id", "left_semi"), edges), width, similarity))
+    links = _verified(documents, nodes, _met(placed.filter(f"size <= {FULL}"), similarity), width, similarity)
+    crowded = saved(placed.filter(f"size > {FULL}").select(F.col("id").alias("doc_id")).distinct())
+    if not crowded.isEmpty():
+        sets = saved(_sets(documents, crowded, width))
+        links = links.union(_agreeing(sets, saved(_prefix_pairs(sets, edges, similarity)), similarity))
+    edges = edges.union(links)
     groups = components(edges.union(copies))
     return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
 
@@ -253,6 +271,60 @@ def _led(members: DataFrame, heads: DataFrame, radius: int, similarity: float) -
     return pairs.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
 
 
+def _last(similarity: float) -> Column:
+    """Place of the last shingle in the prefix of a set of n, from 0, by which it meets smaller sets; see ``_prefix_pairs``."""
+    return F.col("n") - F.ceil(F.col("n") * similarity - GUARD)
+
+
+def _is_short(similarity: float) -> Column:
+    """Whether a place is in the shorter prefix, by which a set of n meets larger ones."""
+    return F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * similarity / (1 + similarity) - GUARD)
+
+
+def _in_prefixes(documents: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(k, id, n, root, at, short, size): shingles k that ``size`` > 1 prefixes of ``nodes(id, digest, n, root, least)`` hold, and their places.
+
+    Any one order of all shingles makes prefixes that lose nothing (``_prefix_pairs``). This one needs no counts of all shingles: it goes by hash,
+    but shingles that over ``FULL`` prefixes by hash alone would hold come last. A set gives those up for its next hashes; one whose ``least``
+    hold too few is read again as a whole.
+    """
+    prefix = (_last(similarity) + 1).cast("int")
+    common = saved(nodes.select(F.explode(F.slice("least", F.lit(1), prefix)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("df"))
+                   .filter(f"df > {FULL}").select("k"))
+
+    def ordered(sets: DataFrame) -> DataFrame:
+        held = saved(sets.select("id", F.explode("least").alias("k")).join(common, "k", "left_semi").groupBy("id").agg(F.collect_set("k").alias("held")))
+        both = sets.join(held, "id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<long>")))
+        return both.withColumn("rare", F.array_except("least", "held")).withColumn("least", F.concat("rare", F.array_intersect("least", "held")))
+
+    whole = (F.size("rare") >= prefix) | (F.size("least") >= F.col("n"))
+    near = ordered(nodes)
+    lacking = saved(near.filter(~whole).select("id", "digest", "n", "root"))
+    sets = near.filter(whole).select("id", "n", "root", "least")
+    if not lacking.isEmpty():
+        texts = documents.join(lacking.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        again = fingerprints(texts, width, 1, share=1.0).select(F.col("doc_id").alias("id"), "digest", "least")
+        sets = sets.union(ordered(saved(lacking.join(again, ["id", "digest"]))).select("id", "n", "root", "least"))
+    places = sets.select("id", F.posexplode(F.slice("least", F.lit(1), prefix)).alias("at", "k"))
+    # Most shingles are in one prefix only and go before anything is added to them.
+    sized = places.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("k"))).filter("size > 1").join(nodes.select("id", "n", "root"), "id")
+    return sized.select("k", "id", "n", "root", "at", _is_short(similarity).alias("short"), "size")
+
+
+def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) in the blocks of ``prefixes(k, id, n, root, at, short)`` that may have the similarity and are in different groups; each once."""
+    a, b = (prefixes.select("k", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "root", "at", "short")]) for x in "ab")
+    met = a.join(b.filter("short_b"), "k").filter(_may_agree(similarity))
+    return met.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+
+
+def _may_agree(similarity: float) -> Column:
+    """What groups, sizes and places of a shared shingle leave of pairs of a larger set a and a smaller set b."""
+    return (F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "id_a") > F.struct("n_b", "id_b")) & _sizes_fit(similarity) & (
+        F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        >= F.ceil((F.col("n_a") + F.col("n_b")) * similarity / (1 + similarity) - GUARD))
+
+
 def _prefix_pairs(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of ``sets(doc_id, s)`` that may have the similarity t and are not in one group of the star ``edges``; lossless.
 
@@ -261,7 +333,6 @@ def _prefix_pairs(sets: DataFrame, edges: DataFrame, similarity: float) -> DataF
     the smaller, and at least o - 1 shingles are behind it in both. Members that are joined already are not tried against
     each other: in each prefix block, the members outside its largest group are tried against all, the group's own only against these.
     """
-    share = similarity / (1 + similarity)
     sized = _rooted(sets.select(F.col("doc_id").alias("id"), F.size("s").alias("n"), "s"), edges)
     words_ = saved(sized.select("id", "n", "root", F.explode("s").alias("k")))
     # A shingle of one set only brings no pair, but takes its place in the order.
@@ -269,17 +340,14 @@ def _prefix_pairs(sets: DataFrame, edges: DataFrame, similarity: float) -> DataF
     known = words_.join(counts, "k")
     at_id = W.partitionBy("id")
     placed = known.withColumn("at", F.row_number().over(at_id.orderBy("df", "k")) - 1 + F.col("n") - F.count(F.lit(1)).over(at_id))
-    guard = 1e-9
-    prefix = saved(placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - guard))
-                   .select("k", "id", "n", "root", "at", (F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * share - guard)).alias("short")))
+    prefix = saved(placed.filter(F.col("at") <= _last(similarity)).select("k", "id", "n", "root", "at", _is_short(similarity).alias("short")))
     groups = prefix.groupBy("k", "root").agg(F.count(F.lit(1)).alias("members"))
     largest = (groups.groupBy("k").agg(F.max_by("root", F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("groups"))
                .filter("groups > 1").drop("groups"))
     split = saved(prefix.join(largest, "k").withColumn("inside", F.col("root") == F.col("major")).drop("major"))
     a, b = (split.select("k", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "root", "at", "short", "inside")]) for x in "ab")
     b = b.filter("short_b").drop("short_b")
-    fit = (F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "id_a") > F.struct("n_b", "id_b")) & _sizes_fit(similarity) & (
-        F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.ceil((F.col("n_a") + F.col("n_b")) * share - guard))
+    fit = _may_agree(similarity)
     met = a.filter("not inside_a").join(b, "k").filter(fit).unionByName(a.filter("inside_a").join(b.filter("not inside_b"), "k").filter(fit))
     return met.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
 
@@ -292,10 +360,31 @@ def _sets(documents: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     return texts.select("doc_id", F.array_distinct(shingle_hashes(F.col("w"), width)).alias("s"))
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs whose distinct shingles have the Jaccard similarity; only texts of some pair are read into it."""
-    pairs = saved(pairs)
-    asked = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def _asked(pairs: DataFrame) -> DataFrame:
+    """(id) of either end of ``pairs(a, b)``, once."""
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _likely(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose smallest hashes in ``nodes(id, n, least)`` agree as far as the similarity asks; lossless.
+
+    Two sets of n and m shingles with o shingles in common have l or more in common among the first n - o + l of the one and the first
+    m - o + l of the other, in any one order. l is as large as the hashes at hand allow, and o as in ``_prefix_pairs``.
+    """
+    # No more hashes than a prefix and some are moved for a pair.
+    kept = F.slice("least", F.lit(1), (_last(similarity) + SPARE_ROWS).cast("int"))
+    hashes = saved(nodes.join(saved(_asked(pairs)), "id", "left_semi").select("id", "n", kept.alias("h")))
+    a, b = (hashes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("h").alias(f"h_{x}")) for x in "ab")
+    more_a, more_b = (F.col(f"n_{x}") - F.ceil((F.col("n_a") + F.col("n_b")) * similarity / (1 + similarity) - GUARD) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("l", F.least(F.size("h_a") - more_a, F.size("h_b") - more_b).cast("int"))
+    first_a, first_b = (F.slice(f"h_{x}", F.lit(1), F.greatest(more + F.col("l"), F.lit(0)).cast("int")) for x, more in (("a", more_a), ("b", more_b)))
+    return both.filter(F.size(F.array_intersect(first_a, first_b)) >= F.col("l")).select("a", "b").distinct()
+
+
+def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs whose distinct shingles have the Jaccard similarity; only texts of some likely pair are read into it."""
+    pairs = saved(_likely(nodes, saved(pairs), similarity))
+    asked = saved(_asked(pairs).select(F.col("id").alias("doc_id")))
     return _agreeing(saved(_sets(documents, asked, width)), pairs, similarity)
 
 

@@ -228,6 +228,48 @@ def test_near_copies_with_a_repeated_phrase(spark):
     same([tuple(r) for r in got.collect()], [(i, i - i % 3) for i, _ in made])
 
 
+def test_near_copies_that_share_no_minimum(spark):
+    """A word is changed in every shingle that is a minimum of the first text: no block by minima holds both, yet 0.9 of their shingles agree."""
+    rng = np.random.default_rng(9)
+    made = []
+    for i in range(3):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 1200)]
+        h = simhash.shingles_of(" ".join(w), 5)
+        factors = [np.uint64(xxhash.xxh64_intdigest(f.to_bytes(8, "little"), 7) | 1) for f in range(8)]
+        copy = list(w)
+        for f in factors:
+            copy[int((h * f).argmin()) + 2] = f"new{i}"
+        made += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
+    documents = spark.createDataFrame(made, "doc_id long, text string")
+    minima = {r.doc_id: r.minima for r in simhash.fingerprints(documents, 5, 8).collect()}
+    assert all(x != y for i in range(3) for x, y in zip(minima[2 * i], minima[2 * i + 1]))
+    same([tuple(r) for r in simhash.near_copies(documents).collect()], [(i, i - i % 2) for i in range(6)])
+
+
+@pytest.mark.parametrize("full, spare", [(64, 0.5), (3, 0.5), (3, 0.0)])
+def test_prefixes_lose_no_pair(spark, monkeypatch, full, spare):
+    """Without minima all links come from prefixes: small and crowded blocks, sets that give most of their prefix up and are read again."""
+    monkeypatch.setattr(simhash, "FULL", full)
+    monkeypatch.setattr(simhash, "SPARE", spare)
+    monkeypatch.setattr(simhash, "SPARE_ROWS", 2)
+    rng = np.random.default_rng(10)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    lines, made = [fresh(int(n)) for n in rng.integers(5, 60, 6)], []
+    for i in range(60):
+        w = fresh(int(rng.integers(1, 120)))
+        for j in rng.integers(0, 6, rng.integers(0, 4)):
+            w += lines[j]
+        for c in range(int(rng.integers(1, 4))):
+            made.append((len(made), " ".join(w)))
+            for j in rng.integers(0, len(w), max(1, len(w) // 60)):
+                w[j] = f"new{i}x{c}x{j}"
+    made = [(d, t) for d, t in made if len(t.split()) >= 5]
+    want = copies_by_force(made)
+    assert len(want) > 40
+    rows = spark.createDataFrame(made, "doc_id long, text string")
+    same([tuple(r) for r in simhash.near_copies(rows, minima=1).collect()], want)
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = {(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))} | {(i, i + 1) for i in range(300, 340)}
