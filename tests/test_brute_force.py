@@ -63,6 +63,23 @@ def test_keyword_search(spark):
     assert r.keyword_page_search(long, qdf.limit(0)).collect() == []
 
 
+def test_each_word_of_a_block_is_searched_once(spark, monkeypatch):
+    """What is searched are the distinct words of blocks of text, not those of every page; windows get the same counts in any blocks."""
+    rng = random.Random(4)
+    vocab = ["alpha", "Beta", "gammadelta", "x", "delta\tma", "omega", "tab\u00a0bed"]
+    rows = [(doc, p, " ".join(rng.choice(vocab) for _ in range(8))) for doc in range(60) for p in range(1, 16)] + [(99, 1, None), (99, 2, "")]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, content string")
+    wanted = [(1, "alpha"), (1, "madel"), (2, "x"), (2, "ta"), (3, "bed"), (3, "nowhere"), (4, "gammadeltas")]
+    want = sorted((q, doc, win, n) for q in (1, 2, 3, 4) for doc in range(60) for win in (0, 1)
+                  for n in [sum(t in "\n".join(x for d, p, x in rows if d == doc and (p - 1) // 10 == win).lower() for k, t in wanted if k == q)] if n)
+    searched, held = [], r._held
+    monkeypatch.setattr(r, "_held", lambda words_, numbered: searched.append(words_.count()) or held(words_, numbered))
+    for block_bytes, most in ((1 << 20, 4), (5_000, 16)):
+        got = r._substring_scores(pages, spark.createDataFrame(wanted, "query_id long, term string"), 10, block_bytes)
+        assert sorted((x.query_id, x.doc_id, x.win, x.score) for x in got.collect()) == want
+        assert searched[-1] <= most * len(vocab)
+
+
 def test_scoring_tasks_grow_with_rows(spark):
     """What one task scores is bounded: more rows take more tasks, and a window's words are counted where they meet, without moving again."""
     rows = [(doc, 1, f"w{doc % 5} w{doc % 3} all") for doc in range(200)]
