@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.skew import scalar_count, top_k
 from ..functions.text import joined
 
 #: Corpus vectors that serve as centres of cells and give each query a first bound: a sample by hash of the id.
 PIVOTS = 256
-#: Rows of one side of a pair of blocks.
+#: Rows that are placed, or given their floors, at once.
 BLOCK_ROWS = 8192
+#: Such blocks on one side of a pair: rows move as often as the other side has pairs, so more of them mean less to move.
+PAIR_BLOCKS = 8
 #: Queries of a block whose products with the items of another are held at once.
 PRODUCT_ROWS = 256
 #: Scores are rounded to six digits; bounds are loosened by more than that.
@@ -35,19 +40,21 @@ def _empty(*columns: str) -> pd.DataFrame:
 
 
 def _best(wanted: pd.DataFrame, items: pd.DataFrame, k: int, normalise: bool, skip_same: bool) -> pd.DataFrame:
-    """Top k items at or over its floor per query inside one pair of blocks, ties by item id."""
+    """Top k items at or over its floor per query inside one pair of blocks, ties by item id; ``at`` is the query's place in ``wanted``."""
     if not len(items) or not len(wanted):
-        return _empty("query_id", "item_id", "score")
+        return _empty("query_id", "item_id", "score", "at")
     q, m = _matrix(wanted["embedding"]), _matrix(items["embedding"])
     if normalise:
         q, m = _unit(q), _unit(m)
     item_ids, query_ids, least = items["item_id"].to_numpy(), wanted["query_id"].to_numpy(), wanted["floor"].to_numpy()
-    ids, hits, scores = [], [], []
+    ids, hits, scores, places = [], [], [], []
     # A few queries at a time: the product of two whole blocks would take half a gigabyte.
     for at in range(0, len(q), PRODUCT_ROWS):
-        sims = np.round(q[at:at + PRODUCT_ROWS] @ m.T, 6)
-        for s, query_id, floor in zip(sims, query_ids[at:], least[at:]):
-            keep = np.flatnonzero((s >= floor) & ((item_ids != query_id) | (not skip_same)))
+        sims = q[at:at + PRODUCT_ROWS] @ m.T
+        # Most rows have nothing near their floor and are not looked at again.
+        for i in np.flatnonzero(sims.max(1) >= least[at:at + PRODUCT_ROWS] - SLACK):
+            s, query_id = np.round(sims[i], 6), query_ids[at + i]
+            keep = np.flatnonzero((s >= least[at + i]) & ((item_ids != query_id) | (not skip_same)))
             if len(keep) > k:
                 edge = np.partition(s[keep], len(keep) - k)[len(keep) - k]
                 keep = keep[s[keep] >= edge]
@@ -55,7 +62,37 @@ def _best(wanted: pd.DataFrame, items: pd.DataFrame, k: int, normalise: bool, sk
             ids.append(np.full(len(keep), query_id))
             hits.append(item_ids[keep])
             scores.append(s[keep])
-    return pd.DataFrame({"query_id": np.concatenate(ids), "item_id": np.concatenate(hits), "score": np.concatenate(scores)})
+            places.append(np.full(len(keep), at + i))
+    if not ids:
+        return _empty("query_id", "item_id", "score", "at")
+    return pd.DataFrame({"query_id": np.concatenate(ids), "item_id": np.concatenate(hits), "score": np.concatenate(scores), "at": np.concatenate(places)})
+
+
+def _best_of_cells(wanted: pd.DataFrame, items: pd.DataFrame, k: int, normalise: bool, skip_same: bool) -> pd.DataFrame:
+    """``_best`` of the queries over the ``cells`` that each visits; what a query has found in one cell is its floor in the next."""
+    if not len(items) or not len(wanted):
+        return _empty("query_id", "item_id", "score")
+    visits = wanted["cells"].to_numpy()
+    rows, cells = np.repeat(np.arange(len(wanted)), [len(c) for c in visits]), np.concatenate(visits)
+    floors, top, found = wanted["floor"].to_numpy().copy(), np.full((len(wanted), k), -np.inf), []
+    for cell, held in items.groupby("cell"):
+        here = rows[cells == cell]
+        if not len(here):
+            continue
+        hits = _best(wanted.iloc[here].assign(floor=floors[here]), held, k, normalise, skip_same)
+        if not len(hits):
+            continue
+        hits = hits.assign(at=here[hits["at"].to_numpy(dtype=np.int64)])
+        found.append(hits)
+        at, score = hits["at"].to_numpy(), hits["score"].to_numpy(dtype=np.float64)
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        for i, s in zip(at[np.concatenate(([0], cuts))], np.split(score, cuts)):
+            top[i] = np.sort(np.concatenate((top[i], s)))[-k:]
+            floors[i] = max(floors[i], top[i][0])
+    if not found:
+        return _empty("query_id", "item_id", "score")
+    hits = pd.concat(found)
+    return hits[hits["score"].to_numpy(dtype=np.float64) >= floors[hits["at"].to_numpy(dtype=np.int64)]][["query_id", "item_id", "score"]]
 
 
 def _in_blocks(rows: DataFrame, key: str, pivots: DataFrame, block_rows: int, work, schema: str) -> DataFrame:
@@ -76,13 +113,16 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, *, threshold: flo
     largest distance of its items to the centre. A query's k-th best score among the centres, which are items themselves, is a floor
     that its answer cannot fall below. No item of a cell can score more than the centre's score plus the query's length times the
     cell's radius, so a query visits only the cells where that reaches its floor; items of cells that no query visits are
-    dropped before they move. Cells are cut into pieces and queries into parts of about ``block_rows`` rows, so a cell that holds
-    a third of all items is many tasks. One plan, nothing runs before the result is asked for. Vectors that are null or hold nulls
+    dropped before they move. Cells stand on shelves of at most about ``PAIR_BLOCKS * block_rows`` items, large cells on several, and queries are cut
+    into parts of as many rows: a query goes to a shelf once, with the cells it visits there, and an item to a part once. A cell that holds
+    a third of all items is many tasks. Vectors move as they are stored; products are of doubles. One plan, nothing runs before the result is asked for. Vectors that are null or hold nulls
     count as absent; a query without any hit has no row.
     """
     whole = "embedding is not null and not exists(embedding, x -> x is null)"
-    items = corpus.select(F.col("item_id").cast("long").alias("item_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(whole)
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(whole)
+    floats = all(x.schema["embedding"].dataType == T.ArrayType(T.FloatType(), x.schema["embedding"].dataType.containsNull) for x in (corpus, queries))
+    vector = "array<float>" if floats else "array<double>"
+    items = corpus.select(F.col("item_id").cast("long").alias("item_id"), F.col("embedding").cast(vector).alias("embedding")).filter(whole)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast(vector).alias("embedding")).filter(whole)
     centres = items.orderBy(F.xxhash64("item_id"), "item_id").limit(max(pivots, 1))
 
     def centre_matrix(near: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -113,27 +153,36 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, *, threshold: flo
             least = np.maximum(least, threshold)
         return rows[["query_id", "embedding"]].assign(length=np.linalg.norm(m, axis=1), near=list(dots), floor=least)
 
-    placed = _in_blocks(items, "item_id", centres, block_rows, assign, "item_id long, embedding array<double>, cell int, far double")
+    placed = _in_blocks(items, "item_id", centres, block_rows, assign, f"item_id long, embedding {vector}, cell int, far double")
     bounds = _in_blocks(asked, "query_id", centres, block_rows, floors,
-                        "query_id long, embedding array<double>, length double, near array<double>, floor double")
-    sizes = placed.groupBy("cell").agg(F.max("far").alias("far"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("pieces"))
-    cells = F.coalesce(sizes.agg(F.collect_list(F.struct("cell", "far", "pieces"))).scalar(),
-                       F.array().cast("array<struct<cell:int,far:double,pieces:int>>"))
-    parts = F.greatest(F.lit(1), F.ceil(scalar_count(asked) / block_rows)).cast("int")
-    offered = bounds.select("*", F.explode(cells).alias("c"))
-    reached = offered.filter(F.get("near", F.col("c.cell")) + F.col("length") * F.col("c.far") + SLACK >= F.col("floor"))
-    visits = reached.select("query_id", "embedding", "floor", F.pmod(F.xxhash64("query_id"), parts).cast("int").alias("part"),
-                            "c.cell", "c.pieces")
-    met = placed.join(visits.select("cell", "part", "pieces").distinct(), "cell").select(
-        "item_id", "embedding", F.col("cell").alias("cell"), F.pmod(F.xxhash64("item_id"), F.col("pieces")).cast("int").alias("piece"),
-        F.col("part").alias("part"))
-    spread = visits.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+                        f"query_id long, embedding {vector}, length double, near array<double>, floor double")
+    # Pairs are as large as they may be, but no fewer than tasks.
+    side = math.sqrt(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shelf_rows, part_rows = (F.least(F.lit(PAIR_BLOCKS * block_rows), F.greatest(F.lit(1), F.ceil(scalar_count(x) / side))) for x in (items, asked))
+    sizes = placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n"))
+    # At most one row per centre, so one task may add them up.
+    before = F.sum("n").over(W.orderBy("cell")) - F.col("n")
+    stood = sizes.select("cell", "far", F.floor(before / shelf_rows).cast("int").alias("first"), F.ceil(F.col("n") / shelf_rows).cast("int").alias("pieces"))
+    cells = F.coalesce(stood.agg(F.collect_list(F.struct("cell", "far", "first", "pieces"))).scalar(),
+                       F.array().cast("array<struct<cell:int,far:double,first:int,pieces:int>>"))
+    parts = F.greatest(F.lit(1), F.ceil(scalar_count(asked) / part_rows)).cast("int")
+    reaches = lambda c: F.get("near", c["cell"]) + F.col("length") * c["far"] + SLACK >= F.col("floor")
+    bound = bounds.select("*", cells.alias("cells"), F.pmod(F.xxhash64("query_id"), parts).cast("int").alias("part")).select(
+        "query_id", "embedding", "floor", "part", F.filter("cells", reaches).alias("reached"))
+    shelves = F.array_distinct(F.flatten(F.transform("reached", lambda c: F.sequence(c["first"], c["first"] + c["pieces"] - 1))))
+    on_shelf = lambda c: F.col("shelf").between(c["first"], c["first"] + c["pieces"] - 1)
+    visits = bound.withColumn("shelf", F.explode(shelves)).select(
+        "query_id", "embedding", "floor", "part", "shelf", F.transform(F.filter("reached", on_shelf), lambda c: c["cell"]).alias("cells"))
+    visited = bound.select("part", F.explode("reached").alias("c")).select("part", "c.cell", "c.first", "c.pieces").distinct()
+    met = placed.join(visited, "cell").select(
+        "item_id", "embedding", F.col("cell").alias("cell"),
+        (F.col("first") + F.pmod(F.xxhash64("item_id"), F.col("pieces"))).cast("int").alias("shelf"), F.col("part").alias("part"))
 
     def pair(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        return _best(wanted, found, k, normalise, skip_same)
+        return _best_of_cells(wanted, found, k, normalise, skip_same)
 
-    at = ["cell", "piece", "part"]
-    partial = met.groupBy(*at).cogroup(spread.groupBy(*at)).applyInPandas(pair, HIT)
+    at = ["shelf", "part"]
+    partial = met.groupBy(*at).cogroup(visits.groupBy(*at)).applyInPandas(pair, HIT)
     return top_k(partial, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 

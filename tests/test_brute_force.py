@@ -141,6 +141,28 @@ def test_vector_search_by_product(spark):
     assert v.vector_topk(df.limit(0), qs, 3).collect() == [] and v.vector_topk(df, qs.limit(0), 3).collect() == []
 
 
+def test_vectors_move_once_per_pair_of_blocks(spark, monkeypatch):
+    """Without clusters every query visits every cell: it goes to a shelf once all the same, not to each of its cells, and an item to a part once."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (600, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(z) for z in v_]) for i, v_ in enumerate(x)], "item_id long, embedding array<float>")
+    queries, items, real = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), v._best_of_cells
+
+    def counted(wanted, held, *rest):
+        queries.add(len(wanted))
+        items.add(len(held))
+        return real(wanted, held, *rest)
+
+    monkeypatch.setattr(v, "_best_of_cells", counted)
+    got = v.related_chunks(df, df, 3, pivots=64, block_rows=25).collect()     # at most 200 rows on a side
+    unit = x.astype(np.float64) / (np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True) + 1e-8)
+    sims = np.round(unit @ unit.T, 6)
+    want = [(i, n + 1, j, sims[i, j]) for i in range(600)
+            for n, j in enumerate(sorted((j for j in range(600) if j != i), key=lambda j: (-sims[i, j], j))[:3])]
+    assert sorted((r_.query_id, r_["rank"], r_.item_id, r_.score) for r_ in got) == want
+    assert 0 < queries.value <= 600 * 5 and 0 < items.value <= 600 * 3
+
+
 def test_vector_search_leaves_far_cells(spark):
     """Of well separated groups a query meets the items of its own group only."""
     rng = np.random.default_rng(6)
